@@ -8,7 +8,8 @@ No step shuffles, so cost is linear in the text and a lost executor costs only
 its own splits.
 
 Spark's own map lookup walks the map from its start, so the literal map is held
-as arrays under a displacement hash: two array reads find a pair.
+as arrays, the rows of its table of pairs laid over each other: three array
+reads find a pair.
 """
 
 from __future__ import annotations
@@ -19,25 +20,19 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-#: Unicode White_Space, which the tokenizer's \s means (Java's \s is ASCII).
-_WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The splitting pattern of the public byte-level tokenizers, for Java.
-JAVA_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + "]+"
-)
+
+from .dictionary import Dictionary, assembled, split_words, with_codes
+
 #: Words of more bytes than this are merged with a heap in a Python worker: a
 #: fold costs the square of the word's length, a heap n log n.
 MAX_FOLD_BYTES = 96
-#: Distinct words a task remembers before it starts its dictionary anew.
-MAX_WORDS = 700_000
 #: The rank of a pair that no merge joins.
 NONE = 1 << 30
-#: Ids (or bytes) put together at a time in a worker.
-CHUNK = 1_000_000
+#: Documents decoded at a time in a worker.
+ROWS = 500
 
 
 @functools.lru_cache(maxsize=4)
@@ -65,46 +60,39 @@ def pair_map(path: str) -> dict[int, int]:
     return out
 
 
-def displacement_table(pairs: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
-    """A perfect hash of the keys: ``(k % m + d[k % nb] * (1 + k % (m - 2))) % m`` is the cell of k."""
-    keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
-    m, nb = _prime(max(11, int(len(keys) * 1.6))), _prime(max(5, len(keys) // 2))
-    disp, cells, values = np.zeros(nb, np.int64), np.full(m, -1, np.int64), np.zeros(m, np.int64)
-    taken = np.zeros(m, bool)
-    bucket = keys % nb
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(nb + 1))
-    for b in np.argsort(-np.diff(edges), kind="stable"):
-        own = keys[order[edges[b] : edges[b + 1]]]
-        if not len(own):
-            break
-        base, step = own % m, 1 + own % (m - 2)
-        for d in range(1 << 20):
-            at = (base + d * step) % m
-            if not taken[at].any() and (len(own) == 1 or len(np.unique(at)) == len(at)):
-                break
-        else:
-            raise ValueError("no displacement found")
-        disp[b], taken[at], cells[at] = d, True, own
-        values[at] = [pairs[int(k)] for k in own]
-    return disp.tolist(), cells.tolist(), values.tolist()
-
-
-def _prime(n: int) -> int:
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
+def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """The sparse table left x right -> merged, its rows laid over each other in one array.
+
+    The pair (a, b) is in cell ``start[a] + b``, if ``owner`` has ``a`` there.
+    Large rows are laid first, each at the first of a fixed series of random
+    places where all its cells are free.
+    """
+    rows: dict[int, list[int]] = {}
+    for key in pairs:
+        rows.setdefault(key >> 20, []).append(key & 0xFFFFF)
+    n = 1 + max(max(rows), max(map(max, rows.values())))
+    room = 3 * len(pairs) + 16
+    taken, start = np.zeros(n + room, bool), [0] * n
+    owner, merged = np.full(n + room, -1, np.int64), np.zeros(n + room, np.int64)
+    places = np.random.Generator(np.random.PCG64(5))
+    for left in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        own = np.array(rows[left])
+        while taken[own + (at := int(places.integers(room)))].any():
+            pass
+        start[left], taken[own + at] = at, True
+        owner[own + at], merged[own + at] = left, [pairs[left << 20 | int(b)] for b in own]
+    return start, owner.tolist(), merged.tolist()
 
 
 @functools.lru_cache(maxsize=4)
 def _tables(path: str) -> dict[str, list[int]]:
-    ranks, (disp, cells, merged) = load_ranks(path), displacement_table(pair_map(path))
-    return {"bytes": [ranks[bytes([b])] for b in range(256)], "disp": disp, "cells": cells, "merged": merged}
+    ranks, (start, owner, merged) = load_ranks(path), displaced_rows(pair_map(path))
+    return {"bytes": [ranks[bytes([b])] for b in range(256)], "start": start, "owner": owner, "merged": merged}
 
 
 def rank_map(path: str) -> dict[str, Column]:
     """The literal rank map. Its size is the vocabulary's; constant folding makes each array once."""
-    return {k: F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<{'bigint' if k in ('disp', 'cells') else 'int'}>)") for k, v in _tables(path).items()}
+    return {k: F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<int>)") for k, v in _tables(path).items()}
 
 
 def fold_word(word: Column, path: str) -> Column:
@@ -114,13 +102,11 @@ def fold_word(word: Column, path: str) -> Column:
     without a merge), so that a step looks up only the two pairs it makes.
     """
     ranks = rank_map(path)
-    nb, m = (F.lit(len(_tables(path)[k])) for k in ("disp", "cells"))
     digits, n = F.hex(word), F.octet_length(word)
 
     def rank(left: Column, right: Column) -> Column:
-        key = left.cast("long") * (1 << 20) + right
-        at = ((key % m + F.get(ranks["disp"], (key % nb).cast("int")) * (1 + key % (m - 2))) % m).cast("int")
-        return F.when(F.get(ranks["cells"], at) == key, F.get(ranks["merged"], at)).otherwise(F.lit(NONE))
+        at = F.get(ranks["start"], left) + right
+        return F.when(F.get(ranks["owner"], at) == left, F.get(ranks["merged"], at)).otherwise(F.lit(NONE))
 
     def step(state: Column, _: Column) -> Column:
         ids, pairs, best = state["ids"], state["pairs"], state["best"]
@@ -143,3 +129,85 @@ def fold_word(word: Column, path: str) -> Column:
 
 def _state(ids: Column, pairs: Column) -> Column:
     return F.get(F.transform(F.array(pairs), lambda p: F.struct(ids.alias("ids"), p.alias("pairs"), F.coalesce(F.array_min(p), F.lit(NONE)).alias("best"))), 0)
+
+
+def heap_merge(word: bytes, path: str) -> list[int]:
+    """The ids of a word, as fold_word's, in n log n."""
+    pairs, ranks = pair_map(path), load_ranks(path)
+    ids = [ranks[bytes([b])] for b in word]
+    n = len(ids)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << 20 | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i] if ids[i] == a else -1
+        if j < 0 or ids[j] != b:
+            continue  # merged meanwhile
+        ids[i], ids[j] = rank, -1
+        after[i] = after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left, right in ((before[i], i), (i, after[i])):
+            if left >= 0 and right >= 0 and (r := pairs.get(ids[left] << 20 | ids[right])) is not None:
+                heapq.heappush(heap, (r, left, ids[left], ids[right]))
+    return [x for x in ids if x >= 0]
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (None: all) and `ids`, those of the whole text by the rank file at `path` (on every node).
+
+    Null or empty texts have no ids.  Special tokens' strings are ordinary
+    text.  Repeated rows are encoded each; a column named ids is replaced.
+    """
+    coded = with_codes(split_words(docs, text, keep, "ids"))
+    short = F.transform("__new", lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, path)))
+    folded = coded.withColumn("__new_ids", short).drop("__new")
+    kept = [c for c in folded.columns if not c.startswith("__")]
+
+    def run(batches):
+        known = Dictionary()
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            cut = [0, *(i for i, x in enumerate(table["__anew"].to_pylist()) if x and i), table.num_rows]
+            for a, b in zip(cut, cut[1:], strict=False):
+                part = table.slice(a, b - a).combine_chunks()
+                if part["__anew"][0].as_py():
+                    known = Dictionary()
+                new, long = part["__new_ids"].chunk(0).flatten(), part["__long"].chunk(0).flatten().to_pylist()
+                if new.null_count:
+                    rest = iter(long)
+                    new = pa.array([x if x is not None else heap_merge(next(rest).encode(), path) for x in new.to_pylist()], pa.list_(pa.int32()))
+                known.add(new)
+                yield from assembled(part.select(kept), part["__codes"].chunk(0), known)
+
+    schema = ", ".join([*(f"`{c}` {folded.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
+    return folded.mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """`encoded` with the bytes of its ids: the vocabulary's pieces, one after the other.
+
+    No ids, or null, are no bytes; an id that is null or outside the vocabulary adds none.
+    """
+    kept = [c for c in encoded.columns if c != to]
+
+    def run(batches):
+        ranks = load_ranks(path)
+        pieces = [b""] * (max(ranks.values()) + 2)
+        for token, rank in ranks.items():
+            pieces[rank] = token
+        pieces = pa.array(pieces, pa.binary())
+        none = len(pieces) - 1
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lists = part[ids]
+                own = lists.flatten().fill_null(none).to_numpy(zero_copy_only=False)
+                own = np.where((own < 0) | (own > none), none, own)
+                offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                joined = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(own))), b"")
+                yield pa.record_batch([*(part[c] for c in kept), joined], names=[*kept, to])
+
+    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept), f"`{to}` binary"])
+    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
