@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dictionary import Dictionary, assembled, split_words, with_codes
+from .dictionary import CODED, Dictionary, assembled, split_words, with_codes
 
 #: Words of more bytes than this are merged with a heap in a Python worker: a
 #: fold costs the square of the word's length, a heap n log n.
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     coded = with_codes(split_words(docs, text, keep, "ids"))
     short = F.transform("__new", lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, path)))
     folded = coded.withColumn("__new_ids", short).drop("__new")
-    kept = [c for c in folded.columns if not c.startswith("__")]
+    kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
 
     def run(batches):
         known = Dictionary()

@@ -20,6 +20,8 @@ JAVA_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}
 MAX_WORDS = 600_000
 #: Documents handled at a time, and ids put together at a time.
 ROWS, IDS = 2_000, 1_000_000
+#: The columns that with_codes() adds.
+CODED = ("__codes", "__new", "__long", "__anew")
 #: Words of more bytes also go into __long.
 LONG = 96
 

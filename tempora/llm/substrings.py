@@ -26,6 +26,8 @@ SPAN = 35
 PERIOD = 21
 #: A perfect difference set modulo 21: every difference is one of two members.
 COVER = (3, 6, 7, 12, 14)
+#: Words put together at a time.
+WORDS = 100_000
 #: Blocks of documents for a range of hash values.
 BLOCKS_A_RANGE = 6
 _ASK = "block int, part int, kind string, hashes binary, twice binary"
@@ -37,7 +39,7 @@ class _Block:
 
     def __init__(self, texts: pa.ChunkedArray, span: int):
         self.span = span
-        self.words = w = W.words(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0), W.SPACED)
+        self.words = w = W.words_of(texts)
         n = len(w)
         size = span - PERIOD + 1
         self.runs, self.whole = w.windows(span)
@@ -160,18 +162,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
 
 def kept_texts(w: W.Words, keep: np.ndarray) -> pa.Array:
     """Each text's kept words, joined by a space."""
-    i = np.flatnonzero(keep)
-    length = w.end[i] - w.start[i] + 1  # and a space after it
-    text = np.repeat(np.arange(len(w.counts)), w.counts)[i]
-    data = np.append(w.data, np.uint8(0x20))
-    src = W.ragged(w.start[i], length)
-    ends = np.cumsum(length)
-    src[ends - 1] = len(w.data)
-    size = np.bincount(text, weights=length, minlength=len(w.counts)).astype(np.int64)
-    stop = np.cumsum(size)
-    out = data[src]
-    # the space after a text's last word goes
-    drop = stop[size > 0] - 1
-    out = np.delete(out, drop)
-    offsets = np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+    out, at, n = [pa.array([], pa.string())], 0, len(w.counts)
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(w.first, w.first[at] + WORDS, side="right")) - 1)
+        out.append(_joined(w, keep, at, end))
+        at = end
+    return pa.concat_arrays(out)
+
+
+def _joined(w: W.Words, keep: np.ndarray, at: int, end: int) -> pa.Array:
+    i = w.first[at] + np.flatnonzero(keep[w.first[at] : w.first[end]])
+    length = w.end[i] - w.start[i]
+    text = np.searchsorted(w.first[at : end + 1], i, side="right") - 1
+    last = np.ones(len(i), bool)
+    last[:-1] = text[1:] != text[:-1]
+    data = np.full(int(length.sum()) + len(i), 0x20, np.uint8)
+    to = np.cumsum(length + 1) - (length + 1)
+    data[W.ragged(to, length)] = w.data[W.ragged(w.start[i], length)]
+    data = np.delete(data, (to + length)[last])  # no space after a text's last word
+    size = np.bincount(text, weights=length + 1 - last, minlength=end - at).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), end - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])

@@ -127,6 +127,24 @@ def words(texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -> Wo
     return Words(data, start, end, np.searchsorted(start, offsets), hashes)
 
 
+def words_of(texts: pa.Array | pa.ChunkedArray, kind: np.ndarray = SPACED, lower: bool = False) -> Words:
+    """words() of many texts, with the working memory of a few."""
+    parts = [words(piece, kind, lower) for _, piece in pieces(texts, CHUNK_BYTES // 2)]
+    if len(parts) == 1:
+        return parts[0]
+    data = np.concatenate([np.zeros(0, np.uint8), *(w.data for w in parts)])
+    byte = np.cumsum([0, *(len(w.data) for w in parts)])
+    place = np.cumsum([0, *(len(w) for w in parts)])
+    join = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays])
+    return Words(
+        data,
+        join(w.start + b for w, b in zip(parts, byte, strict=False)),
+        join(w.end + b for w, b in zip(parts, byte, strict=False)),
+        np.append(join(w.first[:-1] + k for w, k in zip(parts, place, strict=False)), place[-1]),
+        np.concatenate([np.zeros(0, _U), *(w.hash for w in parts)]),
+    )
+
+
 def pieces(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """The texts cut into runs of about `most` bytes: the first one's place and the run."""
     if isinstance(texts, pa.ChunkedArray):
