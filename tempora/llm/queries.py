@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_duplicates, quality, substrings, token_files
+from . import bpe, chat, decontaminate, near_duplicates, quality, sharding, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,3 +138,45 @@ FROM dw d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id
 """
 
 ORACLE_SQL: dict[str, str] = {"op3_near_duplicates": _SQL3, "op4_substring_dedup": _SQL4, "op9_decontamination": _SQL9}
+
+
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(_table(spark, sf_dir, "conversations"))
+    return out.select(
+        "conv_id",
+        "part",
+        "perspective",
+        "n_turns",
+        "n_targets",
+        F.length("rendered").cast("long").alias("n_chars"),
+        F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
+        F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
+QUERIES |= {"op7_kd_shards": op7_kd_shards, "op8_perspectives": op8_perspectives}
+
+_SQL8 = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 0) // 1024 AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), speakers AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
+), shown AS (
+  SELECT t.*, perspective, role = perspective AS target,
+    CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head,
+    text || '<|end|>' || chr(10) AS body
+  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, role, text) AS stop FROM shown
+)
+SELECT conv_id, part::BIGINT AS part, perspective, count(*)::BIGINT AS n_turns, count(*) FILTER (target)::BIGINT AS n_targets, sum(length(head) + length(body))::BIGINT AS n_chars,
+  sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
+  coalesce(string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (target), '') AS spans
+FROM placed GROUP BY conv_id, part, perspective
+"""
+ORACLE_SQL["op8_perspectives"] = _SQL8
