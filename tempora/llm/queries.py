@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_duplicates, quality, sharding, substrings, token_files
+from . import bpe, chat, decontaminate, licenses, near_duplicates, quality, sharding, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,3 +180,22 @@ SELECT conv_id, part::BIGINT AS part, perspective, count(*)::BIGINT AS n_turns,
 FROM placed GROUP BY conv_id, part, perspective
 """
 ORACLE_SQL["op8_perspectives"] = _SQL8
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("detections", lambda d: d["base"])
+    starts = F.transform(base, lambda d: d["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda d: d["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+QUERIES["op6_license_scan"] = op6_license_scan
