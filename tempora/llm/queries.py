@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, near_duplicates, quality, sharding, substrings, token_files
+from . import bpe, chat, decontaminate, kneser_ney, licenses, near_duplicates, quality, sharding, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,3 +199,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_license_scan"] = op6_license_scan
+
+
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op2_kneser_ney"] = op2_kneser_ney
