@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Bytes of Parquet that a block of documents stands for (some 8 MB of text).
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block of documents: what one group of rows holds in a worker.
+BLOCK_BYTES = 7_000_000
 _TEXT = "__text"
 
 
@@ -41,11 +41,7 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate, which for a scan is the files' size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Into how many blocks of documents to deal `df`: in proportion to its size, and a million at most."""
-    return max(1, min(1_000_000, math.ceil(size_in_bytes(df) / block_bytes)))
+def n_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
+    """Into how many blocks of documents to deal `df`, from the bytes of its texts: one scan of that column."""
+    total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    return max(1, math.ceil(total / block_bytes))

@@ -26,8 +26,8 @@ from ..tables import written
 from . import words as W
 from .frames import n_blocks
 
-#: Bytes of text of a block, and of Parquet that it stands for.
-BLOCK_TEXT, BLOCK_PARQUET = 10_000_000, 6 << 20
+#: Bytes of text of a block.
+BLOCK_TEXT = 10_000_000
 #: The end of a document and what stands before its first word, as hashes of no word.
 END = np.uint64(0xE7D0E7D0E7D0E7D0)
 BEGIN = 0  # the number of the beginning; words' numbers start at 1
@@ -310,7 +310,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     """
     held = is_held_out(F.col(f"`{key}`")) if held_out is None else F.coalesce(held_out, F.lit(False))
     source = docs.select(F.col(f"`{key}`").alias("id"), held.alias("held"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    parts = max(2, n_blocks(docs, BLOCK_PARQUET) // 2)
+    parts = max(2, n_blocks(docs, text, BLOCK_TEXT) // 2)
     kind = source.schema["id"].dataType.simpleString()
     blocks = source.mapInArrow(_packed(parts, "docs"), f"block bigint, ids array<{kind}>, held array<boolean>, length array<bigint>, stream binary").groupBy("block")
     asked = source.mapInArrow(_packed(parts, "words"), _MESSAGE)

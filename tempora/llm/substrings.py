@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     """
     if span < PERIOD + 4:
         raise ValueError(f"span must be {PERIOD + 4} or more")
-    blocks = blocks or n_blocks(docs)
+    blocks = blocks or n_blocks(docs, text)
     parts = -(-blocks // BLOCKS_A_RANGE)
     new = ("n_words", "n_removed", "kept_text", "block")
     kept = [c for c in docs.columns if c not in new]
