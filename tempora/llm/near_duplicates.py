@@ -9,9 +9,9 @@ the chunk's key with that symbol left out: every such pair meets in a bucket.
 
 Equal shingle sets are one class from the start.  In a bucket each class is
 first held against one leader, so a group of near copies falls together in as
-many comparisons as it has members; then only classes that are still apart are
-paired, the bucket's largest component not within itself.  No pair is left out
-and no bucket is cut off.
+many comparisons as it has members; then signatures of classes that are still apart
+are compared within the buckets, a large one block by block, and only pairs
+within the radius go on.  No pair is left out and no bucket is cut off.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ from ..tables import drop_written, written
 from . import words as W
 from .frames import map_texts
 
-#: Symbols of a signature.
-K = 48
+#: Symbols of a signature that are indexed, of 32 bits, and those of 8 bits that only measure.
+K, FINE = 48, 208
+#: Rows of a bucket that meet in one task: a larger bucket is compared block by block.
+BLOCK = 512
 #: Chance that a pair at the threshold differs in more than `radius` symbols.
 MISS = 1e-6
+#: Times that classes are held against their buckets' leaders.
+ROUNDS = 2
 #: Rows of a table of two 64-bit columns that may be broadcast: 16 MB.
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(77))
-_A = _RNG.integers(0, 1 << 64, K, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 64, K, dtype=np.uint64)
+_A = _RNG.integers(0, 1 << 64, K + FINE, dtype=np.uint64) | np.uint64(1)
+_B = _RNG.integers(0, 1 << 64, K + FINE, dtype=np.uint64)
 
 
 def radius(similarity: float, k: int = K, miss: float = MISS) -> int:
@@ -81,13 +85,24 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of K 32-bit symbols for each set that isn't empty."""
+    """The bytes of K 32-bit and FINE 8-bit symbols for each set that isn't empty."""
     starts = first[:-1][np.diff(first) > 0]
     out = np.empty((len(starts), K), np.uint32)
+    fine = np.empty((len(starts), FINE), np.uint8)
     if len(starts):
-        for k in range(K):
-            out[:, k] = W.mixed(np.minimum.reduceat((h ^ _B[k]) * _A[k], starts)) & np.uint64(0xFFFFFFFF)
-    return out
+        for k in range(K + FINE):
+            low = W.mixed(np.minimum.reduceat((h ^ _B[k]) * _A[k], starts))
+            if k < K:
+                out[:, k] = low & np.uint64(0xFFFFFFFF)
+            else:
+                fine[:, k - K] = low & np.uint64(0xFF)
+    return np.concatenate([out.view(np.uint8).reshape(len(starts), -1), fine], axis=1)
+
+
+def parts_of(signature: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The indexed and the measuring symbols of signatures."""
+    raw = np.frombuffer(b"".join(signature), np.uint8).reshape(len(signature), -1)
+    return np.ascontiguousarray(raw[:, : 4 * K]).view(np.uint32), raw[:, 4 * K :]
 
 
 def _describe(size: int):
@@ -124,29 +139,67 @@ def _bucketed(classes: DataFrame, r: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                sig = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(part.num_rows, K)
+                sig, _ = parts_of(part["signature"].to_pylist())
                 keys = index_keys(sig, r).astype(np.int64)
                 yield pa.record_batch({"key": pa.array(keys.ravel()), "class": pa.array(np.repeat(part["class"].to_numpy(), K))})
 
     return classes.select("class", "signature").mapInArrow(run, "key bigint, class bigint")
 
 
-def _distances(pairs: DataFrame) -> DataFrame:
-    """`pairs` with the symbols in which the signatures x and y differ."""
+def _within(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Of distinct pairs (a, b) of classes those within the radius of both kinds of symbols."""
+    r, far = radius(similarity), radius(similarity, K + FINE)
+    sig = classes.select("class", "signature")
+    both = pairs.join(sig.select(F.col("class").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("signature").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, K) for c in ("x", "y"))
-            yield pa.record_batch({"a": batch["a"], "b": batch["b"], "distance": pa.array((x != y).sum(axis=1).astype(np.int32))})
+            (x, p), (y, q) = (parts_of(batch[c].to_pylist()) for c in ("x", "y"))
+            d = (x != y).sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array((d <= r) & (d + (p != q).sum(axis=1) <= far)))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, distance int")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _within(pairs: DataFrame, classes: DataFrame, r: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes those within the radius, with their distance."""
-    sig = classes.select("class", "signature")
-    both = pairs.join(sig.select(F.col("class").alias("a"), F.col("signature").alias("x")), "a").join(sig.select(F.col("class").alias("b"), F.col("signature").alias("y")), "b")
-    return _distances(both).where(F.col("distance") <= r)
+def _apart(members: DataFrame, classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) within the radius that share a bucket and lie in different components, each once.
+
+    Buckets of one component are done with. The others' rows go to tasks by
+    pairs of blocks of BLOCK rows; a task compares signatures and only gives
+    pairs that pass, and a pair passes in the first bucket that it shares.
+    """
+    r, far = radius(similarity), radius(similarity, K + FINE)
+    placed = members.select("key", "class").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("key", "class", "c", "block", other).select("key", "class", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(classes.select("class", "signature"), "class")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        own, c, block = (group[x].to_numpy() for x in ("class", "c", "block"))
+        (x, p), key = parts_of(group["signature"].to_pylist()), np.uint64(group["key"][0].as_py() & 0xFFFFFFFFFFFFFFFF)
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        found = [np.zeros((0, 2), np.int64)]
+        keys = None
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for row in left:
+            with_ = right[(c[right] != c[row]) & ((own[right] > own[row]) if i == j else True)]
+            if not len(with_):
+                continue
+            d = (x[with_] != x[row]).sum(axis=1)
+            with_, d = with_[d <= r], d[d <= r]
+            with_ = with_[d + (p[with_] != p[row]).sum(axis=1) <= far]
+            if len(with_):
+                keys = index_keys(x, r) if keys is None else keys
+                first = (keys[with_] == keys[row]).argmax(axis=1)
+                with_ = with_[keys[row][first] == key]
+                found.append(np.stack([np.minimum(own[row], own[with_]), np.maximum(own[row], own[with_])], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -178,7 +231,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     smallest key reachable, a null key counting only where no other is;
     kept: it is the row's own.  Other columns are left to the caller.
     """
-    r = radius(num / den)
+    similarity = num / den
+    r = radius(similarity)
     base = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     described = written(map_texts(base, "text", _describe(size), {"n_shingles": "bigint", "class": "bigint", "signature": "binary"}, keep=["id"]))
     classes = written(described.where("class IS NOT NULL").groupBy("class", "signature").agg(F.min("id").alias("id")))
@@ -187,24 +241,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lead")).where("n > 1")
     members = written(keys.join(shared, "key").select("key", "class", "lead"))
 
-    # each class against that of its buckets' leaders with which it shares most buckets
-    led = members.where("class <> lead").groupBy("class", "lead").agg(F.count(F.lit(1)).alias("n"))
-    nearest = led.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", "lead"))["lead"].alias("a")).select("a", "b")
+    # each class against that of its buckets' leaders with which it shares most buckets, twice
     texts = written(_texts_of(base, classes, members, size))
-    links = written(_confirmed(_within(nearest, classes, r), texts, size, num, den))
-    known = written(connected_components(links, "a", "b"))
+    led = written(members.where("class <> lead").groupBy("class", "lead").agg(F.count(F.lit(1)).alias("n")))
+    links, known = None, None
+    for _ in range(ROUNDS):
+        open_ = led
+        if known is not None:
+            near, far = (known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at")) for c in ("class", "lead"))
+            open_ = led.join(near, "class", "left").join(far, "lead", "left").where("coalesce(class_at, class) <> coalesce(lead_at, lead)")
+        nearest = open_.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", "lead"))["lead"].alias("a")).select("a", "b")
+        found = written(_confirmed(_within(nearest, classes, similarity), texts, size, num, den))
+        links = found if links is None else links.union(found)
+        known = written(connected_components(links, "a", "b"))
 
     # what is still apart
-    placed = members.select("key", "class").join(known.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("c"))
-    sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "top")
-    apart = placed.join(largest, "key")
-    few = apart.where("c <> top").select("key", F.col("class").alias("a"), F.col("c").alias("ca"))
-    rest = apart.select("key", F.col("class").alias("b"), F.col("c").alias("cb"), "top")
-    cross = few.join(rest, "key").where("ca <> cb AND (cb = top OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(_within(cross, classes, r), texts, size, num, den)
-
-    components = connected_components(links.select("a", "b").union(more), "a", "b")
+    more = _confirmed(_apart(members, classes, known, similarity), texts, size, num, den)
+    components = connected_components(links.union(more), "a", "b")
     of_class = classes.select("class", "id").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
     named = of_class.join(smallest, "component").select("class", "component_id")
