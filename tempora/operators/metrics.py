@@ -30,7 +30,8 @@ def _checked(pairs: DataFrame, by: tuple[str, ...], value: Column, name: str, le
     return g.select(*by, F.when(error.isNull(), F.col("__v")).alias(name), error.alias("error_code"))
 
 
-D = F.col("recovered") - F.col("truth")
+def _d() -> Column:
+    return F.col("recovered") - F.col("truth")
 
 
 def absolute_residuals(pairs: DataFrame) -> DataFrame:
@@ -41,26 +42,26 @@ def absolute_residuals(pairs: DataFrame) -> DataFrame:
 def match_count(pairs: DataFrame, tolerance: float, *by: str) -> DataFrame:
     if not 0 <= tolerance < float("inf"):
         raise ValueError("the tolerance must be finite and 0 or more")
-    return _checked(pairs, by, F.count_if(F.abs(D) <= tolerance), "match_count")
+    return _checked(pairs, by, F.count_if(F.abs(_d()) <= tolerance), "match_count")
 
 
 def rmse(pairs: DataFrame, *by: str) -> DataFrame:
-    return _checked(pairs, by, F.sqrt(F.avg(D * D)), "rmse")
+    return _checked(pairs, by, F.sqrt(F.avg(_d() * _d())), "rmse")
 
 
 def rmse_standard_error(pairs: DataFrame, *by: str) -> DataFrame:
     """sd of the squared errors / (2 RMSE sqrt n), 0 without error; two pairs at least."""
-    root = F.sqrt(F.avg(D * D))
-    value = F.when(root == 0, F.lit(0).cast("double")).otherwise(F.stddev_samp(D * D) / (2 * root * F.sqrt(F.count(F.lit(1)))))
+    root = F.sqrt(F.avg(_d() * _d()))
+    value = F.when(root == 0, F.lit(0).cast("double")).otherwise(F.stddev_samp(_d() * _d()) / (2 * root * F.sqrt(F.count(F.lit(1)))))
     return _checked(pairs, by, value, "rmse_standard_error", 2)
 
 
 def mean_bias(pairs: DataFrame, *by: str) -> DataFrame:
-    return _checked(pairs, by, F.avg(D), "mean_bias")
+    return _checked(pairs, by, F.avg(_d()), "mean_bias")
 
 
 def bias_standard_error(pairs: DataFrame, *by: str) -> DataFrame:
-    return _checked(pairs, by, F.stddev_samp(D) / F.sqrt(F.count(F.lit(1))), "bias_standard_error", 2)
+    return _checked(pairs, by, F.stddev_samp(_d()) / F.sqrt(F.count(F.lit(1))), "bias_standard_error", 2)
 
 
 def interval_coverage(rows: DataFrame, *by: str) -> DataFrame:
