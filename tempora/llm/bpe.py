@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +89,8 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int], list[in
 @functools.lru_cache(maxsize=4)
 def _tables(path: str) -> dict[str, list[int]]:
     ranks, (start, owner, merged) = load_ranks(path), displaced_rows(pair_map(path))
-    return {"bytes": [ranks[bytes([b])] for b in range(256)], "start": start, "owner": owner, "merged": merged}
+    codes = {(ord(f"{b:02X}"[0]) - 48) * 23 + ord(f"{b:02X}"[1]) - 48: ranks[bytes([b])] for b in range(256)}
+    return {"bytes": [codes.get(i, 0) for i in range(max(codes) + 1)], "start": start, "owner": owner, "merged": merged}
 
 
 def rank_map(path: str) -> dict[str, Column]:
@@ -122,7 +125,9 @@ def fold_word(word: Column, path: str) -> Column:
         return F.when(best >= NONE, state).otherwise(F.get(F.transform(F.array(F.array_position(pairs, best).cast("int") - 1), merge), 0))
 
     none = F.array().cast("array<int>")
-    byte = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ranks["bytes"], F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    # a byte's id by the codes of its two hexadecimal digits, less those of 0
+    digit = lambda at: F.ascii(F.substring(digits, at, F.lit(1))) - 48
+    byte = F.transform(F.sequence(F.lit(1), n * 2, F.lit(2)), lambda at: F.get(ranks["bytes"], digit(at) * 23 + digit(at + 1)))
     first = F.get(F.transform(F.array(byte), lambda ids: _state(ids, F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda left, i: rank(left, F.get(ids, i + 1))))), 0)
     return F.when(n == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s["ids"]))
 
@@ -185,29 +190,46 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     return folded.mapInArrow(run, schema)
 
 
+def decoded_batches(batches: Iterable[pa.RecordBatch], path: str, kept: list[str], ids: str = "ids", to: str = "decoded") -> Iterator[pa.RecordBatch]:
+    """`kept` of each batch and the bytes of its ids, a few rows at a time."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 2)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    pieces = pa.array(pieces, pa.binary())
+    none = len(pieces) - 1
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            lists = part[ids]
+            own = lists.flatten().fill_null(none).to_numpy(zero_copy_only=False)
+            own = np.where((own < 0) | (own > none), none, own)
+            offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            joined = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(own))), b"")
+            yield pa.record_batch([*(part[c] for c in kept), joined], names=[*kept, to])
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """`encoded` with the bytes of its ids: the vocabulary's pieces, one after the other.
 
     No ids, or null, are no bytes; an id that is null or outside the vocabulary adds none.
     """
     kept = [c for c in encoded.columns if c != to]
+    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept), f"`{to}` binary"])
+    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lambda batches: decoded_batches(batches, path, kept, ids, to), schema)
 
-    def run(batches):
-        ranks = load_ranks(path)
-        pieces = [b""] * (max(ranks.values()) + 2)
-        for token, rank in ranks.items():
-            pieces[rank] = token
-        pieces = pa.array(pieces, pa.binary())
-        none = len(pieces) - 1
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                lists = part[ids]
-                own = lists.flatten().fill_null(none).to_numpy(zero_copy_only=False)
-                own = np.where((own < 0) | (own > none), none, own)
-                offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-                joined = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(own))), b"")
-                yield pa.record_batch([*(part[c] for c in kept), joined], names=[*kept, to])
 
-    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept), f"`{to}` binary"])
-    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+def digests(encoded: DataFrame, path: str, key: str, ids: str = "ids") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas and of the bytes that decode() gives."""
+
+    def run(batches):
+        numbers = pa.array([str(i) for i in range(max(load_ranks(path).values()) + 1)])
+        for part in decoded_batches(batches, path, [key, ids], ids):
+            lists = part[ids]
+            offsets = pa.compute.cast(lists.offsets, pa.int64()).to_numpy() - lists.offsets[0].as_py()
+            texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), numbers.take(lists.flatten())), ",")
+            sha = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in (texts, part["decoded"])]
+            yield pa.record_batch([part[key], pa.array(np.diff(offsets)), *map(pa.array, sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
