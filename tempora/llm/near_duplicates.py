@@ -29,18 +29,17 @@ from . import words as W
 from .frames import map_texts
 
 #: Symbols of a signature that are indexed, of 32 bits, and those of 8 bits that only measure.
-K, FINE = 48, 208
+K, FINE = 48, 464
 #: Rows of a bucket that meet in one task: a larger bucket is compared block by block.
 BLOCK = 512
 #: Chance that a pair at the threshold differs in more than `radius` symbols.
 MISS = 1e-6
 #: Times that classes are held against their buckets' leaders.
-ROUNDS = 2
+ROUNDS = 3
 #: Rows of a table of two 64-bit columns that may be broadcast: 16 MB.
 BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 1 << 64, K + FINE, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 64, K + FINE, dtype=np.uint64)
 
 
 def radius(similarity: float, k: int = K, miss: float = MISS) -> int:
@@ -90,8 +89,10 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.empty((len(starts), K), np.uint32)
     fine = np.empty((len(starts), FINE), np.uint8)
     if len(starts):
+        order = np.empty_like(h)
         for k in range(K + FINE):
-            low = W.mixed(np.minimum.reduceat((h ^ _B[k]) * _A[k], starts))
+            np.multiply(h, _A[k], out=order)
+            low = W.mixed(np.minimum.reduceat(order, starts))
             if k < K:
                 out[:, k] = low & np.uint64(0xFFFFFFFF)
             else:
@@ -241,7 +242,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lead")).where("n > 1")
     members = written(keys.join(shared, "key").select("key", "class", "lead"))
 
-    # each class against that of its buckets' leaders with which it shares most buckets, twice
+    # each class against that of its buckets' leaders with which it shares most buckets, ROUNDS times
     texts = written(_texts_of(base, classes, members, size))
     led = written(members.where("class <> lead").groupBy("class", "lead").agg(F.count(F.lit(1)).alias("n")))
     links, known = None, None
