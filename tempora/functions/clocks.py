@@ -43,7 +43,7 @@ def as_nanosecond(instant: Column) -> Column:
 def to_rfc3339(instant: Column) -> Column:
     """Canonical UTC text: a fraction only where there is one, without trailing zeros."""
     base = F.date_format(F.timestamp_seconds(instant["sec"]), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.rtrim(F.lit("0"), F.lpad(instant["nano"].cast("string"), 9, "0"))
+    fraction = F.rtrim(F.lpad(instant["nano"].cast("string"), 9, "0"), F.lit("0"))
     return F.concat(base, F.when(instant["nano"] > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("Z"))
 
 

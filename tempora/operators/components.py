@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
     """(node, component): for each node of an edge the smallest node that it reaches.
 
     A round takes each node's smallest neighbouring label and then the label's
-    own label, so a chain of n nodes takes about log n rounds.  Labels never
+    own label, and that one's, so a chain of n nodes takes about log n rounds.  Labels never
     leave the executors; each round is a table in the shared folder.  Edges
     with a null end are left out; a self-loop makes its node known.
     """
@@ -24,8 +24,9 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
         near = links.join(labels, links.dst == labels.node).groupBy("src").agg(F.min("component").alias("near"))
         nearest = labels.join(near, labels.node == near.src, "left").select("node", F.col("component").alias("before"), F.least("component", "near").alias("component"))
         table = written(nearest)
-        jump = table.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        after = written(table.join(jump, table.component == jump.at, "left").select("node", "before", F.least("component", "further").alias("component")))
+        once, twice = (table.select(F.col("node").alias(f"at{i}"), F.col("component").alias(f"further{i}")) for i in (1, 2))
+        jumped = table.join(once, table.component == once.at1, "left").join(twice, F.col("further1") == twice.at2, "left")
+        after = written(jumped.select("node", "before", F.least("component", "further1", "further2").alias("component")))
         changed = not after.where("before <> component").isEmpty()
         drop_written(labels, table)
         labels = after

@@ -74,13 +74,14 @@ def insert_edges(edges: DataFrame) -> DataFrame:
     A repeated edge_id is DuplicateRelationEdge, a transition that closes a
     cycle TransitionCycle. What is refused depends on the order, so the edges
     that may lie on a cycle are folded in it, weak component by weak component;
-    all others, found by taking off sources and sinks until none is left, are
-    accepted without one.
+    all others, found by taking off sources and sinks, are
+    accepted without one. Two rounds of that are made: more would only make
+    what is folded smaller.
     """
     w = Window.partitionBy("edge_id").orderBy("seq")
     marked = written(edges.select("seq", "edge_id", "kind", "source", "target").withColumn("__n", F.row_number().over(w)))
     first = marked.where("__n = 1").drop("__n")
-    core = cyclic_core(first.where(is_transition(F.col("kind"))))
+    core = cyclic_core(first.where(is_transition(F.col("kind"))), 2)
     parts = connected_components(core, "source", "target")
     placed = core.join(parts, core["source"] == parts["node"]).select("component", *core.columns)
     folded = placed.groupBy("component").applyInPandas(lambda f: _fold(f.drop(columns="component")), _RESULT)
@@ -89,11 +90,12 @@ def insert_edges(edges: DataFrame) -> DataFrame:
     return out.select("seq", "edge_id", "kind", "source", "target", F.coalesce(code(F.col("__n") > 1, "DuplicateRelationEdge"), F.col("cycle")).alias("error_code"))
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left when edges from nodes nothing leads to, and to nodes that lead nowhere, are taken off again and again: empty for an acyclic graph."""
+def cyclic_core(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges left when edges from nodes nothing leads to, and to nodes that lead nowhere, are taken off, `rounds` times or until none is: empty then for an acyclic graph."""
     now = written(edges)
     n = now.count()
-    while n:
+    while n and rounds != 0:
+        rounds = rounds if rounds is None else rounds - 1
         sources, targets = now.select(F.col("source").alias("x")).distinct(), now.select(F.col("target").alias("x")).distinct()
         both = sources.join(targets, "x")
         left = now.join(both, now["source"] == both["x"], "left_semi").join(both.withColumnRenamed("x", "y"), F.col("target") == F.col("y"), "left_semi")
