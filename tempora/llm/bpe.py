@@ -93,18 +93,26 @@ def _tables(path: str) -> dict[str, list[int]]:
     return {"bytes": [codes.get(i, 0) for i in range(max(codes) + 1)], "start": start, "owner": owner, "merged": merged}
 
 
-def rank_map(path: str) -> dict[str, Column]:
-    """The literal rank map. Its size is the vocabulary's; constant folding makes each array once."""
-    return {k: F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<int>)") for k, v in _tables(path).items()}
+def rank_map(path: str) -> Column:
+    """The literal rank map, a struct of arrays. Its size is the vocabulary's, and constant folding makes it once."""
+    return F.struct(*[F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<int>)").alias(k) for k, v in _tables(path).items()])
 
 
-def fold_word(word: Column, path: str) -> Column:
+def fold_words(words: Column, path: str) -> Column:
+    """The ids of each word of an array; null for words over MAX_FOLD_BYTES.
+
+    An array of one names the rank map, so that the plan holds it once.
+    """
+    fold = lambda ranks: F.transform(words, lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, ranks)))
+    return F.get(F.transform(F.array(rank_map(path)), fold), 0)
+
+
+def fold_word(word: Column, ranks: Column) -> Column:
     """The ids of a word of text (empty: none): its bytes' ids, of which the lowest-ranked pair is merged, the leftmost first, until none is left.
 
     The fold's state holds the ids and each neighbouring pair's rank (NONE
     without a merge), so that a step looks up only the two pairs it makes.
     """
-    ranks = rank_map(path)
     digits, n = F.hex(word), F.octet_length(word)
 
     def rank(left: Column, right: Column) -> Column:
@@ -166,8 +174,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     text.  Repeated rows are encoded each; a column named ids is replaced.
     """
     coded = with_codes(split_words(docs, text, keep, "ids"))
-    short = F.transform("__new", lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, path)))
-    folded = coded.withColumn("__new_ids", short).drop("__new")
+    folded = coded.withColumn("__new_ids", fold_words(F.col("__new"), path)).drop("__new")
     kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
 
     def run(batches):
