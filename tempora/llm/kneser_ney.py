@@ -1,14 +1,17 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored where its parts lie.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and scored where its parts lie.
 
 Documents are packed into blocks as numbered words; a block sends its distinct
-words, and then its distinct bigrams, once each to the parts of the model that
-own them.  A part adds the blocks' counts to sorted arrays in a file that it
-memory-maps, answers every block from them, and is gone; so neither the driver
-nor any worker ever holds the model, whose size follows the corpus, and a word
-in a third of all places is a row of each block.
-
-Rounds: words -> counts and global numbers; bigrams -> counts and statistics of
-their first words; words -> how many first words they follow; scores.
+words, and then its distinct n-grams of each order, once each to the parts of
+the model that own them.  A part adds the blocks' counts to sorted arrays in
+files that it memory-maps, answers every block from them, and is gone; so
+neither the driver nor any worker ever holds the model, whose size follows the
+corpus, and a word in a third of all places is a row of each block.
+
+Rounds: words -> counts and global numbers; n-grams, from the highest order
+down to 2 -> counts and statistics of their contexts; words -> how many first
+words they follow; scores.  Below the highest order a count is that of
+different words in front (continuation); an n-gram at a document's beginning
+has none in front and keeps its own count.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,10 +163,43 @@ def _answer_words(group: pa.Table, parts: int) -> pa.Table:
 # round 2
 
 
+def owner(context: list[np.ndarray], parts: int) -> np.ndarray:
+    """The part that n-grams of a context belong to: of one word by its number, else by a hash of the numbers."""
+    if len(context) == 1:
+        return np.where(context[0] > 0, (context[0].astype(np.int64) - 1) % parts, 0)
+    h = context[0].astype(_U)
+    for c in context[1:]:
+        h = W.mixed(h) + c.astype(_U)
+    return (W.mixed(h) % _U(parts)).astype(np.int64)
+
+
+def _key(node: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return node.astype(_U) << _U(32) | word.astype(_U)
+
+
+def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct row, in the order of the rows' words; and which of them each row is."""
+    ids = columns[0]
+    if len(columns) == 1:
+        ids = np.unique(ids, return_inverse=True)[1]
+    for c in columns[1:]:
+        ids = np.unique(_key(ids, c), return_inverse=True)[1]
+    at = np.empty(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    at[ids] = np.arange(len(ids))
+    return at, ids
+
+
+def _run_starts(context: list[np.ndarray]) -> np.ndarray:
+    """Whether a row, of rows whose equal contexts stand together, is the first of its context."""
+    new = np.ones(len(context[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in context], axis=0)
+    return new
+
+
 class _Block:
-    """A block with its words' global numbers: its tokens, and its distinct bigrams in the order of the parts."""
+    """A block with its words' global numbers: its tokens, and its distinct n-grams of each order in the order of the parts."""
 
-    def __init__(self, docs: pa.Table, told: pa.Table, parts: int):
+    def __init__(self, docs: pa.Table, told: pa.Table, parts: int, order: int):
         self.docs, self.parts = docs, parts
         self.stream = unpack(docs["stream"][0].as_py(), np.uint32)
         words = _of(told, "word")
@@ -173,52 +210,90 @@ class _Block:
         self.length = docs["length"].chunk(0).flatten().to_numpy()
         self.held = docs["held"].chunk(0).flatten().to_numpy(zero_copy_only=False)
         self.first = np.cumsum(self.length) - self.length
-        w = self.number[self.stream].astype(_U)
-        v = np.concatenate([np.zeros(1, _U), w[:-1]])
-        v[self.first] = BEGIN
-        keys, inverse = np.unique(v << _U(32) | w, return_inverse=True)
-        part = owner(keys >> _U(32), parts)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.keys, self.bigram = keys[order], place[inverse]
-        self.edges = np.searchsorted(part[order], np.arange(parts + 1))
-
-
-def owner(number: np.ndarray, parts: int) -> np.ndarray:
-    """The part that a word's number belongs to."""
-    return np.where(number > 0, (number.astype(np.int64) - 1) % parts, 0)
-
-
-def _ask_bigrams(docs: pa.Table, told: pa.Table, parts: int) -> pa.Table:
-    b = _Block(docs, told, parts)
-    counts = np.bincount(b.bigram[np.repeat(~b.held, b.length)], minlength=len(b.keys)).astype(np.uint32)
-    number = docs["block"][0].as_py()
-    return _messages([(number, p, "ask", [pack(b.keys[x:y]), pack(counts[x:y])]) for p, (x, y) in enumerate(zip(b.edges, b.edges[1:], strict=False)) if y > x])
-
-
-def _answer_bigrams(group: pa.Table, parts: int) -> pa.Table:
-    """A part of the bigrams, by first words: counts, first words' statistics; and for the parts of second words how many bigrams end there."""
-    asked = _of(group, "ask")
-    part = asked[0][1]
-    keys = [unpack(d[0], _U) for _, _, d in asked]
-    every, counts = _summed(keys, [unpack(d[1], np.uint32) for _, _, d in asked])
-    every, counts = every[counts > 0], counts[counts > 0]
-    first, start = np.unique(every >> _U(32), return_index=True)
-    sums = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
-    bigrams = MappedArrays(every, count=counts)
-    heads = MappedArrays(first, total=sums(counts), n1=sums(counts == 1), n2=sums(counts == 2), n3=sums(counts > 2))
-    rows = []
-    for (b, _, _), own in zip(asked, keys, strict=True):
-        rows.append((b, part, "bigram", [pack(x) for x in (*bigrams.get(own, "count"), *heads.get(np.unique(own >> _U(32)), "total", "n1", "n2", "n3"))]))
-    second, types = np.unique(every & _U(0xFFFFFFFF), return_counts=True)
-    to = owner(second, parts)
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(parts + 1))
+        by_number = np.argsort(self.number)
+        named = np.concatenate([np.full(1, BEGIN, np.uint32), self.number[by_number]])
+        rank = np.empty(len(by_number), np.uint32)
+        rank[by_number] = np.arange(1, len(by_number) + 1)
+        w = rank[self.stream]
+        before = np.arange(len(w)) - np.repeat(self.first, self.length)
+        #: Of each order: columns of word numbers, the n-gram that ends at each token, where each part's start.
+        self.grams: dict[int, tuple[list[np.ndarray], np.ndarray, np.ndarray]] = {}
+        node = w
+        for n in range(2, order + 1):
+            context = np.concatenate([np.zeros(1, node.dtype), node[:-1]])
+            context[self.first] = BEGIN
+            at, inverse = _dense([context, w])
+            columns = [named[np.where(before[at] >= j, w[np.maximum(at - j, 0)], BEGIN)] for j in range(n - 1, -1, -1)]
+            part = owner(columns[:-1], parts)
+            ordered = np.argsort(part, kind="stable")
+            place = np.empty(len(ordered), np.int64)
+            place[ordered] = np.arange(len(ordered))
+            self.grams[n] = [c[ordered] for c in columns], place[inverse], np.searchsorted(part[ordered], np.arange(parts + 1))
+            node = inverse + 1
+
+
+def _ask_grams(docs: pa.Table, told: pa.Table, parts: int, order: int) -> pa.Table:
+    b = _Block(docs, told, parts, order)
+    number, rows = docs["block"][0].as_py(), []
+    for n, (columns, gram, edges) in b.grams.items():
+        sent = list(columns)
+        if n == order:  # the counts of lower orders follow from these
+            sent.append(np.bincount(gram[np.repeat(~b.held, b.length)], minlength=len(columns[0])).astype(np.uint32))
+        rows += [(number, p, f"ask{n}", [pack(c[x:y]) for c in sent]) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+    return _messages(rows)
+
+
+class _Grams:
+    """A part's n-grams: a chain of sorted arrays from word to word, the last with counts; and statistics of the contexts."""
+
+    def __init__(self, columns: list[np.ndarray], counts: np.ndarray):
+        node, self.steps = columns[0], []
+        for c in columns[1:-1]:
+            keys, inverse = np.unique(_key(node, c), return_inverse=True)
+            self.steps.append(MappedArrays(keys, node=np.arange(1, len(keys) + 1, dtype=_U)))
+            node = inverse + 1
+        keys = _key(node, columns[-1])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        first, start = np.unique(keys >> _U(32), return_index=True)
+        sums = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+        self.counts = MappedArrays(keys, count=counts)
+        self.heads = MappedArrays(first, total=sums(counts), n1=sums(counts == 1), n2=sums(counts == 2), n3=sums(counts > 2))
+
+    def get(self, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """Counts of n-grams whose equal contexts stand together; total, n1, n2, n3 of each context."""
+        node = columns[0].astype(_U)
+        for step, c in zip(self.steps, columns[1:-1], strict=True):
+            (node,) = step.get(_key(node, c), "node")
+        return [*self.counts.get(_key(node, columns[-1]), "count"), *self.heads.get(node[_run_starts(columns[:-1])], "total", "n1", "n2", "n3")]
+
+
+def _answer_grams(group: pa.Table, n: int, order: int, parts: int) -> pa.Table:
+    """A part of the n-grams, by contexts: counts, contexts' statistics; for the parts of the order below, how many n-grams end there; and what else they are asked."""
+    part = group["part"][0].as_py()
+    asked, told = _of(group, f"ask{n}"), _of(group, f"ends{n}")
+    later = group.filter(pc.is_in(group["kind"], pa.array([f"ask{k}" for k in range(2, n)], pa.string())))
+    keys = [[unpack(c, np.uint32) for c in d[:n]] for _, _, d in asked]
+    source = list(zip(keys, (unpack(d[n], np.uint32) for _, _, d in asked), strict=True)) if n == order else [([unpack(c, np.uint32) for c in d[:n]], unpack(d[n], np.int64)) for _, _, d in told]
+    columns = [np.concatenate([np.zeros(0, np.uint32), *(c[j] for c, _ in source)]) for j in range(n)]
+    at, ids = _dense(columns)
+    counts = np.bincount(ids, weights=np.concatenate([np.zeros(0), *(x for _, x in source)]), minlength=len(at)).astype(np.int64)
+    del source, ids
+    columns, counts = [c[at[counts > 0]] for c in columns], counts[counts > 0]
+    # with two words before the beginning it is none, but the n-gram without the first keeps its count
+    none = (columns[0] == BEGIN) & (columns[1] == BEGIN)
+    model = _Grams([c[~none] for c in columns], counts[~none])
+    rows = [(b, part, f"gram{n}", [pack(x) for x in model.get(own)]) for (b, _, _), own in zip(asked, keys, strict=True)]
+    at, ids = _dense(columns[1:])
+    ends = np.bincount(ids, weights=np.where(none, counts, 1), minlength=len(at)).astype(np.int64)
+    second = [c[at] for c in columns[1:]]
+    to = owner(second[:-1] or second, parts)
+    ordered = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[ordered], np.arange(parts + 1))
     for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
         if y > x:
-            rows.append((-1, p, "ends", [pack(second[order[x:y]]), pack(types[order[x:y]])]))
-    return _messages([*rows, (-1, part, "bigrams", [_histogram(counts)])])
+            rows.append((-1, p, f"ends{n - 1}", [pack(c[ordered[x:y]]) for c in (*second, ends)]))
+    return pa.concat_tables([_messages([*rows, (-1, part, f"grams{n}", [_histogram(counts[~none])])]), later.cast(_messages([]).schema)])
 
 
 # round 3
@@ -226,13 +301,13 @@ def _answer_bigrams(group: pa.Table, parts: int) -> pa.Table:
 
 def _answer_ends(words: pa.Table, ends: pa.Table) -> pa.Table:
     """How many first words each asked word follows."""
-    asked, told = _of(words, "word"), _of(ends, "ends")
+    asked, told = _of(words, "word"), _of(ends, "ends1")
     if not asked:
         return _messages([])
-    every, types = _summed([unpack(d[0], _U) for _, _, d in told], [unpack(d[1], np.int64) for _, _, d in told])
+    every, types = _summed([unpack(d[0], np.uint32) for _, _, d in told], [unpack(d[1], np.int64) for _, _, d in told])
     model = MappedArrays(every, types=types)
     part = asked[0][1]
-    rows = [(b, part, "end", [pack(x) for x in model.get(unpack(d[0], np.uint32).astype(_U), "types")]) for b, _, d in asked]
+    rows = [(b, part, "end", [pack(x) for x in model.get(unpack(d[0], np.uint32), "types")]) for b, _, d in asked]
     return _messages([*rows, (-1, part, "types", [_histogram(types)])])
 
 
@@ -253,31 +328,31 @@ def _taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(counts == 0, 0.0, np.where(counts == 1, d[0], np.where(counts == 2, d[1], d[2])))
 
 
-def _scores(docs: pa.Table, told: pa.Table, parts: int, words: np.ndarray, bigrams: np.ndarray, types: np.ndarray, key: str) -> pa.Table:
-    b = _Block(docs, told, parts)
+def _scores(docs: pa.Table, told: pa.Table, parts: int, words: np.ndarray, grams: list[np.ndarray], types: np.ndarray, key: str) -> pa.Table:
+    """grams: the histograms of the orders from 2 up."""
+    b = _Block(docs, told, parts, len(grams) + 1)
     n, v = int(words[5]), int(words[4])
     end = np.concatenate([np.zeros(0, np.int64), *(unpack(d[0], np.int64) for _, _, d in _of(told, "end"))])
-    answers = _of(told, "bigram")
-    count = np.concatenate([np.zeros(0, np.int64), *(unpack(d[0], np.int64) for _, _, d in answers)])
-    heads = np.concatenate([np.zeros(0, _U), *(np.unique(b.keys[x:y] >> _U(32)) for x, y in zip(b.edges, b.edges[1:], strict=False))])
-    total, n1, n2, n3 = (np.concatenate([np.zeros(0, np.int64), *(unpack(d[i], np.int64) for _, _, d in answers)]) for i in (1, 2, 3, 4))
-    if len(count) != len(b.keys) or len(total) != len(heads) or len(end) != len(b.number):
+    if len(end) != len(b.number):
         raise ValueError("a block's answers are incomplete")
     # words
-    high, low = discounts(bigrams), discounts(types)
+    low = discounts(types)
     all_types = max(1, int(types[5]))
     spare = (low[0] * types[0] + low[1] * types[1] + low[2] * (types[4] - types[0] - types[1])) / all_types if types[5] else 1.0
-    unigram = np.maximum(end - _taken(end, low), 0) / all_types + spare / (v + 1)
-    # bigrams
-    order = np.argsort(heads)
-    at = order[np.searchsorted(heads[order], b.keys >> _U(32))] if len(heads) else np.zeros(0, np.int64)
-    by_number = np.argsort(b.number)
-    second = by_number[np.searchsorted(b.number[by_number], (b.keys & _U(0xFFFFFFFF)).astype(np.uint32))]
-    known = total[at] > 0
-    whole = np.maximum(total[at], 1)
-    rest = np.where(known, (high[0] * n1[at] + high[1] * n2[at] + high[2] * n3[at]) / whole, 1.0)
-    p = np.maximum(count - _taken(count, high), 0) / whole + rest * unigram[second]
-    tokens = np.log10(p)[b.bigram]
+    p = (np.maximum(end - _taken(end, low), 0) / all_types + spare / (v + 1))[b.stream]
+    # n-grams, each with a share of the order below
+    for k, histogram in enumerate(grams, 2):
+        columns, gram, _ = b.grams[k]
+        answers = _of(told, f"gram{k}")
+        count, total, n1, n2, n3 = (np.concatenate([np.zeros(0, np.int64), *(unpack(d[i], np.int64) for _, _, d in answers)]) for i in range(5))
+        context = np.cumsum(_run_starts(columns[:-1])) - 1
+        if len(count) != len(columns[0]) or len(total) != (context[-1] + 1 if len(context) else 0):
+            raise ValueError("a block's answers are incomplete")
+        d = discounts(histogram)
+        whole = np.maximum(total, 1)
+        rest = np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / whole, 1.0)
+        p = (np.maximum(count - _taken(count, d), 0) / whole[context])[gram] + rest[context][gram] * p
+    tokens = np.log10(p)
     base = np.log10((b.count + 1) / (n + v + 1))[b.stream]
     sums = lambda x: np.add.reduceat(x, b.first) if len(b.first) else np.zeros(0)
     return pa.table(
@@ -299,15 +374,17 @@ def _sum_of(answers: DataFrame, kind: str) -> np.ndarray:
     return sum((np.frombuffer(r.data[0], np.int64) for r in rows), np.zeros(6, np.int64))
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, order: int = 2) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, by the model of the rows that aren't held out.
 
     A-Z are lower-cased; tokens are the words and one end.  base_score: the
-    log10 probability under add-one unigrams; score: under the bigram model,
-    which for a word never learnt still has a share, as one more word.  Null or
-    empty texts are an end alone.  Repeated rows are learnt from as often, and
-    scored each.  Other columns are left to the caller.
+    log10 probability under add-one unigrams; score: under the model of n-grams
+    up to `order` (2 at least), which for a word never learnt still has a share,
+    as one more word.  Null or empty texts are an end alone.  Repeated rows are
+    learnt from as often, and scored each.  Other columns are left to the caller.
     """
+    if order < 2:
+        raise ValueError("the order must be 2 at least")
     held = is_held_out(F.col(f"`{key}`")) if held_out is None else F.coalesce(held_out, F.lit(False))
     source = docs.select(F.col(f"`{key}`").alias("id"), held.alias("held"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     parts = max(2, n_blocks(docs, text, BLOCK_TEXT) // 2)
@@ -316,11 +393,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     asked = source.mapInArrow(_packed(parts, "words"), _MESSAGE)
     words = written(asked.groupBy("part").applyInArrow(lambda t: _answer_words(t, parts), _MESSAGE))
     of_block = words.where("kind = 'word'").groupBy("block")
-    bigrams = blocks.cogroup(of_block).applyInArrow(lambda x, y: _ask_bigrams(x, y, parts), _MESSAGE)
-    bigrams = written(bigrams.groupBy("part").applyInArrow(lambda t: _answer_bigrams(t, parts), _MESSAGE))
-    ends = words.where("kind = 'word'").groupBy("part").cogroup(bigrams.where("kind = 'ends'").groupBy("part")).applyInArrow(_answer_ends, _MESSAGE)
+    sent = blocks.cogroup(of_block).applyInArrow(lambda x, y: _ask_grams(x, y, parts, order), _MESSAGE)
+    grams: dict[int, DataFrame] = {}
+    answer = lambda n: lambda t: _answer_grams(t, n, order, parts)
+    for n in range(order, 1, -1):
+        grams[n] = written(sent.groupBy("part").applyInArrow(answer(n), _MESSAGE))
+        sent = grams[n].where(F.col("kind").isin(f"ends{n - 1}", *(f"ask{k}" for k in range(2, n))))
+    ends = words.where("kind = 'word'").groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_answer_ends, _MESSAGE)
     ends = written(ends)
-    sums = [_sum_of(t, k) for t, k in ((words, "words"), (bigrams, "bigrams"), (ends, "types"))]
-    told = words.where("kind = 'word'").union(bigrams.where("kind = 'bigram'")).union(ends.where("kind = 'end'"))
+    sums = _sum_of(words, "words"), [_sum_of(grams[n], f"grams{n}") for n in sorted(grams)], _sum_of(ends, "types")
+    told = words.where("kind = 'word'").union(ends.where("kind = 'end'"))
+    for n, answers in grams.items():
+        told = told.union(answers.where(F.col("kind") == f"gram{n}"))
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return blocks.cogroup(told.groupBy("block")).applyInArrow(lambda x, y: _scores(x, y, parts, *sums, key), schema)

@@ -197,7 +197,7 @@ QUERIES["op6_license_scan"] = op6_license_scan
 
 
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneser_ney.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kneser_ney.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
 
 
 QUERIES["op2_kneser_ney"] = op2_kneser_ney

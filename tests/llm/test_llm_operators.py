@@ -94,6 +94,52 @@ def test_language_model_is_kneser_ney(docs):
     assert kneser_ney.score(docs.limit(0)).count() == 0
 
 
+def brute_language_model(train, order):
+    """p(context, word) of interpolated modified Kneser-Ney; a context holds the words before, from one beginning on."""
+    grams = [Counter() for _ in range(order + 1)]
+    for x in train:
+        y = ["\1", *x]
+        for n in range(1, order + 1):
+            grams[n].update(tuple(y[i : i + n]) for i in range(len(y) - n + 1))
+    counts = [None] * (order + 1)
+    for n in range(1, order + 1):
+        types = Counter(g[1:] for g in grams[n + 1]) if n < order else None
+        counts[n] = {g: k if n == order or g[0] == "\1" else types[g] for g, k in grams[n].items() if g != ("\1",)}
+    hist = lambda n: np.array([sum(k == j for k in counts[n].values()) for j in (1, 2, 3, 4)])
+    off = [None] + [kneser_ney.discounts(hist(n)) for n in range(1, order + 1)]
+    taken = lambda k, n: off[n][min(k, 3) - 1] if k else 0.0
+    total, rest = Counter(), Counter()
+    for n in range(1, order + 1):
+        for g, k in counts[n].items():
+            total[g[:-1]] += k
+            rest[g[:-1]] += taken(k, n)
+    words = len(counts[1])
+
+    def p(context, w):
+        n = len(context) + 1
+        below = p(context[1:], w) if context else 1 / (words + 1)
+        k = counts[n].get((*context, w), 0)
+        return max(k - taken(k, n), 0) / total[context] + rest[context] / total[context] * below if total[context] else below
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order(spark, docs, tmp_path, order):
+    base = docs.withColumn("text", F.when(F.col("doc_id") < 30, F.concat_ws(" ", "text", "text")).otherwise(F.col("text")))
+    texts = {r.doc_id: [*spaced(r.text, True), "\0"] for r in base.collect()}
+    train = [x for i, x in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    p = brute_language_model(train, order)
+    want = {i: sum(math.log10(p(tuple(["\1", *x][max(0, j + 2 - order) : j + 1]), w)) for j, w in enumerate(x)) for i, x in texts.items()}
+    got = {r.doc_id: r.score for r in kneser_ney.score(base, order=order).collect()}
+    assert got == pytest.approx(want)
+    if order == 3:
+        from tempora.llm.queries import QUERIES
+
+        base.write.parquet(f"{tmp_path}/documents.parquet")
+        assert {r.doc_id: r.score for r in QUERIES["op2_kneser_ney"](spark, str(tmp_path)).collect()} == pytest.approx(want)
+
+
 def brute_components(texts, size, num, den):
     sets = []
     for t in texts:
