@@ -354,9 +354,9 @@ def mention_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reasoner_closure(spark: SparkSession, d: str) -> DataFrame:
-    """A network for each customer: the relations of its first orders to the next."""
+    """A network for each customer: the relation of each of its orders to the next; networks over the reasoner's limits say BudgetExceeded."""
     w = Window.partitionBy("customer").orderBy("order")
-    o = _orders(spark, d).where("start < end").withColumn("n", F.row_number().over(w)).where("n <= 6")
+    o = _orders(spark, d).where("start < end").withColumn("n", F.row_number().over(w))
     a, b = (o.select(*[F.col(c).alias(f"{p}_{c}") for c in ("customer", "n", "start", "end")]) for p in ("a", "b"))
     p = a.join(b, (F.col("a_customer") == F.col("b_customer")) & (F.col("a_n") + 1 == F.col("b_n")))
     mask = allen.singleton(allen.classify(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))

@@ -1,4 +1,6 @@
+import datetime
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from tempora.functions import allen, clocks, intervals, wire
 from tempora.functions.guards import InvalidRows, assert_valid, code, with_code
 from tempora.operators.reasoner import Contradiction, Network, close_networks
+from tempora.plans import queries
 
 
 def column(spark, values, kind="string"):
@@ -115,6 +118,44 @@ def test_networks_beside_each_other(spark):
     assert {r.error_code for r in got if r.network == "b"} == {"Contradiction"} and {r.error_code for r in got if r.network == "a"} == {None}
 
 
+NAMED = [("before", (0, 1), (2, 3)), ("meets", (0, 1), (1, 2)), ("overlaps", (0, 2), (1, 3)), ("starts", (0, 1), (0, 2)), ("during", (1, 2), (0, 3)), ("finishes", (1, 2), (0, 2))]
+NAMED += [(allen.CONVERSE[n], y, x) for n, x, y in NAMED] + [("equals", (0, 1), (0, 1))]
+
+
+def test_closure_of_all_orders(spark, tmp_path):
+    rng = random.Random(7)
+    sizes = {1: 2, 2: 7, 3: 13, 4: 258}
+    orders = [(c * 1000 + k, c, rng.randint(0, 40), rng.randint(1, 12)) for c, n in sizes.items() for k in range(n)]
+    day = lambda x: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=x)
+    spark.createDataFrame([(k, c, day(a), 1.0) for k, c, a, _ in orders], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, day(a + d)) for k, _, a, d in orders], "l_orderkey bigint, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES["reasoner_closure"](spark, str(tmp_path)).where("network < 4 OR i + j = 0").collect()
+    assert {(r.network, r.error_code) for r in got} == {(1, None), (2, None), (3, None), (4, "BudgetExceeded")}
+
+    def relation(a, b):
+        sign = lambda x, y: (x > y) - (x < y)
+        return sign(a[0], b[0]), sign(a[0], b[1]), sign(a[1], b[0]), sign(a[1], b[1])
+
+    spans = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    table = {}
+    for x, y, z in itertools.product(spans, repeat=3):
+        table.setdefault((relation(x, y), relation(y, z)), set()).add(relation(x, z))
+    name = {relation(x, y): allen.BIT[n] for n, x, y in NAMED}
+    for c in (1, 2, 3):
+        own = [(a, a + d) for _, x, a, d in orders if x == c]
+        cell = {(i, j): set(name) for i in range(len(own)) for j in range(len(own))}
+        for i in range(len(own)):
+            cell[i, i] = {relation(own[i], own[i])}
+            if i:
+                cell[i - 1, i], cell[i, i - 1] = {relation(own[i - 1], own[i])}, {relation(own[i], own[i - 1])}
+        while True:
+            less = {(i, j): cell[i, j].intersection(*(set().union(*(table[a, b] for a in cell[i, k] for b in cell[k, j])) for k in range(len(own)))) for i, j in cell}
+            if less == cell:
+                break
+            cell = less
+        assert {(r.i, r.j): r.mask for r in got if r.network == c} == {k: sum(name[x] for x in v) for k, v in cell.items()}
+
+
 def test_wire_is_strict(spark):
     good = '{"schema_version":1,"clock_type":"event_time","timestamp":"2026-01-01T00:00:00Z"}'
     df = column(spark, [good, good.replace("}", ',"x":1}'), good.replace("1,", "2,", 1), good.replace("event", "system"), good.replace("-01T", "-41T"), "nonsense", None])
