@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Label, keyword that every form of the family has, and its name as a regular expression over words.
+#: Label, keyword that every form of the family has as a word (with *: as a word's beginning), and its name as a regular expression over words.
 FAMILIES = [
     ("agpl", "affero", r"(?:gnu )?affero general public"),
     ("lgpl", "lesser", r"(?:gnu )?lesser general public"),
-    ("gpl", "gpl", r"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
+    ("gpl", "gpl*", r"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?"),
     ("gpl", "gnu", r"gnu general public"),
     ("gfdl", "gnu", r"gnu free documentation"),
     ("apache", "apache", r"apache(?: software)?"),
@@ -58,9 +58,9 @@ FAMILIES = [
     ("odbl", "database", r"open(?: data commons)? database"),
     ("cc0", "cc0", r"cc0(?: 1 0)?"),
     ("cc-by-nc-nd", "noderivatives", r"creative commons attribution noncommercial noderivatives"),
-    ("cc-by-nc-sa", "sharealike", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc-sa", "commons", r"creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc", "commons", r"creative commons attribution non ?commercial"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike"),
+    ("cc-by-sa", "commons", r"creative commons attribution share ?alike"),
     ("cc-by", "commons", r"creative commons attribution"),
     ("proprietary", "proprietary", r"proprietary"),
 ]
@@ -84,7 +84,8 @@ def rules() -> list[dict]:
     """The rules in their order."""
     out = [{"keyword": p.split()[0], "regex": p, "label": label, "priority": 1, "base": True} for p, label in BASE.items()]
     out += [{"keyword": k, "regex": form.replace("{name}", f"(?:{name})"), "label": label, "priority": p, "base": False} for label, k, name in FAMILIES for p, form in FORMS]
-    return [{"rule": i, **r, "regex": f"(?<= ){r['regex']}(?= )"} for i, r in enumerate(out)]
+    keyword = lambda k: f" {k[:-1]}" if k.endswith("*") else f" {k} "
+    return [{"rule": i, **r, "keyword": keyword(r["keyword"]), "regex": f"(?<= ){r['regex']}(?= )"} for i, r in enumerate(out)]
 
 
 def _rule_table() -> Column:
@@ -148,7 +149,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     line = F.when(gate, F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")))
     n_words = F.regexp_count(value, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], n_words.alias("n_words"), line.alias("__line"))
-    active = F.filter(_rule_table(), lambda r: F.col("__line").contains(F.concat(F.lit(" "), r["keyword"], F.lit(" "))))
+    active = F.filter(_rule_table(), lambda r: F.col("__line").contains(r["keyword"]))
     found = F.flatten(F.transform(active, lambda r: _found(F.col("__line"), r)))
     none = F.array().cast(f"array<{_DETECTION}>")
     rows = rows.withColumn("detections", F.when(F.col("__line").isNull(), none).otherwise(_unsuppressed(found)))

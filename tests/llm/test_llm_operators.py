@@ -263,6 +263,48 @@ def test_license_scan(spark):
         assert r.score == pytest.approx(1 - math.prod(1 - licenses.WEIGHTS[d[2]] for d in keep)) and 0 <= r.score < 1
 
 
+def expanded(parsed):
+    """All texts of a rule's regular expression, each option and alternative taken and left (a number: one or two digits)."""
+    out = [""]
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(x)]
+        elif name == "IN":
+            more = ["2", "20"] if str(x[0][0]) == "CATEGORY" else [chr(c) for kind, v in x for c in (range(v[0], v[1] + 1) if str(kind) == "RANGE" else [v])]
+        elif name == "MAX_REPEAT":
+            more = [*([""] if x[0] == 0 else []), *expanded(x[2])]
+        elif name == "SUBPATTERN":
+            more = expanded(x[3])
+        elif name == "BRANCH":
+            more = [t for b in x[1] for t in expanded(b)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_keywords_stand_in_every_form():
+    for x in licenses.rules():
+        for t in expanded(re._parser.parse(x["regex"])):
+            assert re.search(x["regex"], f" {t} ") and x["keyword"] in f" {t} ", (t, x)
+
+
+def test_license_scan_of_joined_names(spark):
+    names = [t for label, _, name in licenses.FAMILIES if label == "gpl" or label.startswith("cc-by") for t in expanded(re._parser.parse(name))]
+    texts = [f"{a} {n}{b}" for n in names for a, b in (("Licensed under the", ""), ("x", " licence 3 or later"))] + ["Licensed under the GPLv3", "licensed under the Creative Commons Attribution-Share Alike"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    rules = licenses.rules()
+    for i, t in enumerate(texts):
+        line = f" {' '.join(ALNUM.findall(t.translate(LOWER)))} "
+        found = [(start := line[: m.start()].count(" ") - 1, start + m.group().count(" ") + 1, x["priority"], x["rule"], x["label"], x["base"]) for x in rules for m in re.finditer(x["regex"], line)]
+        ordered = sorted(found, key=lambda d: (d[0], -d[1], d[2], d[3]))
+        keep = [d for k, d in enumerate(ordered) if d[5] or not any(not e[5] and e[2] <= d[2] and e[0] <= d[0] and e[1] >= d[1] for e in ordered[:k])]
+        assert [tuple(d) for d in got[i].detections] == keep, t
+    assert [got[len(texts) - 2].labels, got[len(texts) - 1].labels] == [["gpl"], ["cc-by-sa"]]
+
+
 def test_shards(spark, docs):
     copies = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(40)).select(*docs.columns))
     got = sharding.assign(copies, shards=5).collect()
