@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -26,11 +27,21 @@ CODED = ("__codes", "__new", "__long", "__anew")
 LONG = 96
 
 
-def split_words(docs: DataFrame, text: str, keep: list[str] | None, *replaced: str) -> DataFrame:
-    """The columns `keep` (None: all, but `replaced`) and __words, the pattern's matches in the text (null: none)."""
+def split_words(docs: DataFrame, text: str, keep: list[str] | None, *replaced: str, added: Sequence[str] = ()) -> DataFrame:
+    """The columns `keep` (None: all, but `replaced`) and __words, the pattern's matches in the text (null: none).
+
+    added: tokens that are words of their own wherever they stand; the pattern sees what lies between them.
+    """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in replaced]
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_extract_all(value, F.lit(JAVA_PATTERN), F.lit(0)).alias("__words"))
+    matches = lambda x: F.regexp_extract_all(x, F.lit(JAVA_PATTERN), F.lit(0))
+    words = matches(value)
+    if added:
+        either = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in sorted(added, key=len, reverse=True))
+        between, own = F.split(value, either, -1), F.regexp_extract_all(value, F.lit(either), F.lit(0))
+        pieces = F.flatten(F.transform(between, lambda x, i: F.concat(matches(x), F.slice(own, i + 1, 1))))
+        words = F.when(functools.reduce(Column.__or__, (value.contains(t) for t in added)), pieces).otherwise(words)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], words.alias("__words"))
 
 
 class Coder:

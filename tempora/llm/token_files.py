@@ -35,19 +35,25 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(path)
+
+
+def _added_tokens(path: str) -> list[str]:
+    """The texts of the file's added tokens, which the library takes out of a text before its pattern sees it."""
+    tokens = _tokenizer(path).get_added_tokens_decoder().values()
+    if any(t.single_word or t.lstrip or t.rstrip for t in tokens):
+        raise ValueError("added tokens that depend on what stands beside them aren't supported")
+    return [t.content for t in tokens]
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, end: int | None = None) -> DataFrame:
-    """`keep` (None: all columns) and `ids` by the tokenizers library's byte-level file at `path`, without special tokens, `end` after each document.
+    """`keep` (None: all columns) and `ids` by the tokenizers library's byte-level file at `path`, no special tokens put in, `end` after each document.
 
-    The library's merges never cross its pattern's matches, so it is handed
-    each distinct match of a task once.  Null or empty texts have no ids but
-    `end`.  A column named ids is replaced.
+    The library's merges never cross its pattern's matches nor its added tokens,
+    so it is handed each distinct match and token of a task once.  Null or empty
+    texts have no ids but `end`.  A column named ids is replaced.
     """
-    coded = with_codes(split_words(docs, text, keep, "ids"))
+    coded = with_codes(split_words(docs, text, keep, "ids", added=_added_tokens(path)))
     kept = [c for c in coded.columns if c not in CODED]
 
     def run(batches):

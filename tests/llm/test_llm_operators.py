@@ -241,6 +241,17 @@ def test_token_files(spark, docs, tmp_path):
         at += len(ids)
 
 
+def test_token_files_take_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, mark = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    lib = Tokenizer.from_file(path)
+    texts = [mark, mark * 2, f"a  {mark}  b", f"end.{mark}!{mark}", f"<|{mark}|> <|endoftext|", f"x\n\n{mark}\n\ny {mark} ", "none here", "", None]
+    got = {r.i: list(r.ids) for r in token_files.tokenize(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), path).collect()}
+    assert got == {i: lib.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)} and got[0] == [50256]
+
+
 LICENSED = ["Licensed under the Apache License, Version 2.0!", "MIT license mit LICENSE", "gnu general public license v3 or later", "cc-by 4", "account by", "accc by", "CC\n\nBY", "the Apache-license. The GNU Lesser General Public License version 2 1", "İcc by", "permission is hereby granted under the MIT license", None, ""]
 
 
