@@ -1,9 +1,9 @@
 """Byte-level BPE in Spark: ranked merges folded by higher-order functions.
 
-A text is split by the tokenizer's pattern on the JVM.  Each task keeps the
-distinct words it has met (a bounded dictionary, started anew when full), so a
-word is folded once a task and not once an occurrence; the fold is a Spark
-``aggregate`` over the word's ids, which looks pairs up in a literal rank map.
+A text is split as by the tokenizer's pattern.  Each task keeps the distinct
+words it has met (a bounded dictionary, started anew when full), so a word is
+folded once a task and not once an occurrence; the fold is a Spark
+``aggregate`` over the word's bytes, which looks pairs up in a literal rank map.
 No step shuffles, so cost is linear in the text and a lost executor costs only
 its own splits.
 
@@ -22,17 +22,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dictionary import CODED, Dictionary, assembled, split_words, with_codes
+from .dictionary import CODED, LONG, Dictionary, assembled, with_codes
+from .frames import releasing
 
 #: Words of more bytes than this are merged with a heap in a Python worker: a
 #: fold costs the square of the word's length, a heap n log n.
-MAX_FOLD_BYTES = 96
-#: The rank of a pair that no merge joins.
-NONE = 1 << 30
+MAX_FOLD_BYTES = LONG
+#: The least rank of a pair that no merge joins.
+NONE = 1 << 20
 #: Documents decoded at a time in a worker.
 ROWS = 500
 
@@ -62,10 +63,11 @@ def pair_map(path: str) -> dict[int, int]:
     return out
 
 
-def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
-    """The sparse table left x right -> merged, its rows laid over each other in one array.
+def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """The sparse table left x right -> merged, its rows laid over each other in one array: where each row starts, and the cells.
 
-    The pair (a, b) is in cell ``start[a] + b``, if ``owner`` has ``a`` there.
+    The pair (a, b) is in cell ``start[a] + b``, which holds a << 20 | merged;
+    another's cell, or a free one, differs above the lower 20 bits.
     Large rows are laid first, each at the first of a fixed series of random
     places where all its cells are free.
     """
@@ -75,27 +77,26 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int], list[in
     n = 1 + max(max(rows), max(map(max, rows.values())))
     room = 3 * len(pairs) + 16
     taken, start = np.zeros(n + room, bool), [0] * n
-    owner, merged = np.full(n + room, -1, np.int64), np.zeros(n + room, np.int64)
+    cells = np.full(n + room, 0xFFFFF << 20, np.int64)
     places = np.random.Generator(np.random.PCG64(5))
     for left in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         own = np.array(rows[left])
         while taken[own + (at := int(places.integers(room)))].any():
             pass
         start[left], taken[own + at] = at, True
-        owner[own + at], merged[own + at] = left, [pairs[left << 20 | int(b)] for b in own]
-    return start, owner.tolist(), merged.tolist()
+        cells[own + at] = [left << 20 | pairs[left << 20 | int(b)] for b in own]
+    return start, cells.tolist()
 
 
 @functools.lru_cache(maxsize=4)
 def _tables(path: str) -> dict[str, list[int]]:
-    ranks, (start, owner, merged) = load_ranks(path), displaced_rows(pair_map(path))
-    codes = {(ord(f"{b:02X}"[0]) - 48) * 23 + ord(f"{b:02X}"[1]) - 48: ranks[bytes([b])] for b in range(256)}
-    return {"bytes": [codes.get(i, 0) for i in range(max(codes) + 1)], "start": start, "owner": owner, "merged": merged}
+    ranks, (start, cells) = load_ranks(path), displaced_rows(pair_map(path))
+    return {"bytes": [ranks[bytes([b])] for b in range(256)], "start": start, "cells": cells}
 
 
 def rank_map(path: str) -> Column:
     """The literal rank map, a struct of arrays. Its size is the vocabulary's, and constant folding makes it once."""
-    return F.struct(*[F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<int>)").alias(k) for k, v in _tables(path).items()])
+    return F.struct(*[F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<bigint>)").alias(k) for k, v in _tables(path).items()])
 
 
 def fold_words(words: Column, path: str) -> Column:
@@ -110,38 +111,40 @@ def fold_words(words: Column, path: str) -> Column:
 def fold_word(word: Column, ranks: Column) -> Column:
     """The ids of a word of text (empty: none): its bytes' ids, of which the lowest-ranked pair is merged, the leftmost first, until none is left.
 
-    The fold's state holds the ids and each neighbouring pair's rank (NONE
-    without a merge), so that a step looks up only the two pairs it makes.
+    A place of the fold's array holds the rank of the pair that starts there
+    (NONE or more without a merge) over 20 bits of its own id, so a step looks
+    up only the two pairs it makes, and the array's least value is the next pair.
     """
-    digits, n = F.hex(word), F.octet_length(word)
+    n = F.octet_length(word)
 
-    def rank(left: Column, right: Column) -> Column:
-        at = F.get(ranks["start"], left) + right
-        return F.when(F.get(ranks["owner"], at) == left, F.get(ranks["merged"], at)).otherwise(F.lit(NONE))
+    def place(left: Column, right: Column) -> Column:
+        found = F.get(ranks["cells"], (F.get(ranks["start"], left.cast("int")) + right).cast("int"))
+        rank = F.coalesce(found.bitwiseXOR(F.shiftleft(left, 20)), F.lit(NONE))
+        return F.shiftleft(rank, 20).bitwiseOR(left)
+
+    def own(at: Column) -> Column:
+        return at.bitwiseAND(F.lit(0xFFFFF))
 
     def step(state: Column, _: Column) -> Column:
-        ids, pairs, best = state["ids"], state["pairs"], state["best"]
+        places, at, best = state["places"], state["at"], state["best"]
 
-        def merge(p: Column) -> Column:  # p: the merged pair's place, from 0
-            joined = F.transform(F.slice(ids, F.lit(1), F.size(pairs)), lambda x, i: F.when(i < p, x).when(i == p, best).otherwise(F.get(ids, i + 1)))
-            ranked = F.transform(
-                F.slice(pairs, F.lit(1), F.size(pairs) - 1),
-                lambda x, i: F.when(i < p - 1, x).when(i == p - 1, rank(F.get(ids, i), best)).when(i == p, rank(best, F.get(ids, i + 2))).otherwise(F.get(pairs, i + 1)),
-            )
-            return _state(joined, ranked)
+        def merged(x: Column, i: Column) -> Column:
+            after = F.when(i == at, place(best, own(F.get(places, at + 2)))).when(i == at + 1, F.lit(-1).cast("bigint")).otherwise(place(own(x), best))
+            return F.when(F.abs(i - at) > 1, x).otherwise(after)
 
-        return F.when(best >= NONE, state).otherwise(F.get(F.transform(F.array(F.array_position(pairs, best).cast("int") - 1), merge), 0))
+        return F.when(best >= NONE, state).otherwise(_state(F.array_remove(F.transform(places, merged), F.lit(-1).cast("bigint"))))
 
+    bytes_ = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    ids = F.transform(F.sequence(F.lit(1), n), lambda at: F.get(ranks["bytes"], F.ascii(F.substring(bytes_, at, F.lit(1)))))
+    first = F.get(F.transform(F.array(ids), lambda ids: _state(F.transform(ids, lambda left, i: place(left, F.get(ids, i + 1))))), 0)
     none = F.array().cast("array<int>")
-    # a byte's id by the codes of its two hexadecimal digits, less those of 0
-    digit = lambda at: F.ascii(F.substring(digits, at, F.lit(1))) - 48
-    byte = F.transform(F.sequence(F.lit(1), n * 2, F.lit(2)), lambda at: F.get(ranks["bytes"], digit(at) * 23 + digit(at + 1)))
-    first = F.get(F.transform(F.array(byte), lambda ids: _state(ids, F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda left, i: rank(left, F.get(ids, i + 1))))), 0)
-    return F.when(n == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s["ids"]))
+    return F.when(n == 0, none).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: F.transform(s["places"], lambda x: own(x).cast("int"))))
 
 
-def _state(ids: Column, pairs: Column) -> Column:
-    return F.get(F.transform(F.array(pairs), lambda p: F.struct(ids.alias("ids"), p.alias("pairs"), F.coalesce(F.array_min(p), F.lit(NONE)).alias("best"))), 0)
+def _state(places: Column) -> Column:
+    """The places, where the next pair to merge stands (from 0) and its rank."""
+    least = lambda p: F.array_min(p)
+    return F.get(F.transform(F.array(places), lambda p: F.struct(p.alias("places"), (F.array_position(p, least(p)) - 1).cast("int").alias("at"), F.shiftright(least(p), 20).alias("best"))), 0)
 
 
 def heap_merge(word: bytes, path: str) -> list[int]:
@@ -167,13 +170,9 @@ def heap_merge(word: bytes, path: str) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (None: all) and `ids`, those of the whole text by the rank file at `path` (on every node).
-
-    Null or empty texts have no ids.  Special tokens' strings are ordinary
-    text.  Repeated rows are encoded each; a column named ids is replaced.
-    """
-    coded = with_codes(split_words(docs, text, keep, "ids"))
+def _folded(docs: DataFrame, path: str, text: str, keep: list[str] | None, *replaced: str):
+    """`docs` with words' numbers and the ids of new words; a function from its batches to those of `kept` and ids; kept."""
+    coded = with_codes(docs, text, keep, *replaced)
     folded = coded.withColumn("__new_ids", fold_words(F.col("__new"), path)).drop("__new")
     kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
 
@@ -191,10 +190,33 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
                     rest = iter(long)
                     new = pa.array([x if x is not None else heap_merge(next(rest).encode(), path) for x in new.to_pylist()], pa.list_(pa.int32()))
                 known.add(new)
-                yield from assembled(part.select(kept), part["__codes"].chunk(0), known)
+                codes = part["__codes"].chunk(0)
+                values = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), codes), b"")[0].as_buffer(), np.int32)
+                for at, ids in assembled(values, pc.binary_length(codes).to_numpy() // 4, known):
+                    yield pa.record_batch([*(part[c].chunk(0).slice(at, len(ids)) for c in kept), ids], names=[*kept, "ids"])
+
+    return folded, run, kept
+
 
-    schema = ", ".join([*(f"`{c}` {folded.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
-    return folded.mapInArrow(run, schema)
+def _fields(df: DataFrame, kept: list[str]) -> list[str]:
+    return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (None: all) and `ids`, those of the whole text by the rank file at `path` (on every node).
+
+    Null or empty texts have no ids.  Special tokens' strings are ordinary
+    text.  Repeated rows are encoded each; a column named ids is replaced.
+    """
+    folded, run, kept = _folded(docs, path, text, keep, "ids")
+    return folded.mapInArrow(releasing(run), ", ".join([*_fields(folded, kept), "ids array<int>"]))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """As encode(), and `decoded`, the bytes that decode() gives for the ids, in the worker that has put them together."""
+    folded, run, kept = _folded(docs, path, text, keep, "ids", "decoded")
+    both = lambda batches: decoded_batches(run(batches), path, [*kept, "ids"])
+    return folded.mapInArrow(releasing(both), ", ".join([*_fields(folded, kept), "ids array<int>, decoded binary"]))
 
 
 def decoded_batches(batches: Iterable[pa.RecordBatch], path: str, kept: list[str], ids: str = "ids", to: str = "decoded") -> Iterator[pa.RecordBatch]:
@@ -211,8 +233,8 @@ def decoded_batches(batches: Iterable[pa.RecordBatch], path: str, kept: list[str
             lists = part[ids]
             own = lists.flatten().fill_null(none).to_numpy(zero_copy_only=False)
             own = np.where((own < 0) | (own > none), none, own)
-            offsets = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            joined = pa.compute.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(own))), b"")
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(pa.array(own))), b"")
             yield pa.record_batch([*(part[c] for c in kept), joined], names=[*kept, to])
 
 
@@ -222,21 +244,24 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
     No ids, or null, are no bytes; an id that is null or outside the vocabulary adds none.
     """
     kept = [c for c in encoded.columns if c != to]
-    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept), f"`{to}` binary"])
-    return encoded.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(lambda batches: decoded_batches(batches, path, kept, ids, to), schema)
+    source = encoded.select(*[F.col(f"`{c}`") for c in kept])
+    return source.mapInArrow(releasing(lambda batches: decoded_batches(batches, path, kept, ids, to)), ", ".join([*_fields(source, kept), f"`{to}` binary"]))
 
 
-def digests(encoded: DataFrame, path: str, key: str, ids: str = "ids") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): digests of the decimal ids joined by commas and of the bytes that decode() gives."""
+def digests(docs: DataFrame, path: str, key: str, text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each row: digests of the decimal ids of its text, joined by commas, and of the bytes that the ids decode to.
 
-    def run(batches):
+    Null or empty texts have no ids; repeated rows and null keys stay as they are.
+    """
+    folded, run, kept = _folded(docs, path, text, [key])
+
+    def digest(batches):
         numbers = pa.array([str(i) for i in range(max(load_ranks(path).values()) + 1)])
-        for part in decoded_batches(batches, path, [key, ids], ids):
-            lists = part[ids]
-            offsets = pa.compute.cast(lists.offsets, pa.int64()).to_numpy() - lists.offsets[0].as_py()
-            texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), numbers.take(lists.flatten())), ",")
+        for part in decoded_batches(run(batches), path, [key, "ids"]):
+            lists = part["ids"]
+            offsets = pc.cast(lists.offsets, pa.int64()).to_numpy() - lists.offsets[0].as_py()
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), numbers.take(lists.flatten())), ",")
             sha = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in (texts, part["decoded"])]
             yield pa.record_batch([part[key], pa.array(np.diff(offsets)), *map(pa.array, sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return folded.mapInArrow(releasing(digest), ", ".join([*_fields(folded, kept), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]))

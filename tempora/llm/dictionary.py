@@ -2,46 +2,27 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator, Sequence
+import itertools
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .frames import releasing
+from .pieces import split
 
-#: Unicode White_Space, which the tokenizers' \\s means (Java's \\s is ASCII).
-_WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The splitting pattern of the public byte-level tokenizers, for Java.
-JAVA_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|[" + _WS + r"]+(?![^" + _WS + r"])|[" + _WS + "]+"
-#: Distinct words a task remembers before it starts its dictionary anew.
-MAX_WORDS = 600_000
-#: Documents handled at a time, and ids put together at a time.
-ROWS, IDS = 2_000, 1_000_000
+#: Distinct words, and their characters, that a task remembers before it starts its dictionary anew.
+MAX_WORDS, MAX_CHARACTERS = 600_000, 30_000_000
+#: Bytes of text handled at a time, and ids put together at a time.
+TEXT_BYTES, IDS = 2_000_000, 500_000
 #: The columns that with_codes() adds.
 CODED = ("__codes", "__new", "__long", "__anew")
 #: Words of more bytes also go into __long.
-LONG = 96
-
-
-def split_words(docs: DataFrame, text: str, keep: list[str] | None, *replaced: str, added: Sequence[str] = ()) -> DataFrame:
-    """The columns `keep` (None: all, but `replaced`) and __words, the pattern's matches in the text (null: none).
-
-    added: tokens that are words of their own wherever they stand; the pattern sees what lies between them.
-    """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in replaced]
-    value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    matches = lambda x: F.regexp_extract_all(x, F.lit(JAVA_PATTERN), F.lit(0))
-    words = matches(value)
-    if added:
-        either = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in sorted(added, key=len, reverse=True))
-        between, own = F.split(value, either, -1), F.regexp_extract_all(value, F.lit(either), F.lit(0))
-        pieces = F.flatten(F.transform(between, lambda x, i: F.concat(matches(x), F.slice(own, i + 1, 1))))
-        words = F.when(functools.reduce(Column.__or__, (value.contains(t) for t in added)), pieces).otherwise(words)
-    return docs.select(*[F.col(f"`{c}`") for c in kept], words.alias("__words"))
+LONG = 512
 
 
 class Coder:
@@ -49,50 +30,59 @@ class Coder:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.characters = 0
 
     def code(self, words: pa.Array) -> tuple[np.ndarray, list[str], bool]:
         """The words' numbers, the words that are new, and whether the numbers begin anew."""
         coded = words.dictionary_encode()
-        own = coded.dictionary.to_pylist()
-        anew = len(self.known) > MAX_WORDS
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        anew = len(self.known) > MAX_WORDS or self.characters > MAX_CHARACTERS
         if anew:
-            self.known = {}
+            self.known, self.characters = {}, 0
         known, n = self.known, len(self.known)
-        number = np.fromiter((known.setdefault(w, len(known)) for w in own), np.int32, len(own))
-        new = [w for w, k in zip(own, number.tolist(), strict=True) if k >= n]
+        number = np.fromiter(map(known.get, own, itertools.repeat(-1)), np.int32, len(own))
+        fresh = np.flatnonzero(number < 0)
+        new = [own[i] for i in fresh.tolist()]
+        number[fresh] = np.arange(n, n + len(new))
+        known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.characters += sum(map(len, new))
         return number[coded.indices.to_numpy(zero_copy_only=False)], new, anew
 
 
-def batches_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, ROWS):
-        yield batch.slice(at, ROWS)
+def coded_batches(batches: Iterable[pa.RecordBatch], text: str, added: Sequence[str] = ()) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], bool]]:
+    """Of a few rows at a time: the rows, the numbers of their words, how many words each has, the words first met here, and whether the numbers begin anew.
+
+    A number is a word's place in the list of all new words up to and with
+    these, since the numbers began anew.
+    """
+    coder = Coder()
+    for batch in batches:
+        for at, texts in W.pieces(batch[text], TEXT_BYTES):
+            words, counts = split(texts, added)
+            codes, new, anew = coder.code(words)
+            yield batch.slice(at, len(texts)), codes, counts, new, anew
 
 
-def with_codes(split: DataFrame) -> DataFrame:
-    """__words as __codes (32-bit numbers), and on some rows the words first met there.
+def with_codes(docs: DataFrame, text: str, keep: list[str] | None, *replaced: str) -> DataFrame:
+    """The columns `keep` (None: all, but `replaced`), the text's words as __codes (32-bit numbers), and on some rows the words first met there.
 
     A row's numbers are places in the list of all __new words of its task up to
-    and with its own, since the last row with __anew.
+    and with its own, since the last row with __anew.  A null text has no words.
     """
-    kept = [c for c in split.columns if c != "__words"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in replaced]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        coder = Coder()
-        for batch in batches:
-            for part in batches_of(batch):
-                n = part.num_rows
-                lists = part["__words"]
-                codes, new, anew = coder.code(lists.flatten())
-                ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)) * 4
-                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32).tobytes()), pa.py_buffer(codes.tobytes())])
-                long = [w for w in new if len(w) * 4 > LONG and len(w.encode()) > LONG]
-                yield pa.record_batch(
-                    [*(part[c] for c in kept), binary, *(pa.array([x, *[[]] * (n - 1)], pa.list_(pa.string())) for x in (new, long)), pa.array([anew, *[False] * (n - 1)])],
-                    names=[*kept, "__codes", "__new", "__long", "__anew"],
-                )
-
-    fields = [*(f"`{c}` {split.schema[c].dataType.simpleString()}" for c in kept), "__codes binary, __new array<string>, __long array<string>, __anew boolean"]
-    return split.mapInArrow(run, ", ".join(fields))
+        for part, codes, counts, new, anew in coded_batches(batches, "__text"):
+            n = part.num_rows
+            ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+            long = [w for w in new if len(w) * 4 > LONG and len(w.encode()) > LONG]
+            lists = (pa.array([x, *[[]] * (n - 1)], pa.list_(pa.string())) for x in (new, long))
+            yield pa.record_batch([*(part[c] for c in kept), binary, *lists, pa.array([anew, *[False] * (n - 1)])], names=[*kept, *CODED])
+
+    fields = [*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), "__codes binary, __new array<string>, __long array<string>, __anew boolean"]
+    return source.mapInArrow(releasing(run), ", ".join(fields))
 
 
 class Dictionary:
@@ -111,20 +101,18 @@ class Dictionary:
         self.start, self.length = np.concatenate([self.start, first]), np.concatenate([self.length, length])
 
 
-def assembled(rows: pa.Table, codes: pa.Array, known: Dictionary, end: int | None = None) -> Iterator[pa.RecordBatch]:
-    """`rows` with ids, of their words by `codes`; end: an id to put after each."""
-    offsets = np.frombuffer(codes.buffers()[1], np.int32, len(codes) + 1, codes.offset * 4).astype(np.int64) // 4
-    values = np.frombuffer(codes.buffers()[2] or b"", np.int32)
+def assembled(codes: np.ndarray, counts: np.ndarray, known: Dictionary, end: int | None = None) -> Iterator[tuple[int, pa.ListArray]]:
+    """From which row on, and the ids of that and the following rows: those of their words (counts: how many) by `codes`; end: an id to put after each row."""
+    offsets = np.concatenate([[0], np.cumsum(counts)])
     at = 0
-    while at < len(codes):
+    while at < len(counts):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + IDS // 3, side="right")) - 1)
-        own = values[offsets[at] : offsets[stop]]
+        own = codes[offsets[at] : offsets[stop]]
         length = known.length[own]
         ids = known.ids[W.ragged(known.start[own], length)]
         ends = np.concatenate([[0], np.cumsum(length)])[offsets[at : stop + 1] - offsets[at]]
         if end is not None:
             ids = np.insert(ids, ends[1:], end)
             ends = ends + np.arange(len(ends))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-        yield from rows.slice(at, stop - at).append_column("ids", lists).combine_chunks().to_batches()
+        yield at, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
         at = stop

@@ -17,8 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
-    return bpe.digests(encoded, path, "doc_id")
+    return bpe.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, "doc_id")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.checksums(token_files.read(spark, folder).withColumnRenamed("key", "doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_checksums(spark, folder).withColumnRenamed("key", "doc_id")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

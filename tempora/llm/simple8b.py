@@ -16,44 +16,50 @@ _U = np.uint64
 _LIMITS = np.array([1 << w for w in WIDTHS], np.uint64)
 
 
-def _fit(ids: np.ndarray) -> np.ndarray:
-    """For each place the selector of a word that starts there."""
-    n = len(ids)
-    # the first selector wide enough for the id alone
-    need = np.searchsorted(_LIMITS, ids, side="right").astype(np.int8)
-    best = np.where(need < len(WIDTHS), len(WIDTHS) - 1, ESCAPE).astype(np.int8)
-    places = np.arange(n, dtype=np.int32)
-    for s in range(len(WIDTHS) - 2, -1, -1):  # a narrower fit holds more ids
-        c = COUNTS[s]
-        wide = need > s
-        stops = places[wide]
-        if not _gap(stops, n, c):
-            continue
-        following = np.append(stops, n)[np.cumsum(wide) - wide]  # the next id too wide, from each place on
-        best[following - places >= c] = s
-    return best
-
+def _fit(need: np.ndarray, n: int) -> np.ndarray:
+    """For each of the first n places of every row the selector of a word that starts there.
 
-def _gap(stops: np.ndarray, n: int, c: int) -> bool:
-    """Whether c places in a row are free of stops."""
-    edges = np.concatenate([[-1], stops, [n]])
-    return bool((np.diff(edges) > c).any())
+    need: of each id the first selector wide enough for it alone; places beyond a row's ids have more than any.
+    """
+    best = np.where(need[:, :n] < len(WIDTHS), len(WIDTHS) - 1, ESCAPE).astype(np.uint8)
+    most = need[:, :n].copy()  # of as many ids as a narrower word holds
+    k = 1
+    for s in range(len(WIDTHS) - 2, -1, -1):
+        for k in range(k, COUNTS[s]):
+            np.maximum(most, need[:, k : k + n], out=most)
+        k = COUNTS[s]
+        fits = most <= s
+        if not fits.any():  # a narrower word holds more ids
+            break
+        best[fits] = s
+    return best
 
 
-def encode(ids: np.ndarray) -> np.ndarray:
-    """The words of unsigned ids."""
+def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of unsigned ids, `block` ids at a time, and where the words of each block start (and the last ones end)."""
     ids = np.asarray(ids, _U)
-    n = len(ids)
-    best = _fit(ids)
-    jump = np.array([*COUNTS, 1], np.uint8)[best].tobytes()
-    at, i = [], 0
-    while i < n:
-        at.append(i)
-        i += jump[i]
-    at = np.array(at, np.int64)
-    selector = best[at]
-    place = np.cumsum(1 + (selector == ESCAPE)) - (1 + (selector == ESCAPE)) if len(at) else at
-    out = np.zeros(int(len(at) + (selector == ESCAPE).sum()), _U)
+    n, rows = len(ids), -(-len(ids) // block)
+    if not n:
+        return np.zeros(0, _U), np.zeros(1, np.int64)
+    need = np.full(rows * block, 255, np.uint8)
+    need[:n] = np.searchsorted(_LIMITS, ids, side="right")
+    need = np.concatenate([need.reshape(rows, block), np.full((rows, COUNTS[0]), 255, np.uint8)], axis=1)
+    best = _fit(need, block)
+    jump = np.array([*COUNTS, 1], np.int64)[best].ravel()
+    # all blocks go from word to word side by side
+    at, stop, found = np.arange(rows) * block, np.minimum(np.arange(1, rows + 1) * block, n), []
+    while len(at):
+        found.append(at)
+        at = at + jump[at]
+        going = at < stop
+        if not going.all():
+            at, stop = at[going], stop[going]
+    at = np.sort(np.concatenate(found))
+    selector = best.ravel()[at]
+    size = 1 + (selector == ESCAPE)
+    place = np.cumsum(size) - size
+    starts = np.append(place[np.searchsorted(at, np.arange(rows) * block)], size.sum())
+    out = np.zeros(int(size.sum()), _U)
     for s, (c, w) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
         own = selector == s
         if own.any():
@@ -65,7 +71,12 @@ def encode(ids: np.ndarray) -> np.ndarray:
     own = selector == ESCAPE
     out[place[own]] = _U(ESCAPE << 60)
     out[place[own] + 1] = ids[at[own]]
-    return out
+    return out, starts
+
+
+def encode(ids: np.ndarray) -> np.ndarray:
+    """The words of unsigned ids."""
+    return encode_blocks(ids, max(1, len(ids)))[0]
 
 
 def decode(words: np.ndarray) -> np.ndarray:

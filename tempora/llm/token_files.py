@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,15 @@ from pyspark.sql import functions as F
 
 from ..tables import shared_dir
 from . import simple8b
-from .dictionary import CODED, Dictionary, assembled, split_words, with_codes
+from .dictionary import Dictionary, assembled, coded_batches
+from .frames import releasing
 
 #: Ids of a block, and ids after which a segment is closed.
 BLOCK, SEGMENT = 8_192, 1_000_000
+#: Token files of which the counts before each are broadcast: 16 MB.
+BROADCAST_FILES = 1_000_000
+#: Ids that a reader decodes at a time.
+READ = 200_000
 #: Words handed to the tokenizer at a time.
 BATCH = 4_000
 
@@ -46,6 +52,19 @@ def _added_tokens(path: str) -> list[str]:
     return [t.content for t in tokens]
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], path: str, text: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Rows, a few at a time, and their ids."""
+    known, tokenizer = Dictionary(), _tokenizer(path)
+    for part, codes, counts, new, anew in coded_batches(batches, text, _added_tokens(path)):
+        if anew:
+            known = Dictionary()
+        for at in range(0, len(new), BATCH):
+            ids = [x.ids for x in tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
+            known.add(pa.array(ids, pa.list_(pa.int32())))
+        for at, lists in assembled(codes, counts, known, end):
+            yield part.slice(at, len(lists)), lists
+
+
 def tokenize(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, end: int | None = None) -> DataFrame:
     """`keep` (None: all columns) and `ids` by the tokenizers library's byte-level file at `path`, no special tokens put in, `end` after each document.
 
@@ -53,47 +72,43 @@ def tokenize(docs: DataFrame, path: str, text: str = "text", keep: list[str] | N
     so it is handed each distinct match and token of a task once.  Null or empty
     texts have no ids but `end`.  A column named ids is replaced.
     """
-    coded = with_codes(split_words(docs, text, keep, "ids", added=_added_tokens(path)))
-    kept = [c for c in coded.columns if c not in CODED]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        known, tokenizer = Dictionary(), _tokenizer(path)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            cut = [0, *(i for i, x in enumerate(table["__anew"].to_pylist()) if x and i), table.num_rows]
-            for a, b in zip(cut, cut[1:], strict=False):
-                part = table.slice(a, b - a).combine_chunks()
-                if part["__anew"][0].as_py():
-                    known = Dictionary()
-                new = part["__new"].chunk(0).flatten()
-                for at in range(0, len(new), BATCH):
-                    ids = [x.ids for x in tokenizer.encode_batch_fast(new.slice(at, BATCH).to_pylist(), add_special_tokens=False)]
-                    known.add(pa.array(ids, pa.list_(pa.int32())))
-                yield from assembled(part.select(kept), part["__codes"].chunk(0), known, end)
-
-    schema = ", ".join([*(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
-    return coded.mapInArrow(run, schema)
-
-
-def _segments(kind: str):
+        for part, ids in _encoded(batches, path, "__text", end):
+            yield pa.record_batch([*(part[c] for c in kept), ids], names=[*kept, "ids"])
+
+    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept), "ids array<int>"])
+    return source.mapInArrow(releasing(run), schema)
+
+
+def _segments(path: str, kind: str, end: int | None):
     def run(batches):
         from pyspark import TaskContext
 
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        keys, ids, size = [], [], 0
+        keys, lengths, words, sizes, size = [], [], [], [], 0  # of the segment; sizes: words of each block
+        rest = np.zeros(0, np.int64)  # ids behind the last full block
+
+        def packed(ids: np.ndarray, last: bool) -> np.ndarray:
+            stop = len(ids) if last else len(ids) // BLOCK * BLOCK
+            coded, starts = simple8b.encode_blocks(ids[:stop], BLOCK)
+            words.append(coded)
+            sizes.append(np.diff(starts))
+            return ids[stop:]
 
         def segment():
-            own = np.concatenate([np.zeros(0, np.int64), *(x.flatten().to_numpy(zero_copy_only=False) for x in ids)])
-            ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *(pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ids)]))
-            words = [simple8b.encode(own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)]
-            starts = np.cumsum([0, *(len(x) for x in words)])
+            packed(rest, True)
+            starts = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+            ends = np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))
             every = pa.concat_arrays(keys)
             return pa.record_batch(
                 {
                     "file": pa.array([part], pa.int32()),
                     "segment": pa.array([number], pa.int32()),
                     "before": pa.array([before], pa.int64()),
-                    "n_ids": pa.array([len(own)], pa.int64()),
+                    "n_ids": pa.array([size], pa.int64()),
                     "keys": pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every),
                     "ends": pa.array([ends.tolist()], pa.list_(pa.int64())),
                     "blocks": pa.array([starts.tolist()], pa.list_(pa.int64())),
@@ -101,67 +116,99 @@ def _segments(kind: str):
                 }
             )
 
-        for batch in batches:
-            keys.append(batch["__key"])
-            ids.append(batch["ids"])
-            size += len(batch["ids"].flatten())
+        for rows, ids in _encoded(batches, path, "__text", end):
+            keys.append(rows["__key"])
+            lengths.append(pc.list_value_length(ids).to_numpy().astype(np.int64))
+            own = ids.flatten().to_numpy(zero_copy_only=False)
+            size += len(own)
+            rest = packed(np.concatenate([rest, own]), False)
             if size >= SEGMENT:
                 yield segment()
-                before, number, keys, ids, size = before + size, number + 1, [], [], 0
+                before, number, keys, lengths, words, sizes, size, rest = before + size, number + 1, [], [], [], [], 0, rest[:0]
         if keys:
             yield segment()
 
-    return run, f"file int, segment int, before bigint, n_ids bigint, keys array<{kind}>, ends array<bigint>, blocks array<bigint>, words binary"
+    return releasing(run), f"file int, segment int, before bigint, n_ids bigint, keys array<{kind}>, ends array<bigint>, blocks array<bigint>, words binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end: int | None = 2) -> None:
-    """Encode `docs` and write the token files to the folder `path`, in ascending order of `key` (equal keys: of the text)."""
-    source = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
-    ordered = source.repartitionByRange("__key").sortWithinPartitions("__key", "__text")
-    ids = tokenize(ordered, tokenizer, "__text", keep=["__key"], end=end)
-    ids.mapInArrow(*_segments(source.schema["__key"].dataType.simpleString())).write.option("compression", "zstd").parquet(path)
+    """Encode `docs` and write the token files to the folder `path`, in ascending order of `key`, nulls first.
 
+    Rows of equal keys, or without one, stand in the order of a digest of their
+    texts, then of the texts.  A null or empty text is `end` alone; an empty
+    table gives files without segments; repeated rows are written each.
+    """
+    source = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).withColumn("__digest", F.xxhash64("__text"))
+    ordered = source.repartitionByRange("__key", "__digest").sortWithinPartitions("__key", "__digest", "__text")
+    kind = source.schema["__key"].dataType.simpleString()
+    ordered.select("__key", "__text").mapInArrow(*_segments(tokenizer, kind, end)).write.option("compression", "zstd").parquet(path)
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, start, ids) of each document in the token files: start is the count of ids before it in all files."""
+
+def _placed(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Segments with `base`, the count of ids in all files before theirs; the keys' type."""
     segments = spark.read.parquet(path)
     sizes = segments.groupBy("file").agg(F.sum("n_ids").alias("n"))
     # a row for each file
     base = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
-    kind = segments.schema["keys"].dataType.elementType.simpleString()
+    base = F.broadcast(base) if len(segments.inputFiles()) <= BROADCAST_FILES else base
+    return segments.join(base, "file").select("keys", "ends", "blocks", "words", "before", "base"), segments.schema["keys"].dataType.elementType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                words, blocks = np.frombuffer(row["words"][0].as_buffer(), "<u8"), row["blocks"][0].as_py()
-                ids = [simple8b.decode(words[a:b]) for a, b in zip(blocks, blocks[1:], strict=False)]
-                ids = np.concatenate([np.zeros(0, np.uint64), *ids]).astype(np.int32)
-                ends = row["ends"].flatten().to_numpy()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                offset = row["base"][0].as_py() + row["before"][0].as_py()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
-                yield from pa.table({"key": row["keys"].flatten(), "start": pa.array(starts + offset), "ids": lists}).to_batches(max_chunksize=2_000)
-
-    joined = segments.join(base, "file").select("keys", "ends", "blocks", "words", "before", "base")
-    return joined.mapInArrow(run, f"key {kind}, start bigint, ids array<int>")
 
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield from _documents(batch.slice(r, 1))
 
-def checksums(tokens: DataFrame, ids: str = "ids", to: str = "ids_crc32") -> DataFrame:
-    """`tokens` without its ids, with their number and the CRC-32 of the ids as little-endian 32-bit integers."""
-    kept = [c for c in tokens.columns if c not in (ids, "n_tokens", to)]
 
-    def run(batches):
-        for batch in batches:
-            lists = batch[ids]
-            values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.record_batch([*(batch[c] for c in kept), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=[*kept, "n_tokens", to])
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(key, start, ids) of each document in the token files: start is the count of ids before it in all files."""
+    placed, kind = _placed(spark, path)
+    return placed.mapInArrow(releasing(_read), f"key {kind}, start bigint, ids array<int>")
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32) of each document in the token files: read() and checksums() in one worker."""
+    placed, kind = _placed(spark, path)
+    return placed.mapInArrow(releasing(lambda batches: _summed(_read(batches), ["key", "start"], "ids", "ids_crc32")), f"key {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def _documents(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The documents of one segment, a few blocks at a time."""
+    words, blocks = np.frombuffer(row["words"][0].as_buffer(), "<u8"), row["blocks"][0].as_py()
+    keys, ends = row["keys"].flatten(), row["ends"].flatten().to_numpy()
+    offset = row["base"][0].as_py() + row["before"][0].as_py()
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    ids, at, first, done = [], 0, 0, 0  # decoded ids from place `first` of the segment on; documents done
+    for a, b in zip(blocks, blocks[1:], strict=False):
+        ids.append(simple8b.decode(words[a:b]).astype(np.int32))
+        at += len(ids[-1])
+        stop = int(np.searchsorted(ends, at, side="right"))
+        if stop > done and (b == blocks[-1] or at - first >= READ):
+            own = np.concatenate(ids)
+            edges = np.concatenate([starts[done:stop], ends[stop - 1 : stop]]) - first
+            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(own[: edges[-1]]))
+            yield pa.record_batch({"key": keys.slice(done, stop - done), "start": pa.array(starts[done:stop] + offset), "ids": lists})
+            ids, first, done = [own[edges[-1] :]], int(ends[stop - 1]), stop
+    if done < len(keys):  # documents without ids at the end
+        lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(keys) - done + 1, np.int32)), pa.array([], pa.int32()))
+        yield pa.record_batch({"key": keys.slice(done), "start": pa.array(starts[done:] + offset), "ids": lists})
+
+
+def _summed(batches: Iterable[pa.RecordBatch], kept: list[str], ids: str, to: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch[ids]
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        crc = [zlib.crc32(values[a:b].data) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        yield pa.record_batch([*(batch[c] for c in kept), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], names=[*kept, "n_tokens", to])
+
 
+def checksums(tokens: DataFrame, ids: str = "ids", to: str = "ids_crc32") -> DataFrame:
+    """`tokens` without its ids, with their number and the CRC-32 of the ids as little-endian 32-bit integers (null: none, and 0)."""
+    kept = [c for c in tokens.columns if c not in (ids, "n_tokens", to)]
     schema = ", ".join([*(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in kept), f"n_tokens bigint, {to} bigint"])
-    return tokens.select(*kept, ids).mapInArrow(run, schema)
+    return tokens.select(*kept, ids).mapInArrow(releasing(lambda batches: _summed(batches, kept, ids, to)), schema)
 
 
 def new_folder(spark: SparkSession) -> str:
