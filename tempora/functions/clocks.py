@@ -42,13 +42,20 @@ def as_nanosecond(instant: Column) -> Column:
 
 def to_rfc3339(instant: Column) -> Column:
     """Canonical UTC text: a fraction only where there is one, without trailing zeros."""
-    base = F.date_format(F.timestamp_seconds(instant["sec"]), "yyyy-MM-dd'T'HH:mm:ss")
+    # whole days and the rest, so that the session's time zone has no say
+    days, rest = F.floor(instant["sec"] / 86_400).cast("int"), F.pmod(instant["sec"], F.lit(86_400))
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    clock_ = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+    base = F.concat(F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string"), F.lit("T"), clock_)
     fraction = F.rtrim(F.lpad(instant["nano"].cast("string"), 9, "0"), F.lit("0"))
     return F.concat(base, F.when(instant["nano"] > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")), F.lit("Z"))
 
 
 def from_timestamp(ts: Column) -> Column:
-    micros = F.unix_micros(ts.cast("timestamp"))
+    """The instant of a timestamp; one without a zone, or a date, is read as UTC whatever the session's zone."""
+    at = ts.cast("timestamp")
+    zoneless = F.typeof(ts).isin("timestamp_ntz", "date")
+    micros = F.unix_micros(F.when(zoneless, F.from_utc_timestamp(at, F.current_timezone())).otherwise(at))
     return F.when(ts.isNotNull(), F.struct(F.floor(micros / 1_000_000).cast("long").alias("sec"), (F.pmod(micros, F.lit(1_000_000)) * 1000).cast("int").alias("nano")))
 
 

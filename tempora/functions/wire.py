@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import evidence
 from . import intervals
 from .clocks import CLOCKS, parse_rfc3339, to_rfc3339
 from .guards import code, first_code
@@ -48,12 +51,25 @@ def encode_interval(interval: Column, clock: str) -> Column:
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+def _boundary_error(payload: Column, side: str, kind: Column) -> Column:
+    """An unbounded end has its kind alone, the others a timestamp too; anything else is InvalidWirePayload."""
+    own = F.get_json_object(payload, f"$.{side}")
+    bare, dated = keys_error(own, "kind"), keys_error(own, "kind", "timestamp")
+    stamped = F.get_json_object(own, "$.timestamp").isNull()
+    return (
+        F.when(kind == intervals.UNBOUNDED, bare)
+        .when(kind.isin(intervals.INCLUDED, intervals.EXCLUDED), first_code(dated, code(stamped, "InvalidWirePayload")))
+        .otherwise(F.lit("InvalidWirePayload"))
+    )
+
+
 def decode_interval(payload: Column, clock: str) -> tuple[Column, Column]:
-    """(interval, error code); what it claims to be is validated again."""
+    """(interval, error code): keys of the object and of both ends are strict, and what it claims to be is validated again."""
     wire = F.from_json(payload, f"schema_version int, clock_type string, certainty string, precision string, lower {_BOUNDARY}, upper {_BOUNDARY}")
     lk, uk = wire["lower"]["kind"], wire["upper"]["kind"]
     lo, hi = parse_rfc3339(wire["lower"]["timestamp"]), parse_rfc3339(wire["upper"]["timestamp"])
-    ends = code(((lk != intervals.UNBOUNDED) & lo.isNull()) | ((uk != intervals.UNBOUNDED) & hi.isNull()) | lk.isNull() | uk.isNull(), "InvalidTimestamp")
+    shape = first_code(*[_boundary_error(payload, side, wire[side]["kind"]) for side in ("lower", "upper")])
+    ends = code(((lk != intervals.UNBOUNDED) & lo.isNull()) | ((uk != intervals.UNBOUNDED) & hi.isNull()), "InvalidTimestamp")
     open_ = (lk == intervals.UNBOUNDED) & (uk == intervals.UNBOUNDED)
     exact = (lk == intervals.INCLUDED) & (uk == intervals.INCLUDED) & lo.eqNullSafe(hi)
     certainty = wire["certainty"]
@@ -63,7 +79,7 @@ def decode_interval(payload: Column, clock: str) -> tuple[Column, Column]:
         .when(certainty == "unknown", code(~open_ | (wire["precision"] != "unknown"), "InvalidIntervalCertainty"))
         .otherwise(F.lit("InvalidIntervalCertainty"))
     )
-    error = first_code(keys_error(payload, "schema_version", "clock_type", "certainty", "precision", "lower", "upper"), _header_error(wire, clock), ends, kind)
+    error = first_code(keys_error(payload, "schema_version", "clock_type", "certainty", "precision", "lower", "upper"), shape, _header_error(wire, clock), ends, kind)
     value = F.struct(lk.alias("lower_kind"), lo.alias("lower"), uk.alias("upper_kind"), hi.alias("upper"), wire["precision"].alias("precision"), certainty.alias("certainty"))
     return F.when(error.isNull(), value), error
 
@@ -103,3 +119,46 @@ def decode_artifact(payload: Column) -> tuple[Column, Column]:
         code(~F.coalesce(F.sha2(content, 256) == wire["content_digest"], F.lit(False)), "DigestMismatch"),
     )
     return F.when(error.isNull(), F.struct(wire["artifact_id"].alias("artifact_id"), content.alias("content"))), error
+
+
+def encode_document(id: Column, artifact_id: Column, text: Column) -> Column:
+    return F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), id.alias("document_id"), artifact_id.alias("source_artifact_id"), F.sha2(text.cast("binary"), 256).alias("content_sha256"), text.alias("text")))
+
+
+def _version_error(wire: Column) -> Column:
+    return code(~F.coalesce(wire["schema_version"] == SCHEMA_VERSION, F.lit(False)), "UnsupportedSchemaVersion")
+
+
+def decode_document(payload: Column) -> tuple[Column, Column]:
+    """(struct of document_id, source_artifact_id, text; error code); the text is hashed again."""
+    wire = F.from_json(payload, "schema_version int, document_id string, source_artifact_id string, content_sha256 string, text string")
+    error = first_code(
+        keys_error(payload, "schema_version", "document_id", "source_artifact_id", "content_sha256", "text"),
+        _version_error(wire),
+        evidence.document_error(wire["text"], wire["content_sha256"], F.char_length(wire["text"])),
+    )
+    return F.when(error.isNull(), F.struct(wire["document_id"], wire["source_artifact_id"], wire["text"])), error
+
+
+_PAGE = ("page_number", "page_width", "page_height", "x", "y", "width", "height")
+_RANGE = ("byte_start", "byte_end", "scalar_start", "scalar_end")
+
+
+def encode_span(document_id: Column, ranges: list[Column], page: list[Column] | None = None) -> Column:
+    """ranges: bytes' start and end, characters' start and end; page: number, width and height, and a box of x, y, width, height."""
+    own = F.struct(*[c.alias(n) for n, c in zip(_PAGE, page, strict=True)]) if page else F.lit(None).cast("struct<page_number:int>")
+    fields = [F.lit(SCHEMA_VERSION).alias("schema_version"), document_id.alias("document_id"), *[c.cast("long").alias(n) for n, c in zip(_RANGE, ranges, strict=True)], own.alias("page_location")]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def decode_span(payload: Column, document_id: Column, text: Column) -> tuple[Column, Column]:
+    """(struct of the ranges and the page; error code) of a span of the document `document_id` with `text`; both are validated again."""
+    kinds = ", ".join([*(f"{n} bigint" for n in _RANGE), f"page_location struct<page_number:int,{','.join(f'{n}:double' for n in _PAGE[1:])}>"])
+    wire = F.from_json(payload, f"schema_version int, document_id string, {kinds}")
+    page, own = wire["page_location"], F.get_json_object(payload, "$.page_location")
+    numbers = [page[n] for n in _PAGE]
+    strict = first_code(keys_error(payload, "schema_version", "document_id", *_RANGE, "page_location"), F.when(own.isNotNull(), keys_error(own, *_PAGE)))
+    box = F.when(own.isNotNull(), evidence.page_error(*numbers[1:], numbers[0]))
+    missing = code(functools.reduce(Column.__or__, (wire[n].isNull() for n in _RANGE)), "InvalidWirePayload")
+    error = first_code(strict, missing, _version_error(wire), code(~wire["document_id"].eqNullSafe(document_id), "SpanDocumentMismatch"), box, evidence.span_error(text, *[wire[n] for n in _RANGE]))
+    return F.when(error.isNull(), F.struct(*[wire[n] for n in _RANGE], page.alias("page_location"))), error

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.guards import blank, code, first_code, is_sha256
 from ..functions.intervals import half_open
+from .sequence import stored_before
 
 
 def is_eligible(available: Column, cutoff: Column) -> Column:
@@ -20,25 +22,29 @@ def is_eligible(available: Column, cutoff: Column) -> Column:
     return F.coalesce(available <= cutoff, F.lit(False))
 
 
-def insert_error(versions: DataFrame, new: DataFrame, id: str = "document_record_id", digest: str = "content_digest") -> DataFrame:
-    """`new` with the code that refuses each row: a bad digest, then an id that exists or repeats among the new."""
+def insert_error(versions: DataFrame, new: DataFrame, id: str = "document_record_id", digest: str = "content_digest", seq: str | None = None) -> DataFrame:
+    """`new` with the code that refuses each row: a bad digest, then an id that exists or that an earlier row (by `seq`) has taken."""
     known = versions.select(F.col(id).alias("__known")).distinct()
-    repeats = F.count(F.lit(1)).over(Window.partitionBy(id))
-    out = new.join(known, new[id] == F.col("__known"), "left").withColumn("__n", repeats)
-    return out.withColumn("error_code", first_code(code(~is_sha256(F.col(digest), False), "InvalidContentDigest"), code(F.col("__known").isNotNull() | (F.col("__n") > 1), "DuplicateDocumentRecord"))).drop("__known", "__n")
+    sound = is_sha256(F.col(digest), False)
+    out = new.withColumn("__again", stored_before(new, [id], sound, seq)).join(known, new[id] == F.col("__known"), "left")
+    return out.withColumn("error_code", first_code(code(~sound, "InvalidContentDigest"), code(F.col("__known").isNotNull() | F.col("__again"), "DuplicateDocumentRecord"))).drop("__known", "__again")
 
 
-def insert(versions: DataFrame, new: DataFrame, id: str = "document_record_id") -> DataFrame:
-    return versions.unionByName(insert_error(versions, new, id).where("error_code IS NULL").drop("error_code"))
+def insert(versions: DataFrame, new: DataFrame, id: str = "document_record_id", seq: str | None = None) -> DataFrame:
+    return versions.unionByName(insert_error(versions, new, id, seq=seq).where("error_code IS NULL").drop("error_code").select(*versions.columns))
 
 
 def revise(versions: DataFrame, new: DataFrame, id: str = "document_record_id", start: str = "system_from", end: str = "system_to") -> DataFrame:
-    """Close every open row of the ids in `new` at its start, and append; ids without an open row are HistoricalVersionNotFound and left out (revise_error tells them)."""
-    changes = new.select(F.col(id).alias("__id"), F.col(start).alias("__at"))
-    closed = versions.join(changes, versions[id] == F.col("__id"), "left")
-    closed = closed.withColumn(end, F.when(F.col(end).isNull() & F.col("__id").isNotNull(), F.col("__at")).otherwise(F.col(end))).drop("__id", "__at")
+    """Close every open row of the ids in `new` and append the new rows, one after the other in the order of `start`: a new row that is open is closed by the next of its id.
+
+    Ids without an open row are HistoricalVersionNotFound and left out (revise_error tells them).
+    """
     open_ids = versions.where(F.col(end).isNull()).select(id).distinct()
-    return closed.unionByName(new.join(open_ids, id, "left_semi"))
+    own = new.join(open_ids, id, "left_semi").select(*versions.columns)
+    first = own.groupBy(F.col(id).alias("__id")).agg(F.min(start).alias("__at"))
+    closed = versions.join(first, versions[id] == F.col("__id"), "left").withColumn(end, F.coalesce(end, "__at")).drop("__id", "__at")
+    following = F.lead(start).over(Window.partitionBy(id).orderBy(start))
+    return closed.unionByName(own.withColumn(end, F.coalesce(F.col(end), following)))
 
 
 def revise_error(versions: DataFrame, new: DataFrame, id: str = "document_record_id", end: str = "system_to") -> DataFrame:
@@ -81,11 +87,11 @@ def instance_as_known_at(instances: DataFrame, known: Column, id: str = "event_i
     return _latest(instances.where(half_open(F.col("system_from"), F.col("system_to"), known)), id, "system_from")
 
 
-def append_audit(audit: DataFrame, new: DataFrame, id: str = "audit_event_id") -> DataFrame:
-    """`new` with ImmutableAuditViolation where the id was there before or repeats."""
+def append_audit(audit: DataFrame, new: DataFrame, id: str = "audit_event_id", seq: str | None = None) -> DataFrame:
+    """`new` with ImmutableAuditViolation where the id was there before, in `audit` or in an earlier row (by `seq`)."""
     known = audit.select(F.col(id).alias("__known")).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(id))
-    return new.join(known, new[id] == F.col("__known"), "left").withColumn("error_code", code(F.col("__known").isNotNull() | (n > 1), "ImmutableAuditViolation")).drop("__known")
+    out = new.withColumn("__again", stored_before(new, [id], F.lit(True), seq)).join(known, new[id] == F.col("__known"), "left")
+    return out.withColumn("error_code", code(F.col("__known").isNotNull() | F.col("__again"), "ImmutableAuditViolation")).drop("__known", "__again")
 
 
 # guards of rows to be stored
@@ -142,3 +148,22 @@ def conflict(sqlstate: Column) -> Column:
 
 def is_named(x: Column) -> Column:
     return ~blank(x)
+
+
+def schema_error(df: DataFrame, contract: StructType) -> list[tuple[str, str]]:
+    """How a table departs from its contract, as (column, code): MissingColumn, TypeMismatch, UnexpectedNull where a column may hold nulls against it, UnknownColumn, DuplicateColumn.
+
+    A catalog check: only the schema is looked at, no row is read.
+    """
+    own: dict[str, list] = {}
+    for f in df.schema.fields:
+        own.setdefault(f.name, []).append(f)
+    out = [(name, "DuplicateColumn") for name, fields in own.items() if len(fields) > 1]
+    for want in contract.fields:
+        if want.name not in own:
+            out.append((want.name, "MissingColumn"))
+        elif own[want.name][0].dataType != want.dataType:
+            out.append((want.name, "TypeMismatch"))
+        elif own[want.name][0].nullable and not want.nullable:
+            out.append((want.name, "UnexpectedNull"))
+    return sorted(out + [(name, "UnknownColumn") for name in own if name not in contract.names])

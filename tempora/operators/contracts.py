@@ -7,11 +7,11 @@ import json
 import re
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import blank, code, finite, first_code, is_sha256, one_of
-from ..tables import written
+from .sequence import ranked
 
 VERSION = 1
 MAX_REQUEST_BYTES = 64 << 10
@@ -116,23 +116,12 @@ def graphml_lines(edges: DataFrame, graph: str, most: int, order: str = "seq", s
     ]
     nodes = edges.select(F.col(source).alias("x")).union(edges.select(target)).distinct()
     node_lines = nodes.select(F.lit(1).alias("part"), F.col("x").alias("at"), F.concat(F.lit('  <node id="'), xml_escape(F.col("x")), F.lit('"/>')).alias("line"))
-    numbered = _ranked(edges.select(F.col(order).alias("__order"), source, target))
+    numbered = ranked(edges.select(F.col(order).alias("__order"), source, target), "__order")
     line = F.concat(F.lit('  <edge id="e'), F.col("k").cast("string"), F.lit('" source="'), xml_escape(F.col(source)), F.lit('" target="'), xml_escape(F.col(target)), F.lit('"/>'))
     edge_lines = numbered.select(F.lit(2).alias("part"), F.lpad(F.col("k").cast("string"), 20, "0").alias("at"), line.alias("line"))
     return spark.createDataFrame(frame, "part int, at string, line string").union(node_lines).union(edge_lines)
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """`rows` with k, their rank by __order from 0: ranks within sorted partitions, and the sizes of those before."""
-    parts = rows.repartitionByRange("__order").withColumn("__part", F.spark_partition_id())
-    parts = written(parts)
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    # a row a partition
-    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("__order"))
-    return parts.withColumn("own", own).join(before, "__part").withColumn("k", F.col("before") + F.col("own") - 1)
-
-
 #: Purposes of a grant.
 PURPOSES = ("scientific_validation", "operational_monitoring", "partner_disclosure", "modular_service_consumer")
 
@@ -226,13 +215,22 @@ EVIDENCE_FLOOR, LOW, HIGH = 0.35, 0.35, 0.50
 MAX_BUDGET, MAX_ACCESS, MAX_ACCESS_BYTES = 1_000_000, 64, 128
 
 
-def routing_error() -> Column:
+#: The routing policy's version, and what a request may attempt with its document; only the first is allowed.
+POLICY_VERSION = "orchestration-policy.v1"
+DOCUMENT_CONTROLS = ("none", "instruction", "tool_call")
+
+
+def routing_error(policy_version: Column | None = None, document_control: Column | None = None) -> Column:
+    """The first broken rule: another policy's version, a document that tries to control, limits, scores, access lists."""
+    version, control = policy_version if policy_version is not None else F.lit(POLICY_VERSION), document_control if document_control is not None else F.lit("none")
     scores = [F.col(c) for c in ("risk", "ambiguity", "evidence")]
     bad = ~one_of(F.col("task"), tuple(TASKS))
     for s in scores:
         bad = bad | ~finite(s) | (s < 0) | (s > 1)
     access = F.coalesce(F.col("access_list"), F.array().cast("array<string>"))
     return first_code(
+        code(~version.eqNullSafe(F.lit(POLICY_VERSION)), "UnsupportedContractVersion"),
+        code(~control.eqNullSafe(F.lit("none")), "AuthorizationDenied"),
         code((F.col("budget") > MAX_BUDGET) | (F.size(access) > MAX_ACCESS), "LimitExceeded"),
         code(bad, "InvalidWirePayload"),
         code(F.exists(access, lambda a: F.length(F.trim(a)) == 0), "InvalidWirePayload"),
@@ -286,9 +284,9 @@ def assigned_roles(mode: Column, task: Column) -> Column:
 
 
 def route(requests: DataFrame) -> DataFrame:
-    """Requests (task, risk, ambiguity, evidence, budget, gate_passed, access_list) with their plans, or an error code and no plan."""
+    """Requests (task, risk, ambiguity, evidence, budget, gate_passed, access_list, and policy_version and document_control where given) with their plans, or an error code and no plan."""
     mode = fitted_mode(preferred_mode(*[F.col(c) for c in ("task", "risk", "ambiguity", "evidence", "gate_passed")]), F.col("budget"), F.col("task"))
-    out = requests.withColumn("error_code", routing_error()).withColumn("mode", F.when(F.col("error_code").isNull(), mode))
+    out = requests.withColumn("error_code", routing_error(*[F.col(c) if c in requests.columns else None for c in ("policy_version", "document_control")])).withColumn("mode", F.when(F.col("error_code").isNull(), mode))
     m = F.col("mode")
     return out.withColumns(
         {

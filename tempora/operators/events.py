@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import blank, code, finite, first_code, one_of
 from ..functions.intervals import closed
+from .sequence import stored_before
 
 #: What an argument is to an event.
 ROLES = ("agent", "patient", "factor", "product", "place", "instrument", "beneficiary")
@@ -33,13 +34,18 @@ def mention_as_instance(*_: object) -> None:
     raise TypeError("MentionIsNotInstance")
 
 
-def registry_error(instances: DataFrame, mentions: DataFrame, id: str = "instance_id") -> DataFrame:
-    """Instances with DuplicateEventInstance, or UnknownEventInstance where a supporting mention isn't registered."""
-    wanted = instances.select(id, F.explode("supporting_mentions").alias("mention_id"))
-    missing = wanted.join(mentions.select("mention_id").distinct(), "mention_id", "left_anti").select(F.col(id).alias("__id")).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(id))
-    out = instances.withColumn("__n", n).join(missing, F.col(id) == F.col("__id"), "left")
-    return out.withColumn("error_code", first_code(code(F.col("__n") > 1, "DuplicateEventInstance"), code(F.col("__id").isNotNull(), "UnknownEventInstance"))).drop("__n", "__id")
+def registry_error(instances: DataFrame, mentions: DataFrame, id: str = "instance_id", seq: str | None = None) -> DataFrame:
+    """Instances with DuplicateEventInstance where an earlier one (by `seq`) was registered under the id, or UnknownEventInstance where a supporting mention isn't registered."""
+    wanted = instances.select(id, _digest().alias("__row"), F.explode("supporting_mentions").alias("mention_id"))
+    missing = wanted.join(mentions.select("mention_id").distinct(), "mention_id", "left_anti").select(F.col(id).alias("__id"), "__row").distinct()
+    out = instances.join(missing, [F.col(id) == F.col("__id"), _digest() == F.col("__row")], "left").withColumn("__missing", F.col("__id").isNotNull()).drop("__id", "__row")
+    again = stored_before(instances, [id], ~F.col("__missing"), seq)
+    return out.withColumn("error_code", first_code(code(again, "DuplicateEventInstance"), code(F.col("__missing"), "UnknownEventInstance"))).drop("__missing")
+
+
+def _digest() -> Column:
+    """Tells rows of one id apart by their mentions."""
+    return F.xxhash64("supporting_mentions")
 
 
 def assign_roles(instances: DataFrame, roles: DataFrame, id: str = "instance_id") -> DataFrame:

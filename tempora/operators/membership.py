@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import code, finite, first_code, one_of
 from ..functions.intervals import closed
+from .sequence import stored_before
 
 #: The roles.
 ROLES = ("author", "department", "organization", "customer", "partner", "competitor", "project", "opportunity_pool", "template", "language", "location", "episode")
@@ -28,10 +29,10 @@ def stored_error(weight: str = "weight") -> Column:
     return first_code(code(members != 1, "AmbiguousMember"), code(groups != 1, "AmbiguousGroup"), code(~finite(F.col(weight)) | (F.col(weight) <= 0), "InvalidMembershipWeight"))
 
 
-def network_error(assignments: DataFrame) -> DataFrame:
-    """DuplicateMembership where (member, group, role) repeats, whatever the windows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("member_id", "group_id", "role"))
-    return assignments.withColumn("error_code", code(n > 1, "DuplicateMembership"))
+def network_error(assignments: DataFrame, seq: str | None = None) -> DataFrame:
+    """DuplicateMembership where an earlier row (by `seq`) has the same (member, group, role), whatever the windows."""
+    again = stored_before(assignments, ["member_id", "group_id", "role"], F.lit(True), seq)
+    return assignments.withColumn("error_code", code(again, "DuplicateMembership"))
 
 
 def by_document(assignments: DataFrame, document: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.allen import classify
@@ -47,12 +47,13 @@ _RESULT = "seq long, edge_id string, kind string, source string, target string,
 
 
 def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one component in their order: an edge that would close a cycle of transitions is refused."""
+    """Transitions of one component in their order: one whose id is stored, or that would close a cycle of those stored, is refused."""
     after: dict[str, set[str]] = {}
+    stored: set[str] = set()
     codes = []
     for e in frame.sort_values("seq").itertuples(index=False):
-        if e.kind not in TRANSITIONS:
-            codes.append((e.seq, None))
+        if e.edge_id in stored:
+            codes.append((e.seq, "DuplicateRelationEdge"))
             continue
         seen, todo, cycle = {e.target}, [e.target], e.source == e.target
         while todo and not cycle:
@@ -63,6 +64,7 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
                     todo.append(x)
         if not cycle:
             after.setdefault(e.source, set()).add(e.target)
+            stored.add(e.edge_id)
         codes.append((e.seq, "TransitionCycle" if cycle else None))
     known = dict(codes)
     return frame.assign(error_code=frame["seq"].map(known).astype(object).where(frame["seq"].map(known).notna(), None))[["seq", "edge_id", "kind", "source", "target", "error_code"]]
@@ -71,23 +73,30 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
 def insert_edges(edges: DataFrame) -> DataFrame:
     """(seq, edge_id, kind, source, target, error_code) of edges inserted one after the other by `seq`.
 
-    A repeated edge_id is DuplicateRelationEdge, a transition that closes a
-    cycle TransitionCycle. What is refused depends on the order, so the edges
-    that may lie on a cycle are folded in it, weak component by weak component;
-    all others, found by taking off sources and sinks, are
-    accepted without one. Two rounds of that are made: more would only make
-    what is folded smaller.
+    An edge_id that is stored by then is DuplicateRelationEdge, a transition
+    that closes a cycle of stored ones TransitionCycle; neither is stored, so a
+    refused edge's id is free for the next. What is refused depends on the
+    order, so the transitions that may lie on a cycle are folded in it, by weak
+    components (joined where an id repeats). All others, found by taking off
+    sources and sinks, close no cycle: only ids matter there. Two rounds of
+    that are made: more would only make what is folded smaller.
     """
-    w = Window.partitionBy("edge_id").orderBy("seq")
-    marked = written(edges.select("seq", "edge_id", "kind", "source", "target").withColumn("__n", F.row_number().over(w)))
-    first = marked.where("__n = 1").drop("__n")
-    core = cyclic_core(first.where(is_transition(F.col("kind"))), 2)
-    parts = connected_components(core, "source", "target")
-    placed = core.join(parts, core["source"] == parts["node"]).select("component", *core.columns)
-    folded = placed.groupBy("component").applyInPandas(lambda f: _fold(f.drop(columns="component")), _RESULT)
-    refused = folded.where("error_code IS NOT NULL").select("seq", F.col("error_code").alias("cycle"))
-    out = marked.join(refused, "seq", "left")
-    return out.select("seq", "edge_id", "kind", "source", "target", F.coalesce(code(F.col("__n") > 1, "DuplicateRelationEdge"), F.col("cycle")).alias("error_code"))
+    every = written(edges.select("seq", "edge_id", "kind", "source", "target"))
+    core = cyclic_core(every.where(is_transition(F.col("kind"))), 2)
+    marked = every.join(core.select("seq", F.lit(True).alias("core")), "seq", "left")
+    # from the first edge outside the core on, an id is stored: by that edge or before it
+    outside = marked.where("core IS NULL").groupBy("edge_id").agg(F.min("seq").alias("stored"))
+    marked = written(marked.join(outside, "edge_id", "left"))
+    open_ = marked.where("core AND (stored IS NULL OR seq < stored)").select("seq", "edge_id", "kind", "source", "target")
+    again = open_.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("edge_id")
+    ids = open_.join(again, "edge_id", "left_semi").select("source", F.concat(F.lit("\u0000"), F.col("edge_id").cast("string")).alias("target"))
+    parts = connected_components(open_.select("source", "target").union(ids), "source", "target")
+    placed = open_.join(parts, F.col("source") == parts["node"]).select("component", *open_.columns)
+    folded = written(placed.groupBy("component").applyInPandas(lambda f: _fold(f.drop(columns="component")), _RESULT))
+    taken = folded.where("error_code IS NULL").groupBy("edge_id").agg(F.min("seq").alias("taken"))
+    out = marked.join(taken, "edge_id", "left").join(folded.select("seq", F.lit(True).alias("folded"), F.col("error_code").alias("found")), "seq", "left")
+    twice = code((F.col("seq") > F.col("stored")) | F.coalesce(F.col("seq") > F.col("taken"), F.lit(False)), "DuplicateRelationEdge")
+    return out.select("seq", "edge_id", "kind", "source", "target", F.when(F.col("folded"), F.col("found")).otherwise(twice).alias("error_code"))
 
 
 def cyclic_core(edges: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.guards import code, first_code
 from .bitemporal import is_eligible
 from .components import connected_components
+from .sequence import stored_before
 
 #: The kinds of link that must not cross a split.
 LINK_KINDS = ("revision", "translation", "copied_variant", "same_episode")
 
 
-def snapshot(documents: DataFrame, cutoff: Column, id: str = "document_id", available: str = "available_time") -> DataFrame:
-    """Documents with error_code: UnavailableAtCutoff for late ones, DuplicateDocument for ids that repeat among the rest."""
+def snapshot(documents: DataFrame, cutoff: Column, id: str = "document_id", available: str = "available_time", seq: str | None = None) -> DataFrame:
+    """Documents with error_code: UnavailableAtCutoff for late ones, DuplicateDocument for an id that an earlier row (by `seq`) has taken."""
     late = ~is_eligible(F.col(available), cutoff)
-    n = F.count(F.lit(1)).over(Window.partitionBy(id, late))
-    return documents.withColumn("error_code", first_code(code(late, "UnavailableAtCutoff"), code(n > 1, "DuplicateDocument")))
+    again = stored_before(documents, [id], ~late, seq)
+    return documents.withColumn("error_code", first_code(code(late, "UnavailableAtCutoff"), code(again, "DuplicateDocument")))
 
 
 def connected_groups(universe: DataFrame, links: DataFrame, id: str = "document_id", left: str = "left", right: str = "right") -> DataFrame:

@@ -52,9 +52,10 @@ ORACLE_SQL: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY revision DESC) AS rn FROM versions WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to)) WHERE rn = 1""",
     "bitemporal_as_valid_at": f"""WITH {_VERSIONS} SELECT user_id, event_id, revision FROM versions
       WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to) AND {_MID} < system_from + INTERVAL 1 DAY""",
-    "bitemporal_eligible_at_cutoff": f"WITH {_VERSIONS} SELECT user_id, event_id FROM versions WHERE system_to IS NULL AND system_from <= {_MID} + INTERVAL 10 DAY",
+    "bitemporal_eligible_at_cutoff": f"WITH {_VERSIONS} SELECT user_id, event_id FROM versions WHERE system_to IS NULL AND system_from <= (SELECT make_timestamp(epoch_us(max(ts)) - (epoch_us(max(ts)) - epoch_us(min(ts))) // 20) FROM events)",
     "bitemporal_replay": "SELECT user_id, count(*) AS n, count(*) AS last, 1::BIGINT AS open FROM events GROUP BY user_id",
-    "cutoff_snapshot": f"SELECT CASE WHEN ts <= {_MID} THEN 'eligible' ELSE 'UnavailableAtCutoff' END AS outcome, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1",
+    "cutoff_snapshot": f"""SELECT CASE WHEN late THEN 'UnavailableAtCutoff' WHEN k > 1 THEN 'DuplicateDocument' ELSE 'eligible' END AS outcome, count(*) AS n, sum(event_id)::BIGINT AS ids
+      FROM (SELECT event_id, ts > {_MID} AS late, row_number() OVER (PARTITION BY event_id // 2, ts > {_MID} ORDER BY event_id) AS k FROM events) GROUP BY 1""",
     "rolling_origin": "SELECT * FROM (SELECT d AS train_cutoff, lead(d) OVER (ORDER BY d) AS test_cutoff FROM (SELECT DISTINCT ts::DATE AS d FROM events)) WHERE test_cutoff IS NOT NULL",
     "allen_pairs": f"WITH {_PAIRS} SELECT coalesce(r, 'none') AS relation, count(*) AS n FROM pairs GROUP BY 1",
     "allen_sets": f"""WITH {_PAIRS}, s AS (SELECT a_customer, list_sort(list_distinct(list(list_position({_NAMES}, r)))) AS ps FROM pairs WHERE r IS NOT NULL GROUP BY a_customer)
@@ -69,20 +70,20 @@ ORACLE_SQL: dict[str, str] = {
     "membership_active": f"WITH {_MEMBERS} SELECT member_id, count(DISTINCT group_id) AS multiplicity FROM m WHERE {_AT} BETWEEN valid_from AND valid_to GROUP BY member_id",
     "membership_weight_by_role": f"WITH {_MEMBERS} SELECT member_id, role, round(sum(weight), 2) AS weight FROM m WHERE {_AT} BETWEEN valid_from AND valid_to GROUP BY ALL",
     "membership_active_for": f"WITH {_MEMBERS}, t AS (SELECT DISTINCT member_id, valid_from AS at FROM m) SELECT m.member_id, count(*) AS n FROM m JOIN t ON m.member_id = t.member_id AND t.at BETWEEN valid_from AND valid_to GROUP BY 1",
-    "membership_errors": f"WITH {_MEMBERS} SELECT CASE WHEN c > 1 THEN 'DuplicateMembership' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT count(*) OVER (PARTITION BY member_id, group_id, role) AS c FROM m) GROUP BY 1",
+    "membership_errors": f"WITH {_MEMBERS} SELECT CASE WHEN c > 1 THEN 'DuplicateMembership' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY member_id, group_id, role ORDER BY valid_from, valid_to, weight) AS c FROM m) GROUP BY 1",
     "kish_ess": "SELECT o_custkey AS customer, round(sum(o_totalprice) * sum(o_totalprice) / sum(o_totalprice * o_totalprice), 6) AS ess, round(count(*) / (sum(o_totalprice) * sum(o_totalprice) / sum(o_totalprice * o_totalprice)), 6) AS design_effect FROM orders GROUP BY 1",
     "group_normalized_kish": "SELECT round(power(sum(w), 2) / sum(w * w), 3) AS ess FROM (SELECT o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey) AS w FROM orders)",
     "split_group_normalized": "SELECT doc_id, round(n_chars / sum(n_chars) OVER (PARTITION BY source), 9) AS normalized FROM documents WHERE n_chars > 0",
     "split_effective_sample_size": "SELECT source, round(sum(n_chars::DOUBLE) * sum(n_chars::DOUBLE) / sum(n_chars::DOUBLE * n_chars), 6) AS ess FROM documents GROUP BY source",
     "leakage_groups": "SELECT doc_id AS document_id, min(doc_id) OVER (PARTITION BY text) AS group_id FROM documents",
     "chain_groups": "SELECT min(event_id) OVER (PARTITION BY event_id % 7) AS group_id, count(*) OVER (PARTITION BY event_id % 7) AS n FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) = 1",
-    "group_leakage": "SELECT g AS group_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS g FROM documents) WHERE doc_id % 5 <> 4 GROUP BY g HAVING min(doc_id % 2) <> max(doc_id % 2)",
+    "group_leakage": "SELECT g AS group_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS g FROM documents) GROUP BY g HAVING min(doc_id % 2) <> max(doc_id % 2)",
     "recovery_metrics": f"""WITH {_PARTS} SELECT g, round(sqrt(avg((r - t) * (r - t))), 6) AS rmse, round(stddev_samp((r - t) * (r - t)) / (2 * sqrt(avg((r - t) * (r - t))) * sqrt(count(*))), 6) AS rmse_standard_error,
       round(avg(r - t), 6) AS mean_bias, round(stddev_samp(r - t) / sqrt(count(*)), 6) AS bias_standard_error, count(*) FILTER (abs(r - t) <= 300) AS match_count FROM pairs GROUP BY g""",
     "interval_coverage": f"""WITH {_PARTS}, c AS (SELECT g, avg(CASE WHEN lo <= t AND t <= hi THEN 1::DOUBLE ELSE 0 END) AS p, count(*)::DOUBLE AS n FROM pairs GROUP BY g)
       SELECT g, round(p, 6) AS coverage, round(greatest(0, (p + 3.8416::DOUBLE / (2 * n) - 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)), 6) AS lower,
         round(least(1, (p + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4 * n * n))) / (1 + 3.8416::DOUBLE / n)), 6) AS upper FROM c""",
-    "edge_precision_recall": """WITH t AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
+    "edge_precision_recall": """WITH t AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders), r AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS a, o_orderkey AS b FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')),
       b AS (SELECT count(*)::DOUBLE AS n FROM (SELECT * FROM t INTERSECT SELECT * FROM r)) SELECT round(n / (SELECT count(*) FROM r), 6) AS "precision", round(n / (SELECT count(*) FROM t), 6) AS recall FROM b""",
     "temporal_order_accuracy": "SELECT a.user_id, round(avg(CASE WHEN sign(epoch_us(a.ts) - epoch_us(b.ts)) = sign(a.value - b.value) THEN 1::DOUBLE ELSE 0 END), 6) AS accuracy FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id < b.event_id GROUP BY 1",
     "monte_carlo_summary": """WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -96,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
     "restore_probe": "SELECT count(*) AS bad_windows, 0::BIGINT AS bad_digests FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate <= o_orderdate",
     "past_cutoff": "SELECT event_id FROM events e JOIN (SELECT user_id, max(ts) AS c FROM events WHERE event_type = 'purchase' GROUP BY user_id) p ON e.user_id = p.user_id AND e.ts > c",
     "evidence_digest": "SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars, CASE WHEN strlen(text) = 0 THEN 'EmptyEvidence' END AS error FROM documents",
-    "span_check": "SELECT doc_id, NULL::VARCHAR AS good, 'CharacterRangeMismatch' AS bad, substring(text, 1, 12) AS span FROM documents WHERE n_chars >= 12",
+    "span_check": "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'EmptySourceSpan' END AS good, CASE length(text) WHEN 0 THEN 'InvalidSourceSpanOrder' WHEN 1 THEN 'EmptySourceSpan' ELSE 'CharacterRangeMismatch' END AS bad, sha256(text) AS span_sha256 FROM documents",
     "relation_counts": f"WITH {_EDGES} SELECT count(*) AS edges, count(*) FILTER (kind IN ({_STEP_LIST})) AS transitions FROM edges",
     "ordered_dag": f"WITH {_EDGES} SELECT seq, kind, CASE WHEN seq % 2 = 1 AND kind IN ({_STEP_LIST}) THEN 'TransitionCycle' ELSE 'ok' END AS outcome FROM edges",
     "promote_events": """SELECT user_id::VARCHAR || '/' || ts::DATE::VARCHAR AS instance_id, count(*) AS n, round(avg(value / 1000), 9) AS confidence, CASE WHEN min(ts) >= max(ts) THEN 'EmptyInterval' ELSE 'ok' END AS outcome FROM events GROUP BY user_id, ts::DATE""",
@@ -115,5 +116,5 @@ ORACLE_SQL: dict[str, str] = {
       sum(CASE WHEN want IS NULL THEN NULL WHEN l = 0 THEN 0 ELSE budget END)::BIGINT AS tokens, sum(CASE WHEN want IS NULL THEN NULL ELSE l END)::BIGINT AS roles FROM m GROUP BY 1, 2, 3""",
     "budget_comparison": "SELECT a > 0 AND b > 0 AND abs(a - b) * 10 <= greatest(a, b) AS comparable, count(*) AS n FROM (SELECT o_orderkey % 1000 AS a, o_custkey % 1000 AS b FROM orders) GROUP BY 1",
     "audit_digests": """SELECT event_id, 'sha256:' || sha256(from_hex(printf('%016x', 8) || hex('audit.v1') || printf('%016x', strlen(event_type)) || hex(event_type) || printf('%016x', strlen(user_id::VARCHAR)) || hex(user_id::VARCHAR))) AS digest FROM events""",
-    "field_guards": "SELECT CASE WHEN length(trim(l, ' ')) = 0 OR regexp_matches(l, '[\\x00-\\x1F\\x7F]') THEN 'InvalidLabel' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT substring(text, 1, 40) AS l FROM documents) GROUP BY 1",
+    "field_guards": "SELECT CASE WHEN length(trim(l, ' ')) = 0 OR regexp_matches(l, '[\\x00-\\x1F\\x7F]') OR strlen(l) > 256 THEN 'InvalidLabel' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT text AS l FROM documents) GROUP BY 1",
 }

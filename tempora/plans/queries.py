@@ -56,8 +56,9 @@ def as_valid_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eligible(spark: SparkSession, d: str) -> DataFrame:
-    v = versions(spark, d)
-    return bitemporal.eligible_at_cutoff(v, _at_middle(spark, d) + F.expr("INTERVAL 10 DAYS"), "user_id").select("user_id", "event_id")
+    """The cutoff lies before the last twentieth of the events' time, which some users' open rows are in."""
+    late = table(spark, d, "events").agg((F.max("ts") - (F.max("ts") - F.min("ts")) / 20).alias("at")).scalar()
+    return bitemporal.eligible_at_cutoff(versions(spark, d), late, "user_id").select("user_id", "event_id")
 
 
 def version_replay(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +66,10 @@ def version_replay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cutoff_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Two events name each document."""
     e = table(spark, d, "events").select(F.col("event_id").alias("document_id"), F.col("ts").alias("available_time"))
-    s = splits.snapshot(e, _at_middle(spark, d))
-    return s.groupBy(F.coalesce("error_code", F.lit("eligible")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("document_id").alias("ids"))
+    s = splits.snapshot(e.withColumn("seq", F.col("document_id")).withColumn("document_id", F.floor(F.col("document_id") / 2)), _at_middle(spark, d), seq="seq")
+    return s.groupBy(F.coalesce("error_code", F.lit("eligible")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("ids"))
 
 
 def rolling_origin(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +170,7 @@ def membership_active_for(spark: SparkSession, d: str) -> DataFrame:
 
 
 def membership_errors(spark: SparkSession, d: str) -> DataFrame:
-    m = membership.network_error(_memberships(spark, d)).withColumnRenamed("error_code", "network")
+    m = membership.network_error(_memberships(spark, d).withColumn("seq", F.struct("valid_from", "valid_to", "weight")), "seq").withColumnRenamed("error_code", "network")
     return m.groupBy(F.coalesce(membership.assignment_error(), F.col("network"), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,7 +216,7 @@ def chain_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def group_leakage(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"))
-    split = docs.where("document_id % 5 <> 4").select("document_id", (F.col("document_id") % 2).alias("partition"))
+    split = docs.select("document_id", (F.col("document_id") % 2).alias("partition"))
     return splits.group_leakage(splits.connected_groups(docs, _links(spark, d)), split).withColumnRenamed("group", "group_id")
 
 
@@ -239,16 +241,16 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from customers to orders, recovered from returned lines."""
+    """Edges from customers to orders, recovered from returned lines; of every third order with another customer."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 10_000_000).alias("b"), F.col("o_orderkey").alias("k"))
     back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")).distinct()
-    r = o.join(back, "k").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return metrics.edge_scores(o.where("k % 3 <> 0"), r).select(_r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"))
+    r = o.join(back, "k").select(F.col("b").alias("a"), F.when(F.col("k") % 3 == 0, F.col("a") + 1).otherwise(F.col("a")).alias("b"))
+    return metrics.edge_scores(o, r).select(_r(F.col("precision"), "precision"), _r(F.col("recall"), "recall"))
 
 
 def temporal_order(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("i"), F.unix_micros(F.col("ts").cast("timestamp")).alias("truth"), F.col("value").alias("recovered"))
-    return metrics.temporal_order_accuracy(e, "user_id").select("user_id", _r(F.col("accuracy"), "accuracy"))
+    return metrics.temporal_order_accuracy(e, "user_id").where("error_code IS NULL").select("user_id", _r(F.col("accuracy"), "accuracy"))
 
 
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
@@ -315,12 +317,12 @@ def evidence_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_check(spark: SparkSession, d: str) -> DataFrame:
-    """The first 12 characters of each document as a span of bytes; and the same bytes with one character less."""
-    docs = table(spark, d, "documents").where("n_chars >= 12").withColumn("b", F.octet_length(F.substring("text", 1, 12)))
+    """Each whole document as a span of bytes and characters; the same bytes with a character less; and the span's text."""
+    docs = table(spark, d, "documents").withColumns({"b": F.octet_length("text"), "c": F.char_length("text")})
     t, zero = F.col("text"), F.lit(0)
-    good = evidence.span_error(t, zero, F.col("b"), zero, F.lit(12))
-    bad = evidence.span_error(t, zero, F.col("b"), zero, F.lit(11))
-    return docs.select("doc_id", good.alias("good"), bad.alias("bad"), evidence.span_text(t, zero, F.col("b")).alias("span"))
+    good = evidence.span_error(t, zero, F.col("b"), zero, F.col("c"))
+    bad = evidence.span_error(t, zero, F.col("b"), zero, F.col("c") - 1)
+    return docs.select("doc_id", good.alias("good"), bad.alias("bad"), F.sha2(evidence.span_text(t, zero, F.col("b")), 256).alias("span_sha256"))
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
@@ -404,7 +406,7 @@ def audit_digests(spark: SparkSession, d: str) -> DataFrame:
 def field_guards(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.guards import is_label
 
-    docs = table(spark, d, "documents").select(F.substring("text", 1, 40).alias("label"))
+    docs = table(spark, d, "documents").select(F.col("text").alias("label"))
     return docs.groupBy(F.coalesce(code(~is_label(F.col("label")), "InvalidLabel"), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tempora.plans import oracle, queries
+from tempora.plans import guards, oracle, queries
 from tempora.sources.tables import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,14 +25,17 @@ def normal(rows, columns):
     return [columns[i] for i in order], sorted(tuple(str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+QUERIES, ORACLE_SQL = queries.QUERIES | guards.QUERIES, oracle.ORACLE_SQL | guards.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    got = queries.QUERIES[name](spark, FOLDER)
+    got = QUERIES[name](spark, FOLDER)
     rows = normal([tuple(r) for r in got.collect()], got.columns)
-    if name not in oracle.ORACLE_SQL:
-        assert rows[1]
+    assert rows[1]
+    if name not in ORACLE_SQL:
         return
-    want = db.sql(oracle.ORACLE_SQL[name])
+    want = db.sql(ORACLE_SQL[name])
     assert rows == normal(want.fetchall(), want.columns)
 
 
