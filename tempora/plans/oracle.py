@@ -52,7 +52,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY revision DESC) AS rn FROM versions WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to)) WHERE rn = 1""",
     "bitemporal_as_valid_at": f"""WITH {_VERSIONS} SELECT user_id, event_id, revision FROM versions
       WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to) AND {_MID} < system_from + INTERVAL 1 DAY""",
-    "bitemporal_eligible_at_cutoff": f"WITH {_VERSIONS} SELECT user_id, event_id FROM versions WHERE system_to IS NULL AND system_from <= (SELECT make_timestamp(epoch_us(max(ts)) - (epoch_us(max(ts)) - epoch_us(min(ts))) // 20) FROM events)",
+    "bitemporal_eligible_at_cutoff": f"WITH {_VERSIONS} SELECT user_id, event_id FROM versions WHERE system_to IS NULL AND system_from <= (SELECT make_timestamp(epoch_us(max(ts)) - (epoch_us(max(ts)) - epoch_us(min(ts))) // 50) FROM events)",
     "bitemporal_replay": "SELECT user_id, count(*) AS n, count(*) AS last, 1::BIGINT AS open FROM events GROUP BY user_id",
     "cutoff_snapshot": f"""SELECT CASE WHEN late THEN 'UnavailableAtCutoff' WHEN k > 1 THEN 'DuplicateDocument' ELSE 'eligible' END AS outcome, count(*) AS n, sum(event_id)::BIGINT AS ids
       FROM (SELECT event_id, ts > {_MID} AS late, row_number() OVER (PARTITION BY event_id // 2, ts > {_MID} ORDER BY event_id) AS k FROM events) GROUP BY 1""",

@@ -56,8 +56,8 @@ def as_valid_at(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eligible(spark: SparkSession, d: str) -> DataFrame:
-    """The cutoff lies before the last twentieth of the events' time, which some users' open rows are in."""
-    late = table(spark, d, "events").agg((F.max("ts") - (F.max("ts") - F.min("ts")) / 20).alias("at")).scalar()
+    """The cutoff lies before the last fiftieth of the events' time, which some users' open rows are in."""
+    late = table(spark, d, "events").agg((F.max("ts") - (F.max("ts") - F.min("ts")) / 50).alias("at")).scalar()
     return bitemporal.eligible_at_cutoff(versions(spark, d), late, "user_id").select("user_id", "event_id")
 
 
