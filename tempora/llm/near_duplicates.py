@@ -10,8 +10,10 @@ the chunk's key with that symbol left out: every such pair meets in a bucket.
 Equal shingle sets are one class from the start.  In a bucket each class is
 first held against one leader, so a group of near copies falls together in as
 many comparisons as it has members; then signatures of classes that are still apart
-are compared within the buckets, a large one block by block, and only pairs
-within the radius go on.  No pair is left out and no bucket is cut off.
+are compared within the buckets, a large one block by block, and where some lie
+within the radius, the full sets of their rows meet in the same blocks.  A task
+gives each of its linked rows once, with one of those that it reaches, so a
+group makes no more rows than it has members.  No pair is left out and no bucket is cut off.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..tables import drop_written, written
+from ..tables import written
 from . import words as W
-from .frames import map_texts
+from .frames import map_texts, releasing
 
 #: Symbols of a signature that are indexed, of 32 bits, and those of 8 bits that only measure.
 K, FINE = 48, 464
 #: Rows of a bucket that meet in one task: a larger bucket is compared block by block.
 BLOCK = 512
+#: Members of sets that a task counts at a time.
+MEMBERS = 2_048
 #: Chance that a pair at the threshold differs in more than `radius` symbols.
 MISS = 1e-6
 #: Times that classes are held against their buckets' leaders.
@@ -106,18 +110,23 @@ def parts_of(signature: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw[:, : 4 * K]).view(np.uint32), raw[:, 4 * K :]
 
 
+def digests(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A digest of each set, null for an empty one."""
+    n = np.diff(first)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mixed(h), dtype=np.uint64)])
+    digest = W.mixed(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return pa.array(digest.astype(np.int64), pa.int64(), mask=n == 0)
+
+
 def _describe(size: int):
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
         h, first = shingles(texts, size)
         n = np.diff(first)
-        some = n > 0
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(W.mixed(h), dtype=np.uint64)])
-        digest = W.mixed(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         rows = iter(signatures(h, first))
         return {
             "n_shingles": pa.array(n, pa.int64()),
-            "class": pa.array(digest.astype(np.int64), pa.int64(), mask=~some),
-            "signature": pa.array([next(rows).tobytes() if x else None for x in some], pa.binary()),
+            "class": digests(h, first),
+            "signature": pa.array([next(rows).tobytes() if x else None for x in n > 0], pa.binary()),
         }
 
     return fn
@@ -163,11 +172,11 @@ def _within(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
 
 
 def _apart(members: DataFrame, classes: DataFrame, components: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) within the radius that share a bucket and lie in different components, each once.
+    """(key, i, j, block, class): rows of blocks i and j of a bucket that have one of another component within the radius there.
 
     Buckets of one component are done with. The others' rows go to tasks by
-    pairs of blocks of BLOCK rows; a task compares signatures and only gives
-    pairs that pass, and a pair passes in the first bucket that it shares.
+    pairs of blocks of BLOCK rows; a task compares signatures, and a pair counts
+    in the first bucket that it shares.
     """
     r, far = radius(similarity), radius(similarity, K + FINE)
     placed = members.select("key", "class").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("c"))
@@ -182,8 +191,7 @@ def _apart(members: DataFrame, classes: DataFrame, components: DataFrame, simila
         own, c, block = (group[x].to_numpy() for x in ("class", "c", "block"))
         (x, p), key = parts_of(group["signature"].to_pylist()), np.uint64(group["key"][0].as_py() & 0xFFFFFFFFFFFFFFFF)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        found = [np.zeros((0, 2), np.int64)]
-        keys = None
+        near, keys = np.zeros(len(own), bool), None
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for row in left:
             with_ = right[(c[right] != c[row]) & ((own[right] > own[row]) if i == j else True)]
@@ -196,41 +204,87 @@ def _apart(members: DataFrame, classes: DataFrame, components: DataFrame, simila
                 keys = index_keys(x, r) if keys is None else keys
                 first = (keys[with_] == keys[row]).argmax(axis=1)
                 with_ = with_[keys[row][first] == key]
-                found.append(np.stack([np.minimum(own[row], own[with_]), np.maximum(own[row], own[with_])], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                near[with_] = True
+                near[row] |= len(with_) > 0
+        return group.select(["key", "i", "j", "block", "class"]).filter(pa.array(near))
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "key bigint, i int, j int, block int, class bigint")
+
+
+def common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members the sets at places `left` share with those at places `right`: a product of their incidence matrices, MEMBERS members at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    member = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    shared = np.bincount(member)[member] > 1
+    owner, member = owner[shared], np.unique(member[shared], return_inverse=True)[1]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    for at in range(0, int(member[-1]) + 1 if len(member) else 0, MEMBERS):
+        a, b = np.searchsorted(member, (at, at + MEMBERS))
+        x = np.zeros((len(sets), MEMBERS), np.float32)
+        x[owner[a:b], member[a:b] - at] = 1
+        out += x[left] @ x[right].T
+    return out.astype(np.int64)
+
+
+def _linked(links: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Of n rows the smallest row that each reaches over links from `left` to `right`."""
+    least, before = np.arange(n), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        if len(right):
+            np.minimum.at(least, left, np.where(links, least[right][None, :], n).min(axis=1))
+        if len(left):
+            np.minimum.at(least, right, np.where(links, least[left][:, None], n).min(axis=0))
+    return least
+
+
+def _links(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): rows of a block pair with the smallest row that they reach there, by den * |intersection| >= num * |union| of full sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        own, block = (group[x].to_numpy() for x in ("class", "block"))
+        rows = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+        left, right = (np.flatnonzero(block == group[x][0].as_py()) for x in ("i", "j"))
+        size = np.array([len(x) for x in rows])
+        both = common(rows, left, right)
+        links = den * both >= num * (size[left][:, None] + size[right][None, :] - both)
+        least = _linked(links, left, right, len(own))
+        other = least != np.arange(len(own))
+        return pa.table({"a": own[least[other]], "b": own[other]})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
+    return near.join(sets, "class").groupBy("key", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have den * |intersection| >= num * |union|."""
 
     def run(batches):
         for batch in batches:
-            for at, x in W.pieces(batch["x"], W.CHUNK_BYTES):
-                part = batch.slice(at, len(x))
-                (g, gf), (h, hf) = shingles(x, size), shingles(part["y"], size)
-                keep = []
-                for i in range(len(x)):
-                    p, q = g[gf[i] : gf[i + 1]], h[hf[i] : hf[i + 1]]
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(den * common >= num * (len(p) + len(q) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(den * both >= num * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("y")), "b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    both = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.mapInArrow(releasing(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(key, n_shingles, class, component_id, kept) of each row: components of documents linked at den * |intersection| >= num * |union|.
+    """(key, n_shingles, class, component, component_id, kept) of each row: components of documents linked at den * |intersection| >= num * |union|.
 
     A-Z are lower-cased, words are separated by white space, a shingle is
     `size` words (the whole text, where it has fewer).  Texts without words,
     empty or null, have no shingles, no class and no link, and are their own
-    components.  Repeated rows are copies of each other.  component_id is the
-    smallest key reachable, a null key counting only where no other is;
-    kept: it is the row's own.  Other columns are left to the caller.
+    components.  Repeated rows are copies of each other.  component names a
+    component (null: without a class), component_id is the smallest key
+    reachable, a null key counting only where no other is; kept: it is the
+    row's own, so repeated rows are both kept (keep_one() keeps one row).
+    An empty table gives none.  Other columns are left to the caller.
     """
     similarity = num / den
     r = radius(similarity)
@@ -243,7 +297,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     members = written(keys.join(shared, "key").select("key", "class", "lead"))
 
     # each class against that of its buckets' leaders with which it shares most buckets, ROUNDS times
-    texts = written(_texts_of(base, classes, members, size))
+    sets = written(_sets_of(base, classes, members, size))
     led = written(members.where("class <> lead").groupBy("class", "lead").agg(F.count(F.lit(1)).alias("n")))
     links, known = None, None
     for _ in range(ROUNDS):
@@ -252,38 +306,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             near, far = (known.select(F.col("node").alias(c), F.col("component").alias(f"{c}_at")) for c in ("class", "lead"))
             open_ = led.join(near, "class", "left").join(far, "lead", "left").where("coalesce(class_at, class) <> coalesce(lead_at, lead)")
         nearest = open_.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", "lead"))["lead"].alias("a")).select("a", "b")
-        found = written(_confirmed(_within(nearest, classes, similarity), texts, size, num, den))
+        found = written(_confirmed(_within(nearest, classes, similarity), sets, num, den))
         links = found if links is None else links.union(found)
         known = written(connected_components(links, "a", "b"))
 
     # what is still apart
-    more = _confirmed(_apart(members, classes, known, similarity), texts, size, num, den)
+    more = _links(written(_apart(members, classes, known, similarity)), sets, num, den)
     components = connected_components(links.union(more), "a", "b")
     of_class = classes.select("class", "id").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = of_class.join(smallest, "component").select("class", "component_id")
+    named = of_class.join(smallest, "component").select("class", "component", "component_id")
     out = described.select("id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(key), "n_shingles", "class", component.alias("component_id"))
+    out = out.select(F.col("id").alias(key), "n_shingles", "class", "component", component.alias("component_id"))
     return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
 
 
-def _texts_of(base: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(class, text): a text for each class of a shared bucket."""
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs` of which one of each component stays, as near_duplicates() finds them: that of the smallest key, a null key last.
+
+    Rows count, not keys: of rows that repeat a key and text one stays, and a
+    key that stands on other texts too loses only the rows that are copies.
+    Rows of one key and one set of shingles go by their text.  Texts without
+    words stay.  Columns named __class, __k and __c must not be in `docs`.
+    """
+    found = written(near_duplicates(docs.select(key, text), key, text, size, num, den).where("class IS NOT NULL").groupBy("component", F.col(key).alias("k"), "class").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "class")
+    best = found.groupBy("component").agg(F.min(order).alias("best"))
+    judged = written(found.join(best, "component").select(F.col("k").alias("__k"), F.col("class").alias("__c"), (order.eqNullSafe(F.col("best"))).alias("stays"), "n"))
+    placed = map_texts(docs, text, _digest_of(size), {"__class": "bigint"})
+    same = lambda t: (F.col(f"`{key}`").eqNullSafe(t["__k"])) & (F.col("__class") == t["__c"])
+    gone, often = judged.where("NOT stays").select("__k", "__c"), judged.where("stays AND n > 1").select("__k", "__c")
+    left = placed.join(gone, same(gone), "left_anti")
+    single = left.join(often, same(often), "left_anti").select(*docs.columns)
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = left.join(often, same(often), "left_semi").groupBy(F.col(f"`{key}`").alias("__k"), "__class").agg(F.min_by(rows, F.col(f"`{text}`")).alias("row"))
+    return single.union(first.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+def _digest_of(size: int):
+    return lambda texts: {"__class": digests(*shingles(texts, size))}
+
+
+def _sets_of(base: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(class, hashes): the full set of each class of a shared bucket, as sorted 64-bit hashes of its shingles."""
     wanted = written(classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("wanted"), "id"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    named = base.join(wanted, "id").select("wanted", "text")
-    nameless = map_texts(base.where("id IS NULL"), "text", _class_of(size), {"class": "bigint"}, keep=["text"]).where("class IS NOT NULL")
+    fields = {"class": "bigint", "hashes": "binary"}
     # an id may stand on rows of several classes
-    own = map_texts(named, "text", _class_of(size), {"class": "bigint"}).where("class = wanted").select("class", "text")
-    every = own.union(nameless.join(wanted.where("id IS NULL"), nameless["class"] == wanted["wanted"]).select("class", "text"))
-    return every.groupBy("class").agg(F.first("text").alias("text"))
+    named = map_texts(base.join(wanted, "id").select("wanted", "text"), "text", _set_of(size), fields, keep=["wanted"]).where("class = wanted").select("class", "hashes")
+    nameless = map_texts(base.where("id IS NULL"), "text", _set_of(size), fields, keep=[]).where("class IS NOT NULL")
+    every = named.union(nameless.join(wanted.where("id IS NULL"), nameless["class"] == wanted["wanted"]).select("class", "hashes"))
+    return every.groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
-def _class_of(size: int):
-    describe = _describe(size)
-
+def _set_of(size: int):
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
-        return {"class": describe(texts)["class"], "text": texts}
+        h, first = shingles(texts, size)
+        rows = [h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
+        return {"class": digests(h, first), "hashes": pa.array(rows, pa.binary())}
 
     return fn
