@@ -189,7 +189,7 @@ def _folded(docs: DataFrame, path: str, text: str, keep: list[str] | None, *repl
                 if new.null_count:
                     rest = iter(long)
                     new = pa.array([x if x is not None else heap_merge(next(rest).encode(), path) for x in new.to_pylist()], pa.list_(pa.int32()))
-                known.add(new)
+                known.add(new.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(new).to_numpy(zero_copy_only=False).astype(np.int64))
                 codes = part["__codes"].chunk(0)
                 values = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), codes), b"")[0].as_buffer(), np.int32)
                 for at, ids in assembled(values, pc.binary_length(codes).to_numpy() // 4, known):

@@ -7,7 +7,6 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,13 +90,12 @@ class Dictionary:
     def __init__(self):
         self.ids, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, lists: pa.Array) -> None:
-        """lists: of ids, for the next words."""
-        if not len(lists):
+    def add(self, ids: np.ndarray, length: np.ndarray) -> None:
+        """The ids of the next words, one after the other, and how many each has."""
+        if not len(length):
             return
-        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        first = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]])
-        self.ids = np.concatenate([self.ids, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+        first = len(self.ids) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, ids])
         self.start, self.length = np.concatenate([self.start, first]), np.concatenate([self.length, length])
 
 

@@ -12,6 +12,8 @@ import numpy as np
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 14
+#: Words that blocks go on before they are asked whether they have ended.
+STRIDE = 64
 _U = np.uint64
 _LIMITS = np.array([1 << w for w in WIDTHS], np.uint64)
 
@@ -45,16 +47,19 @@ def encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     need[:n] = np.searchsorted(_LIMITS, ids, side="right")
     need = np.concatenate([need.reshape(rows, block), np.full((rows, COUNTS[0]), 255, np.uint8)], axis=1)
     best = _fit(need, block)
-    jump = np.array([*COUNTS, 1], np.int64)[best].ravel()
-    # all blocks go from word to word side by side
-    at, stop, found = np.arange(rows) * block, np.minimum(np.arange(1, rows + 1) * block, n), []
-    while len(at):
-        found.append(at)
-        at = at + jump[at]
-        going = at < stop
-        if not going.all():
-            at, stop = at[going], stop[going]
-    at = np.sort(np.concatenate(found))
+    # all blocks go from word to word side by side; one that has ended stays behind its last id
+    wide = block + 1
+    jump = np.zeros((rows, wide), np.int64)
+    jump[:, :block] = np.array([*COUNTS, 1])[best]
+    jump.ravel()[(rows - 1) * wide + n - (rows - 1) * block :] = 0
+    jump, at, found = jump.ravel(), np.arange(rows) * wide, []
+    while jump[at].any():
+        for _ in range(STRIDE):
+            found.append(at)
+            at = at + jump[at]
+    at = np.concatenate(found)
+    row, column = np.divmod(np.sort(at[jump[at] > 0]), wide)
+    at = row * block + column
     selector = best.ravel()[at]
     size = 1 + (selector == ESCAPE)
     place = np.cumsum(size) - size

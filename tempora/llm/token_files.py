@@ -10,6 +10,7 @@ order of the key over `file` and `segment`, nulls first.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -58,9 +59,8 @@ def _encoded(batches: Iterable[pa.RecordBatch], path: str, text: str, end: int |
     for part, codes, counts, new, anew in coded_batches(batches, text, _added_tokens(path)):
         if anew:
             known = Dictionary()
-        for at in range(0, len(new), BATCH):
-            ids = [x.ids for x in tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
-            known.add(pa.array(ids, pa.list_(pa.int32())))
+        ids = [x.ids for at in range(0, len(new), BATCH) for x in tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
+        known.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
         for at, lists in assembled(codes, counts, known, end):
             yield part.slice(at, len(lists)), lists
 
