@@ -52,7 +52,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(docs, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -147,6 +147,7 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "perspective",
         "n_turns",
         "n_targets",
+        F.col("start").alias("first_char"),
         F.length("rendered").cast("long").alias("n_chars"),
         F.sha2(F.encode("rendered", "UTF-8"), 256).alias("rendered_sha256"),
         F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias("spans"),
@@ -155,23 +156,27 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op7_kd_shards": op7_kd_shards, "op8_perspectives": op8_perspectives}
 
-_SQL8 = """
+_SQL8 = r"""
 WITH turns AS (
-  SELECT DISTINCT conv_id, coalesce(turn, 0) // 1024 AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM turns
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
 ), shown AS (
-  SELECT t.*, perspective, role = perspective AS target,
+  SELECT t.*, (k - 1) // 1024 AS part, perspective, role = perspective AS target,
     CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || role || '|>' || chr(10) END AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+  FROM numbered t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), placed AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, role, text) AS stop FROM shown
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, perspective ORDER BY k) AS stop FROM shown
+), parts AS (
+  SELECT conv_id, part::BIGINT AS part, perspective, count(*)::BIGINT AS n_turns, count(*) FILTER (target)::BIGINT AS n_targets, sum(length(head) + length(body))::BIGINT AS n_chars,
+    sha256(string_agg(head || body, '' ORDER BY k)) AS rendered_sha256,
+    coalesce(string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (target), '') AS spans
+  FROM placed GROUP BY conv_id, part, perspective
 )
-SELECT conv_id, part::BIGINT AS part, perspective, count(*)::BIGINT AS n_turns, count(*) FILTER (target)::BIGINT AS n_targets, sum(length(head) + length(body))::BIGINT AS n_chars,
-  sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256,
-  coalesce(string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (target), '') AS spans
-FROM placed GROUP BY conv_id, part, perspective
+SELECT *, (sum(n_chars) OVER (PARTITION BY conv_id, perspective ORDER BY part) - n_chars)::BIGINT AS first_char FROM parts
 """
 ORACLE_SQL["op8_perspectives"] = _SQL8
 

@@ -178,6 +178,25 @@ def test_near_duplicates_find_every_link(spark, size, num):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_near_duplicates_without_keys_or_rows(spark):
+    rows = [(1, PASSAGE), (5, PASSAGE), (5, PROSE[0]), (None, PASSAGE), (7, PROSE[2]), (7, PROSE[2]), (None, PROSE[3]), (None, PROSE[3]), (None, ""), (None, None), (9, " "), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("component", F.lit("clash")).withColumn("n_shingles", F.lit(-1)).repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles > 0, r.kept) for r in near_duplicates.near_duplicates(df).collect())
+    assert got == sorted([(1, 1, True, True), (5, 1, True, False), (5, 5, True, True), (0, 1, True, False), (7, 7, True, True), (7, 7, True, True), (0, 0, True, True), (0, 0, True, True), (0, 0, False, True), (0, 0, False, True), (9, 9, False, True), (5, 5, False, True)])
+    left = sorted((r.doc_id or 0, r.text or "") for r in near_duplicates.keep_one(df).collect())
+    assert left == sorted([(1, PASSAGE), (5, PROSE[0]), (7, PROSE[2]), (0, PROSE[3]), (0, ""), (0, ""), (9, " "), (5, "")])
+    assert near_duplicates.keep_one(df).columns == df.columns
+    assert near_duplicates.near_duplicates(df.limit(0)).count() == near_duplicates.keep_one(df.limit(0)).count() == 0
+
+
+def test_links_of_sets_in_blocks():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50), dtype=np.uint64)) for _ in range(30)] + [np.zeros(0, np.uint64)]
+    left, right = np.arange(0, 31, 2), np.arange(1, 31, 2)
+    want = [[len(set(sets[i].tolist()) & set(sets[j].tolist())) for j in right] for i in left]
+    assert near_duplicates.common(sets, left, right).tolist() == want
+
+
 def test_pigeonhole_guarantee():
     r = near_duplicates.radius(0.85)
     parts = near_duplicates.chunks(r)
@@ -335,15 +354,37 @@ def test_shards(spark, docs):
     assert len({r.shard for r in sharding.assign(big, target_bytes=sum(sums) // 4).collect()}) == 4 or len({r.shard for r in sharding.assign(big, target_bytes=sum(sums) // 4).collect()}) == 5
 
 
-def test_perspectives(spark):
-    rows = [(1, 0, "system", "s"), (1, 1, "Ann", "hé"), (1, 2, "Bob", None), (1, 3, None, "x"), (1, 3, None, "x"), (2, 0, "system", "only"), (None, 5, "Ann", "n"), (3, 0, "Ann", "a"), (3, 2000, "Bob", "far")]
-    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("part", F.lit(9))
-    got = {(r.conv_id, r.part, r.perspective): r for r in chat.perspectives(df).collect()}
-    assert set(got) == {(1, 0, "Ann"), (1, 0, "Bob"), (1, 0, "unknown"), (None, 0, "Ann"), *((3, p, s) for p in (0, 1) for s in ("Ann", "Bob"))}
-    r = got[1, 0, "Ann"]
-    assert r.rendered == "<|system|>\ns<|end|>\n<|assistant|>\nhé<|end|>\n<|user name=Bob|>\n<|end|>\n<|user name=unknown|>\nx<|end|>\n"
-    assert [r.rendered[s.start : s.end] for s in r.spans] == ["hé<|end|>\n"] and (r.n_turns, r.n_targets) == (4, 1)
-    assert got[3, 1, "Ann"].n_targets == 0 and chat.perspectives(df.limit(0)).count() == 0
+def brute_perspectives(rows, part):
+    """(conv, perspective) to the whole rendering, its spans and how many turns each part has."""
+    plain = lambda x, null: (null if x is None else x).replace("<|", "<\\|")
+    convs = {}
+    for c, turn, role, text in rows:
+        convs.setdefault(c, []).append((turn is not None, turn or 0, plain(role, "unknown"), plain(text, "")))
+    out = {}
+    for c, turns in convs.items():
+        for who in {r for _, _, r, _ in turns if r != "system"}:
+            whole, spans = "", []
+            for _, _, role, text in sorted(turns):
+                whole += "<|system|>\n" if role == "system" else "<|assistant|>\n" if role == who else f"<|user name={role}|>\n"
+                start = len(whole)
+                whole += f"{text}<|end|>\n"
+                spans += [(start, len(whole))] if role == who else []
+            out[c, who] = (whole, spans, [min(part, len(turns) - i) for i in range(0, len(turns), part)])
+    return out
+
+
+@pytest.mark.parametrize("part", [3, 1024])
+def test_perspectives(spark, part):
+    rows = [(1, 0, "system", "s"), (1, 1, "Ann", "hé"), (1, 2, "Bob", None), (1, 3, None, "x"), (1, 3, None, "x"), (2, 0, "system", "only"), (None, 5, "Ann", "n"), (None, None, "Bob", "first"), (3, 0, "Ann", "a"), (3, 2000, "Bob", "far")]
+    rows += [(4, k // 2, "AB"[k % 2], f"t{k % 5} <|end|>\n<|assistant|>") for k in range(40)] + [(5, None, "A|>", "")] * 7
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("part", F.lit(9)).repartition(3)
+    got = {}
+    for r in sorted(chat.perspectives(df, part=part).collect(), key=lambda r: r.part):
+        whole, spans, sizes = got.setdefault((r.conv_id, r.perspective), ["", [], []])
+        assert r.part == len(sizes) and r.start == len(whole) and r.n_targets == len(r.spans)
+        got[r.conv_id, r.perspective] = [whole + r.rendered, spans + [(r.start + s.start, r.start + s.end) for s in r.spans], [*sizes, r.n_turns]]
+    assert {k: tuple(v) for k, v in got.items()} == brute_perspectives(rows, part)
+    assert chat.perspectives(df.limit(0)).count() == 0
 
 
 def test_decontamination_against_brute_force(spark, docs):
