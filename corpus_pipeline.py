@@ -22,16 +22,13 @@ SHINGLE, SIMILARITY = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fixed limits or the outlier test reject go."""
+    """Documents that the fixed limits or the outlier test reject go, null and empty texts among them; repeated rows are judged each."""
     return quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays."""
-    found = near_duplicates.near_duplicates(docs.select("doc_id", "text"), size=SHINGLE, num=SIMILARITY, den=100)
-    # rows that repeat a kept row go as well: one row of a doc_id and text stays
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near duplicates one row stays, that of the smallest doc_id (a null one last); texts without words stay."""
+    return near_duplicates.keep_one(docs.select(*COLUMNS), size=SHINGLE, num=SIMILARITY, den=100)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +39,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark windows go."""
+    """Documents with a twentieth or more of their words in benchmark windows go; repeated rows are judged each, null and empty texts stay."""
     found = decontaminate.find_items(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids, of which every text is decoded again."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS), path), path)
+    """The documents with their ids instead of the text, and whether these decode to it (null: to nothing); repeated rows are encoded each."""
+    out = bpe.round_trip(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     whole = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded").cast("string")
     return out.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
