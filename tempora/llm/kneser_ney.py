@@ -1,21 +1,27 @@
 """Interpolated modified Kneser-Ney model of any order, counted in Spark and scored where its parts lie.
 
 Documents are packed into blocks as numbered words; a block sends its distinct
-words, and then its distinct n-grams of each order, once each to the parts of
-the model that own them.  A part adds the blocks' counts to sorted arrays in
-files that it memory-maps, answers every block from them, and is gone; so
-neither the driver nor any worker ever holds the model, whose size follows the
-corpus, and a word in a third of all places is a row of each block.
-
-Rounds: words -> counts and global numbers; n-grams, from the highest order
-down to 2 -> counts and statistics of their contexts; words -> how many first
-words they follow; scores.  Below the highest order a count is that of
-different words in front (continuation); an n-gram at a document's beginning
-has none in front and keeps its own count.
+words, and then its distinct n-grams of the highest order, once each to the
+parts of the model that own them.  A part adds the blocks' counts to sorted
+arrays in files that it memory-maps, answers every block from them, and is
+gone; so neither the driver nor any worker ever holds the model, whose size
+follows the corpus, and a word in a third of all places is a row of each block.
+
+Rounds: words -> counts and global numbers, small for frequent words; n-grams,
+from the highest order down to 3 -> counts and statistics of their contexts.
+Three words belong to the part of the middle one, so that round knows how many
+words stand before each two and answers these too.  Of a hot word (HOT times or
+more) no part has everything: its threes are dealt by their first two words,
+and its twos, of which the threes' parts send on what they have counted, in a
+round of their own.  Last, words -> how many first words they follow, and the
+statistics of the twos that they begin; scores.  Below the highest order a
+count is that of different words in front (continuation); an n-gram at a
+document's beginning has none in front and keeps its own count.
 """
 
 from __future__ import annotations
 
+import functools
 import mmap
 import tempfile
 
@@ -28,10 +34,14 @@ from pyspark.sql import functions as F
 
 from ..tables import written
 from . import words as W
-from .frames import n_blocks
+from .frames import n_blocks, releasing
 
 #: Bytes of text of a block.
 BLOCK_TEXT = 10_000_000
+#: Occurrences from which the n-grams around a word are dealt to several parts: about what a part has of other words together.
+HOT = 2_000_000
+#: The bit that marks a hot word's number.
+_HOT = np.uint32(1 << 31)
 #: The end of a document and what stands before its first word, as hashes of no word.
 END = np.uint64(0xE7D0E7D0E7D0E7D0)
 BEGIN = 0  # the number of the beginning; words' numbers start at 1
@@ -46,7 +56,7 @@ def is_held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes, those of one weight together, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
@@ -93,9 +103,12 @@ def _bounds(parts: int) -> np.ndarray:
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, inverse = np.unique(np.concatenate([np.zeros(0, keys[0].dtype) if keys else np.zeros(0, _U), *keys]), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate([np.zeros(0), *counts]), minlength=len(every)).astype(np.int64)
-    return every, total
+    """The distinct keys and their counts added up, in whole numbers."""
+    every = np.concatenate([np.zeros(0, keys[0].dtype if keys else _U), *keys])
+    order = np.argsort(every, kind="stable")
+    every, total = every[order], np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for x in counts)])[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    return every[first], np.add.reduceat(total, first) if len(first) else total
 
 
 def _histogram(counts: np.ndarray) -> bytes:
@@ -119,7 +132,11 @@ def _packed(parts: int, want: str):
             every = pa.concat_arrays(ids)
             lists = {"ids": every, "held": pa.array(out), "length": pa.array(length, pa.int64())}
             cells = {k: pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), v) for k, v in lists.items()}
-            return pa.record_batch({"block": pa.array([number], pa.int64()), **cells, "stream": pa.array([pack(inverse.astype(np.uint32))], pa.binary())})
+            frequent = np.argsort(-np.bincount(inverse, minlength=len(own)), kind="stable").astype(np.uint32)  # small codes for frequent words
+            code = np.empty(len(own), np.uint32)
+            code[frequent] = np.arange(len(own), dtype=np.uint32)
+            packed = {k: pa.array([pack(v)], pa.binary()) for k, v in (("stream", code[inverse]), ("codes", frequent))}
+            return pa.record_batch({"block": pa.array([number], pa.int64()), **cells, **packed})
         counts = np.bincount(inverse[np.repeat(~out, length)], minlength=len(own)).astype(np.uint32)
         edges = np.append(np.searchsorted(own, _bounds(parts)), len(own))
         rows = [(number, p, "ask", [own[a:b].tobytes(), pack(counts[a:b])]) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -146,16 +163,18 @@ def _packed(parts: int, want: str):
     return run
 
 
-def _answer_words(group: pa.Table, parts: int) -> pa.Table:
+def _answer_words(group: pa.Table, parts: int, hot: int) -> pa.Table:
     """A part of the vocabulary: each asked word's number and count."""
     asked = _of(group, "ask")
     hashes = [np.frombuffer(d[0], _U) for _, _, d in asked]
     part = asked[0][1]
     every, counts = _summed(hashes, [unpack(d[1], np.uint32) for _, _, d in asked])
-    numbers = np.arange(len(every), dtype=np.int64) * parts + part + 1
-    if len(numbers) and numbers[-1] >= 1 << 32:
-        raise ValueError("over 2**32 word numbers: more than the packed bigrams hold")
-    model = MappedArrays(every, number=numbers.astype(np.uint32), count=counts)
+    numbers = np.empty(len(every), np.int64)
+    numbers[np.argsort(-counts, kind="stable")] = np.arange(len(every), dtype=np.int64) * parts + part + 1
+    if len(numbers) and numbers.max() >= 1 << 31:
+        raise ValueError("over 2**31 word numbers: more than the packed columns hold")
+    numbers = numbers.astype(np.uint32) | np.where(counts >= hot, _HOT, np.uint32(0))
+    model = MappedArrays(every, number=numbers, count=counts)
     rows = [(b, part, "word", [pack(x) for x in model.get(h, "number", "count")]) for (b, _, _), h in zip(asked, hashes, strict=True)]
     return _messages([*rows, (-1, part, "words", [_histogram(counts)])])
 
@@ -163,16 +182,25 @@ def _answer_words(group: pa.Table, parts: int) -> pa.Table:
 # round 2
 
 
-def owner(context: list[np.ndarray], parts: int) -> np.ndarray:
-    """The part that n-grams of a context belong to: of one word by its number, else by a hash of the numbers."""
-    if len(context) == 1:
-        return np.where(context[0] > 0, (context[0].astype(np.int64) - 1) % parts, 0)
-    h = context[0].astype(_U)
-    for c in context[1:]:
+def word_part(number: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a word belongs to."""
+    return np.where(number > 0, ((number & ~_HOT).astype(np.int64) - 1) % parts, 0)
+
+
+def _part(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    h = columns[0].astype(_U)
+    for c in columns[1:]:
         h = W.mixed(h) + c.astype(_U)
     return (W.mixed(h) % _U(parts)).astype(np.int64)
 
 
+def owner(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    """The part that n-grams belong to: of four words and more by the context, of three by the middle word and of two by the first, unless that is hot: then by the first two."""
+    if len(columns) > 3:
+        return _part(columns[:-1], parts)
+    return np.where(columns[-2] >= _HOT, _part(columns[:2], parts), _part(columns[-2:-1], parts))
+
+
 def _key(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     return node.astype(_U) << _U(32) | word.astype(_U)
 
@@ -201,7 +229,7 @@ class _Block:
 
     def __init__(self, docs: pa.Table, told: pa.Table, parts: int, order: int):
         self.docs, self.parts = docs, parts
-        self.stream = unpack(docs["stream"][0].as_py(), np.uint32)
+        self.stream = unpack(docs["codes"][0].as_py(), np.uint32)[unpack(docs["stream"][0].as_py(), np.uint32)]
         words = _of(told, "word")
         self.number = np.concatenate([np.zeros(0, np.uint32), *(unpack(d[0], np.uint32) for _, _, d in words)])
         self.count = np.concatenate([np.zeros(0, np.int64), *(unpack(d[1], np.int64) for _, _, d in words)])
@@ -211,7 +239,9 @@ class _Block:
         self.held = docs["held"].chunk(0).flatten().to_numpy(zero_copy_only=False)
         self.first = np.cumsum(self.length) - self.length
         by_number = np.argsort(self.number)
-        named = np.concatenate([np.full(1, BEGIN, np.uint32), self.number[by_number]])
+        #: Numbers in ascending order, the beginning's first, and the places of the words they stand for.
+        self.named = named = np.concatenate([np.full(1, BEGIN, np.uint32), self.number[by_number]])
+        self.by_number = by_number
         rank = np.empty(len(by_number), np.uint32)
         rank[by_number] = np.arange(1, len(by_number) + 1)
         w = rank[self.stream]
@@ -224,7 +254,7 @@ class _Block:
             context[self.first] = BEGIN
             at, inverse = _dense([context, w])
             columns = [named[np.where(before[at] >= j, w[np.maximum(at - j, 0)], BEGIN)] for j in range(n - 1, -1, -1)]
-            part = owner(columns[:-1], parts)
+            part = owner(columns, parts)
             ordered = np.argsort(part, kind="stable")
             place = np.empty(len(ordered), np.int64)
             place[ordered] = np.arange(len(ordered))
@@ -236,6 +266,8 @@ def _ask_grams(docs: pa.Table, told: pa.Table, parts: int, order: int) -> pa.Tab
     b = _Block(docs, told, parts, order)
     number, rows = docs["block"][0].as_py(), []
     for n, (columns, gram, edges) in b.grams.items():
+        if n == 2 < order:  # these follow from three words
+            continue
         sent = list(columns)
         if n == order:  # the counts of lower orders follow from these
             sent.append(np.bincount(gram[np.repeat(~b.held, b.length)], minlength=len(columns[0])).astype(np.uint32))
@@ -268,46 +300,127 @@ class _Grams:
         return [*self.counts.get(_key(node, columns[-1]), "count"), *self.heads.get(node[_run_starts(columns[:-1])], "total", "n1", "n2", "n3")]
 
 
+def _counted(sources: list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of all sources with their counts added up, those that were counted at all."""
+    columns = [np.concatenate([np.zeros(0, np.uint32), *(c[j] for c, _ in sources)]) for j in range(n)]
+    at, ids = _dense(columns)
+    order = np.argsort(ids, kind="stable")
+    counts = np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for _, x in sources)])[order]
+    first = np.searchsorted(ids[order], np.arange(len(at)))
+    counts = np.add.reduceat(counts, first) if len(at) else counts[:0]
+    return [c[at[counts > 0]] for c in columns], counts[counts > 0]
+
+
+def _unpacked(data: list[bytes], n: int) -> list[np.ndarray]:
+    return [unpack(c, np.uint32) for c in data[:n]]
+
+
+def _ends(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """What stands behind the first words, and the weights added up over these."""
+    at, ids = _dense(columns[1:])
+    return [c[at] for c in columns[1:]], np.bincount(ids, weights=weights, minlength=len(at)).astype(np.int64)
+
+
+def _dealt(block: int, kind: str, to: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple[int, int, str, list[bytes]]]:
+    """A message to each part in `to` with its rows of the columns."""
+    ordered = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[ordered], np.arange(parts + 1))
+    return [(block, p, kind, [pack(c[ordered[x:y]]) for c in columns]) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+
+
 def _answer_grams(group: pa.Table, n: int, order: int, parts: int) -> pa.Table:
-    """A part of the n-grams, by contexts: counts, contexts' statistics; for the parts of the order below, how many n-grams end there; and what else they are asked."""
+    """A part of the n-grams, three words or more: counts, contexts' statistics; for the order below, how many n-grams end there (of three words: see _answer_twos); and what else is asked."""
     part = group["part"][0].as_py()
     asked, told = _of(group, f"ask{n}"), _of(group, f"ends{n}")
-    later = group.filter(pc.is_in(group["kind"], pa.array([f"ask{k}" for k in range(2, n)], pa.string())))
-    keys = [[unpack(c, np.uint32) for c in d[:n]] for _, _, d in asked]
-    source = list(zip(keys, (unpack(d[n], np.uint32) for _, _, d in asked), strict=True)) if n == order else [([unpack(c, np.uint32) for c in d[:n]], unpack(d[n], np.int64)) for _, _, d in told]
-    columns = [np.concatenate([np.zeros(0, np.uint32), *(c[j] for c, _ in source)]) for j in range(n)]
-    at, ids = _dense(columns)
-    counts = np.bincount(ids, weights=np.concatenate([np.zeros(0), *(x for _, x in source)]), minlength=len(at)).astype(np.int64)
-    del source, ids
-    columns, counts = [c[at[counts > 0]] for c in columns], counts[counts > 0]
+    later = group.filter(pc.is_in(group["kind"], pa.array([f"ask{k}" for k in range(3, n)], pa.string())))
+    keys = [_unpacked(d, n) for _, _, d in asked]
+    sources = [(k, unpack(d[n], np.uint32)) for k, (_, _, d) in zip(keys, asked, strict=True)] if n == order else [(_unpacked(d, n), unpack(d[n], np.int64)) for _, _, d in told]
+    columns, counts = _counted(sources, n)
+    del sources
     # with two words before the beginning it is none, but the n-gram without the first keeps its count
     none = (columns[0] == BEGIN) & (columns[1] == BEGIN)
     model = _Grams([c[~none] for c in columns], counts[~none])
     rows = [(b, part, f"gram{n}", [pack(x) for x in model.get(own)]) for (b, _, _), own in zip(asked, keys, strict=True)]
-    at, ids = _dense(columns[1:])
-    ends = np.bincount(ids, weights=np.where(none, counts, 1), minlength=len(at)).astype(np.int64)
-    second = [c[at] for c in columns[1:]]
-    to = owner(second[:-1] or second, parts)
-    ordered = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[ordered], np.arange(parts + 1))
-    for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
-        if y > x:
-            rows.append((-1, p, f"ends{n - 1}", [pack(c[ordered[x:y]]) for c in (*second, ends)]))
-    return pa.concat_tables([_messages([*rows, (-1, part, f"grams{n}", [_histogram(counts[~none])])]), later.cast(_messages([]).schema)])
+    rows.append((-1, part, f"grams{n}", [_histogram(counts[~none])]))
+    second, ends = _ends(columns, np.where(none, counts, 1))
+    if n > 3:
+        rows += _dealt(-1, f"ends{n - 1}", owner(second, parts), [*second, ends], parts)
+    else:
+        rows += _answer_twos(part, second, ends, [(b, k[1:]) for (b, _, _), k in zip(asked, keys, strict=True)], parts)
+    return pa.concat_tables([_messages(rows), later.cast(_messages([]).schema)])
+
+
+def _answer_twos(part: int, columns: list[np.ndarray], counts: np.ndarray, asked: list[tuple[int, list[np.ndarray]]], parts: int) -> list[tuple[int, int, str, list[bytes]]]:
+    """Of two words that stand behind a first: the counts where the first of them isn't hot; what a hot one has so far, and who asks for it, goes on to its parts."""
+    hot = columns[0] >= _HOT
+    rows = _summary(part, [c[~hot] for c in columns], counts[~hot], parts)
+    own = [c[hot] for c in columns]
+    rows += _dealt(-1, "ends2", owner(own, parts), [*own, counts[hot]], parts)
+    model = _arrays([c[~hot] for c in columns], counts[~hot])
+    for block, k in asked:
+        at, _ = _dense(k)
+        k = [c[at] for c in k]
+        hot = k[0] >= _HOT
+        rows.append((block, part, "gram2", [pack(x) for x in model.get(_key(*(c[~hot] for c in k)), "count")]))
+        own = [c[hot] for c in k]
+        rows += _dealt(block, "ask2", owner(own, parts), own, parts)
+    return rows
+
+
+def _arrays(columns: list[np.ndarray], counts: np.ndarray) -> MappedArrays:
+    keys = _key(*columns)
+    order = np.argsort(keys)
+    return MappedArrays(keys[order], count=counts[order])
+
+
+def _summary(part: int, columns: list[np.ndarray], counts: np.ndarray, parts: int) -> list[tuple[int, int, str, list[bytes]]]:
+    """Of two words with their final counts: the histogram; each first word's statistics and each second one's number of first words, for the words' parts."""
+    last, types = _ends(columns, np.ones(len(counts)))
+    first, start = np.unique(columns[0], return_inverse=True)
+    sums = lambda x: np.bincount(start, weights=x, minlength=len(first)).astype(np.int64)
+    heads = [sums(counts), sums(counts == 1), sums(counts == 2), sums(counts > 2)]
+    begins = first == BEGIN
+    rows = [(-1, part, "grams2", [_histogram(counts)]), (-1, part, "begin", [np.array([*(int(h[begins].sum()) for h in heads), 0, 0], np.int64).tobytes()])]
+    rows += _dealt(-1, "ends1", word_part(last[0], parts), [last[0], types], parts)
+    return rows + _dealt(-1, "heads", word_part(first[~begins], parts), [first[~begins], *(h[~begins] for h in heads)], parts)
+
+
+def _answer_hot(group: pa.Table, order: int, parts: int) -> pa.Table:
+    """A part of the two words that threes' parts have sent on (order 2: of all two words): their counts for each block that asks, in the order of the words."""
+    part = group["part"][0].as_py()
+    asked: dict[int, list[list[np.ndarray]]] = {}
+    sources = [(_unpacked(d, 2), unpack(d[2], np.int64)) for _, _, d in _of(group, "ends2")]
+    for block, _, d in _of(group, "ask2"):
+        asked.setdefault(block, []).append(_unpacked(d, 2))
+        if order == 2:
+            sources.append((asked[block][-1], unpack(d[2], np.uint32)))
+    columns, counts = _counted(sources, 2)
+    rows = _summary(part, columns, counts, parts)
+    model = _arrays(columns, counts)
+    for block, lists in asked.items():
+        keys = np.unique(np.concatenate([_key(*k) for k in lists]))
+        rows.append((block, part, "hot2", [pack(x) for x in model.get(keys, "count")]))
+    return _messages(rows)
 
 
 # round 3
 
 
-def _answer_ends(words: pa.Table, ends: pa.Table) -> pa.Table:
-    """How many first words each asked word follows."""
-    asked, told = _of(words, "word"), _of(ends, "ends1")
+def _answer_ends(words: pa.Table, told: pa.Table) -> pa.Table:
+    """How many first words each asked word follows, and the statistics of the two words that it begins."""
+    asked = _of(words, "word")
     if not asked:
         return _messages([])
-    every, types = _summed([unpack(d[0], np.uint32) for _, _, d in told], [unpack(d[1], np.int64) for _, _, d in told])
-    model = MappedArrays(every, types=types)
-    part = asked[0][1]
-    rows = [(b, part, "end", [pack(x) for x in model.get(unpack(d[0], np.uint32), "types")]) for b, _, d in asked]
+    sent = [(unpack(d[0], np.uint32), unpack(d[1], np.int64)) for _, _, d in _of(told, "ends1")]
+    every, types = _summed([k for k, _ in sent], [x for _, x in sent])
+    model, part = MappedArrays(every, types=types), asked[0][1]
+    heads = [[unpack(d[0], np.uint32), *(unpack(x, np.int64) for x in d[1:])] for _, _, d in _of(told, "heads")]
+    of = [_summed([h[0] for h in heads], [h[i] for h in heads]) for i in range(1, 5)]
+    firsts = MappedArrays(of[0][0], **{f"h{i}": x for i, (_, x) in enumerate(of)})
+    rows = []
+    for block, _, d in asked:
+        numbers = unpack(d[0], np.uint32)
+        rows.append((block, part, "end", [pack(x) for x in (*model.get(numbers, "types"), *firsts.get(numbers, "h0", "h1", "h2", "h3"))]))
     return _messages([*rows, (-1, part, "types", [_histogram(types)])])
 
 
@@ -328,11 +441,12 @@ def _taken(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(counts == 0, 0.0, np.where(counts == 1, d[0], np.where(counts == 2, d[1], d[2])))
 
 
-def _scores(docs: pa.Table, told: pa.Table, parts: int, words: np.ndarray, grams: list[np.ndarray], types: np.ndarray, key: str) -> pa.Table:
-    """grams: the histograms of the orders from 2 up."""
+def _scores(docs: pa.Table, told: pa.Table, parts: int, words: np.ndarray, grams: list[np.ndarray], types: np.ndarray, begin: np.ndarray, key: str) -> pa.Table:
+    """grams: the histograms of the orders from 2 up; begin: the statistics of the two words that begin with a beginning."""
     b = _Block(docs, told, parts, len(grams) + 1)
     n, v = int(words[5]), int(words[4])
-    end = np.concatenate([np.zeros(0, np.int64), *(unpack(d[0], np.int64) for _, _, d in _of(told, "end"))])
+    ends = _of(told, "end")
+    end, *heads = (np.concatenate([np.zeros(0, np.int64), *(unpack(d[i], np.int64) for _, _, d in ends)]) for i in range(5))
     if len(end) != len(b.number):
         raise ValueError("a block's answers are incomplete")
     # words
@@ -343,10 +457,18 @@ def _scores(docs: pa.Table, told: pa.Table, parts: int, words: np.ndarray, grams
     # n-grams, each with a share of the order below
     for k, histogram in enumerate(grams, 2):
         columns, gram, _ = b.grams[k]
-        answers = _of(told, f"gram{k}")
-        count, total, n1, n2, n3 = (np.concatenate([np.zeros(0, np.int64), *(unpack(d[i], np.int64) for _, _, d in answers)]) for i in range(5))
-        context = np.cumsum(_run_starts(columns[:-1])) - 1
-        if len(count) != len(columns[0]) or len(total) != (context[-1] + 1 if len(context) else 0):
+        if k == 2:
+            context = np.searchsorted(b.named, columns[0])
+            total, n1, n2, n3 = (np.append(x, h[b.by_number]) for x, h in zip(begin, heads, strict=False))
+            of_part = sorted((q, i, d[0]) for i, kind in enumerate(("gram2", "hot2")) for _, q, d in _of(told, kind))  # in a part hot words' come last
+            count = np.concatenate([np.zeros(0, np.int64), *(unpack(d, np.int64) for _, _, d in of_part)])
+        else:
+            context = np.cumsum(_run_starts(columns[:-1])) - 1
+            answers = _of(told, f"gram{k}")
+            count, total, n1, n2, n3 = (np.concatenate([np.zeros(0, np.int64), *(unpack(d[i], np.int64) for _, _, d in answers)]) for i in range(5))
+            if len(total) != (context[-1] + 1 if len(context) else 0):
+                raise ValueError("a block's answers are incomplete")
+        if len(count) != len(columns[0]):
             raise ValueError("a block's answers are incomplete")
         d = discounts(histogram)
         whole = np.maximum(total, 1)
@@ -374,14 +496,16 @@ def _sum_of(answers: DataFrame, kind: str) -> np.ndarray:
     return sum((np.frombuffer(r.data[0], np.int64) for r in rows), np.zeros(6, np.int64))
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Column | None = None, order: int = 2, hot: int = HOT) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row, by the model of the rows that aren't held out.
 
     A-Z are lower-cased; tokens are the words and one end.  base_score: the
     log10 probability under add-one unigrams; score: under the model of n-grams
     up to `order` (2 at least), which for a word never learnt still has a share,
-    as one more word.  Null or empty texts are an end alone.  Repeated rows are
-    learnt from as often, and scored each.  Other columns are left to the caller.
+    as one more word.  Null or empty texts are an end alone.  A null key is
+    held out as '' would be, a null `held_out` is not.  Repeated rows are
+    learnt from as often, and scored each; an empty table gives none.  hot: as
+    HOT, which changes no score.  Other columns are left to the caller.
     """
     if order < 2:
         raise ValueError("the order must be 2 at least")
@@ -389,20 +513,23 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     source = docs.select(F.col(f"`{key}`").alias("id"), held.alias("held"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     parts = max(2, n_blocks(docs, text, BLOCK_TEXT) // 2)
     kind = source.schema["id"].dataType.simpleString()
-    blocks = source.mapInArrow(_packed(parts, "docs"), f"block bigint, ids array<{kind}>, held array<boolean>, length array<bigint>, stream binary").groupBy("block")
-    asked = source.mapInArrow(_packed(parts, "words"), _MESSAGE)
-    words = written(asked.groupBy("part").applyInArrow(lambda t: _answer_words(t, parts), _MESSAGE))
+    blocks = source.mapInArrow(releasing(_packed(parts, "docs")), f"block bigint, ids array<{kind}>, held array<boolean>, length array<bigint>, stream binary, codes binary").groupBy("block")
+    asked = source.mapInArrow(releasing(_packed(parts, "words")), _MESSAGE)
+    words = written(asked.groupBy("part").applyInArrow(lambda t: _answer_words(t, parts, hot), _MESSAGE))
     of_block = words.where("kind = 'word'").groupBy("block")
     sent = blocks.cogroup(of_block).applyInArrow(lambda x, y: _ask_grams(x, y, parts, order), _MESSAGE)
     grams: dict[int, DataFrame] = {}
     answer = lambda n: lambda t: _answer_grams(t, n, order, parts)
-    for n in range(order, 1, -1):
+    for n in range(order, 2, -1):
         grams[n] = written(sent.groupBy("part").applyInArrow(answer(n), _MESSAGE))
         sent = grams[n].where(F.col("kind").isin(f"ends{n - 1}", *(f"ask{k}" for k in range(2, n))))
-    ends = words.where("kind = 'word'").groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_answer_ends, _MESSAGE)
-    ends = written(ends)
-    sums = _sum_of(words, "words"), [_sum_of(grams[n], f"grams{n}") for n in sorted(grams)], _sum_of(ends, "types")
-    told = words.where("kind = 'word'").union(ends.where("kind = 'end'"))
+    twos = written(sent.groupBy("part").applyInArrow(lambda t: _answer_hot(t, order, parts), _MESSAGE))
+    rounds = [twos, *([grams[3]] if order > 2 else [])]
+    every = functools.reduce(DataFrame.union, rounds)
+    to_words = every.where("kind IN ('ends1', 'heads')").groupBy("part")
+    ends = written(words.where("kind = 'word'").groupBy("part").cogroup(to_words).applyInArrow(_answer_ends, _MESSAGE))
+    sums = _sum_of(words, "words"), [_sum_of(every, "grams2"), *(_sum_of(grams[n], f"grams{n}") for n in sorted(grams))], _sum_of(ends, "types"), _sum_of(every, "begin")
+    told = words.where("kind = 'word'").union(ends.where("kind = 'end'")).union(every.where("kind IN ('gram2', 'hot2')"))
     for n, answers in grams.items():
         told = told.union(answers.where(F.col("kind") == f"gram{n}"))
     schema = f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"

@@ -133,6 +133,8 @@ def test_language_model_of_any_order(spark, docs, tmp_path, order):
     want = {i: sum(math.log10(p(tuple(["\1", *x][max(0, j + 2 - order) : j + 1]), w)) for j, w in enumerate(x)) for i, x in texts.items()}
     got = {r.doc_id: r.score for r in kneser_ney.score(base, order=order).collect()}
     assert got == pytest.approx(want)
+    for hot in (1, 40):  # all words, and frequent ones, dealt to several parts
+        assert {r.doc_id: r.score for r in kneser_ney.score(base, order=order, hot=hot).collect()} == pytest.approx(want)
     if order == 3:
         from tempora.llm.queries import QUERIES
 
