@@ -5,8 +5,9 @@ a license at all; their words (A-Z lower-cased) are joined by single spaces,
 each rule whose keyword stands there runs its regular expression, and of the
 detections those go that lie within another of the same or a higher priority.
 
-The rules are few phrases that always count (BASE) and, for every family of
-FAMILIES, a regular expression for each of FORMS.
+The rules are few phrases that always count (BASE), sentences of the licenses
+themselves and of their notices (SENTENCES), and, for every family of FAMILIES,
+a regular expression for each of FORMS, how a license is named.
 """
 
 from __future__ import annotations
@@ -64,6 +65,63 @@ FAMILIES = [
     ("cc-by", "commons", r"creative commons attribution"),
     ("proprietary", "proprietary", r"proprietary"),
 ]
+_ANY = r"(?: [a-z0-9]+){1,8}"
+#: Label, keyword and a sentence of a license or notice as a regular expression over words; priority 0.
+SENTENCES = [
+    ("mit", "obtaining", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software"),
+    ("mit", "dealings", r"arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", "sublicense", r"the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("boost", "accompanying", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("boost", "boost", r"(?:see accompanying file license 1 0 txt or copy at )?https? www boost org license 1 0 txt"),
+    ("isc", "fee", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse", r"neither the names? of" + _ANY + r" nor the names of (?:its|their|any)(?: other)? contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("apache", "compliance", r"you may not use this file except in compliance with the license"),
+    ("apache", "apache", r"https? www apache org licenses license 2 0"),
+    ("apache", "contributor", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", "basis", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("gpl", "redistribute", r"(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "option", r"either version [123](?: 0)? of the (?:gnu general public )?license or at your option any later version"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "copyleft", r"the gnu general public license is a free copyleft license"),
+    ("lgpl", "redistribute", r"(?:this library|it) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "received", r"you should have received a copy of the gnu affero general public license"),
+    ("agpl", "affero", r"under the terms of the gnu affero general public license"),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public license"),
+    ("epl", "accompanying", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "development", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compiled", r"either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0", "waived", r"to the extent possible under law" + _ANY + r" waived all copyright and related or neighboring rights"),
+    ("cc0", "publicdomain", r"https? creativecommons org publicdomain zero 1 0"),
+    ("cc-by", "creativecommons", r"https? creativecommons org licenses by [1234] [05]"),
+    ("cc-by-sa", "creativecommons", r"https? creativecommons org licenses by sa [1234] [05]"),
+    ("cc-by-nc", "creativecommons", r"https? creativecommons org licenses by nc [1234] [05]"),
+    ("cc-by-nc-sa", "creativecommons", r"https? creativecommons org licenses by nc sa [1234] [05]"),
+    ("cc-by-nd", "creativecommons", r"https? creativecommons org licenses by nd [1234] [05]"),
+    ("public-domain", "domain", r"(?:dedicated to|placed in|released (?:in)?to|donated to) the public domain"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("beerware", "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("artistic", "artistic", r"you can redistribute it and or modify it under the same terms as perl(?: 5)? itself or the artistic license"),
+    ("python", "psf", r"psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("ofl", "font", r"this font software is licensed under the sil open font license"),
+    ("ncsa", "illinois", r"nor the names of its contributors may be used to endorse or promote products derived from this software university of illinois"),
+    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", r"unauthorized copying of this file via any medium is strictly prohibited"),
+    ("all-rights-reserved", "reserved", r"copyright(?: c)? (?:19|20)\d+" + _ANY + r" all rights reserved"),
+]
 #: Priority and form; the lower a priority, the stronger it is. Each has a word with the stem licen, or spdx.
 FORMS = [
     (0, r"(?:licensed|released|distributed|made available|provided) under (?:the )?(?:terms of )?(?:the )?{name} licen[cs]e"),
@@ -71,18 +129,22 @@ FORMS = [
     (0, r"permission is (?:hereby )?granted under (?:the )?{name} licen[cs]e"),
     (0, r"(?:this|the) (?:program|software|work|file|document|library|project) is (?:licensed )?under (?:the )?{name} licen[cs]e"),
     (1, r"spdx licen[cs]e identifier {name}"),
+    (1, r"spdx licen[cs]e identifier(?: [a-z0-9]+){1,8} (?:and|or|with) {name}"),
     (1, r"{name} licen[cs]e (?:version|v) ?\d+(?: \d+)?(?: or (?:any )?later(?: version)?)?"),
     (1, r"licen[cs]e {name}"),
     (2, r"{name} licen[cs]e"),
 ]
 #: What a detection of each priority says for the text's license: chances that are put together as of independent witnesses.
 WEIGHTS = (0.9, 0.7, 0.5)
+#: A text without any of these, or cc by, holds no rule: each rule has a word that holds one.
+STEMS = "licen|spdx|permi|copyright|redistribut|public|artistic|compliance|dealings|misrepresented|altered|authors|compiled|waived|creativecommons|good not|evil|beer|psf|openssl|endorse|confidential|unauthorized|boost|apache|advertising|mpl|invariant"
 _DETECTION = "struct<start:int,end:int,priority:int,rule:int,label:string,base:boolean>"
 
 
 def rules() -> list[dict]:
     """The rules in their order."""
     out = [{"keyword": p.split()[0], "regex": p, "label": label, "priority": 1, "base": True} for p, label in BASE.items()]
+    out += [{"keyword": k, "regex": sentence, "label": label, "priority": 0, "base": False} for label, k, sentence in SENTENCES]
     out += [{"keyword": k, "regex": form.replace("{name}", f"(?:{name})"), "label": label, "priority": p, "base": False} for label, k, name in FAMILIES for p, form in FORMS]
     keyword = lambda k: f" {k[:-1]}" if k.endswith("*") else f" {k} "
     return [{"rule": i, **r, "keyword": keyword(r["keyword"]), "regex": f"(?<= ){r['regex']}(?= )"} for i, r in enumerate(out)]
@@ -143,7 +205,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in new]
     value = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     plain = F.lower(value)  # at least the texts that hold a stem when only A-Z are lower-cased
-    gate = plain.contains("licen") | plain.contains("spdx") | plain.rlike("(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])")
+    gate = plain.rlike(STEMS) | plain.rlike("(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])")
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     own = F.regexp_extract_all(F.translate(value, upper, lower), F.lit(WORD), F.lit(0))
     line = F.when(gate, F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" ")))
