@@ -6,9 +6,10 @@ two words, the shift table says for a block how far a pattern may still be, a
 bucket of patterns is found by its last block, and the words themselves are
 compared before an occurrence counts.
 
-Patterns go to the workers in blocks of a bounded number of words; documents
-pass one block after the other within one task, so nothing is shuffled and no
-bound is put on the benchmark.
+Patterns go to the workers in blocks of a bounded number of words, of which
+the driver holds one at a time; documents pass one block after the other, and
+between two blocks they are written with what was found so far. So nothing is
+shuffled, and of the benchmark no more than a block is anywhere at once.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from . import words as W
 from .frames import map_texts
 
 WINDOW = 13
-#: Words of patterns' items that a pattern block holds: the bound on what a task gets at once (about 100 MB).
-BLOCK_WORDS = 200_000
+#: Words of the patterns of a block: the bound on what a task gets at once (about 100 MB).
+BLOCK_WORDS = 2_600_000
 
 
 class WuManber:
@@ -79,14 +81,14 @@ def patterns_of(item: str, text: str, window: int) -> Iterator[tuple[tuple[bytes
 
 
 def pattern_blocks(benchmark: DataFrame, item: str, text: str, window: int, most: int) -> Iterator[list[WuManber]]:
-    """The benchmark's patterns by blocks of items, read one partition at a time."""
+    """The benchmark's patterns by blocks of at most `most` words (one pattern at least), read one partition at a time."""
     rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t IS NOT NULL")
     groups: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
     n = 0
     for row in rows.toLocalIterator():
         for pattern, name in patterns_of(row.i, row.t, window):
             groups.setdefault(len(pattern), {}).setdefault(pattern, []).append(name)
-            n += 1
+            n += len(pattern)
             if n >= most:
                 yield [WuManber(k, v) for k, v in sorted(groups.items())]
                 groups, n = {}, 0
@@ -104,32 +106,35 @@ def find_items(
     count.  Columns of those names in `docs` are replaced, others stay.  A
     benchmark without rows leaves every document without hits.
     """
-    blocks = list(pattern_blocks(benchmark, item, item_text, window, block_words)) or [[]]
+    names = ("hit_starts", "hit_ends", "items")
     fields = {"n_words": "bigint", "hit_starts": "array<int>", "hit_ends": "array<int>", "items": "array<string>"}
     extra = [c for c in docs.columns if c not in fields and c != "n_hit"]
-    out = docs
-    for k, block in enumerate(blocks):
-        names = {f"__{c}{k}" if c != "n_words" else c: t for c, t in fields.items()}
-        out = map_texts(out, text, _finder(block, k), names, keep=[*extra, *([c for c in out.columns if c.startswith("__")] if k else [])])
-    parts = {c: [F.col(f"__{c}{k}") for k in range(len(blocks))] for c in ("hit_starts", "hit_ends", "items")}
-    if len(blocks) == 1:
-        cols = {c: parts[c][0] for c in parts}
-    else:  # runs of several blocks may overlap
-        runs = F.array_sort(F.flatten(F.array(*[F.arrays_zip(s.alias("s"), e.alias("e")) for s, e in zip(parts["hit_starts"], parts["hit_ends"], strict=True)])))
-        merged = F.aggregate(runs, F.array().cast("array<struct<s:int,e:int>>"), _join_run)
-        cols = {"hit_starts": F.transform(merged, lambda r: r["s"]), "hit_ends": F.transform(merged, lambda r: r["e"]), "items": F.array_sort(F.array_distinct(F.concat(*parts["items"])))}
-    out = out.select(*[F.col(f"`{c}`") for c in extra], F.col("n_words"), *[v.alias(k) for k, v in cols.items()])
+    blocks = pattern_blocks(benchmark, item, item_text, window, block_words)
+    out = map_texts(docs, text, _finder(next(blocks, [])), fields, keep=extra)
+    for block in blocks:
+        before = [F.col(c).alias(f"__{c}") for c in names]
+        now = map_texts(written(out).select(*[F.col(f"`{c}`") for c in extra], *before), text, _finder(block), fields)
+        out = now.select(*[F.col(f"`{c}`") for c in extra], "n_words", *_merged())
     covered = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.withColumn("n_hit", covered)
 
 
+def _merged() -> list[Column]:
+    """What was found before (names with __) and now; runs may overlap."""
+    pairs = [F.arrays_zip(F.col(f"{p}hit_starts").alias("s"), F.col(f"{p}hit_ends").alias("e")) for p in ("__", "")]
+    runs = F.aggregate(F.array_sort(F.concat(*pairs)), F.array().cast("array<struct<s:int,e:int>>"), _join_run)
+    items = F.array_sort(F.array_distinct(F.concat("__items", "items")))
+    return [F.transform(runs, lambda r: r["s"]).alias("hit_starts"), F.transform(runs, lambda r: r["e"]).alias("hit_ends"), items.alias("items")]
+
+
 def _join_run(runs: Column, r: Column) -> Column:
-    last = F.element_at(runs, -1)
-    # ANSI: element_at of an empty array is null for -1 only under try
-    return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["e"] >= r["s"]), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(F.try_element_at(runs, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(runs, F.lit(-1))["e"], r["e"]).alias("e"))))).otherwise(F.concat(runs, F.array(F.struct(r["s"].alias("s"), r["e"].alias("e")))))
+    last = F.try_element_at(runs, F.lit(-1))
+    longer = F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))
+    apart = F.concat(runs, F.array(F.struct(r["s"].alias("s"), r["e"].alias("e"))))
+    return F.when((F.size(runs) > 0) & (last["e"] >= r["s"]), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(apart)
 
 
-def _finder(machines: list[WuManber], k: int):
+def _finder(machines: list[WuManber]):
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
         w = W.words(texts, W.ALNUM, True)
         cover = np.zeros(len(w) + 1, np.int64)
@@ -153,9 +158,9 @@ def _finder(machines: list[WuManber], k: int):
         lists = [sorted(items.get(i, ())) for i in range(len(texts))]
         return {
             "n_words": pa.array(w.counts, pa.int64()),
-            f"__hit_starts{k}": pa.ListArray.from_arrays(offsets, pa.array((starts - base).astype(np.int32))),
-            f"__hit_ends{k}": pa.ListArray.from_arrays(offsets, pa.array((ends - base).astype(np.int32))),
-            f"__items{k}": pa.array(lists, pa.list_(pa.string())),
+            "hit_starts": pa.ListArray.from_arrays(offsets, pa.array((starts - base).astype(np.int32))),
+            "hit_ends": pa.ListArray.from_arrays(offsets, pa.array((ends - base).astype(np.int32))),
+            "items": pa.array(lists, pa.list_(pa.string())),
         }
 
     return fn

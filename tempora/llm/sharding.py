@@ -5,7 +5,8 @@ summed size, and never part.  A node of k shards is cut along its widest
 dimension where k // 2 of the k parts of its bytes lie on one side, all nodes of
 a level at once: their weights are summed by ranges of the dimension, and the
 range that holds the cut is looked at again until one group remains.  The
-driver sees sums of NODES x BINS ranges at most, never groups or documents.
+nodes of a level are a table that is joined to the groups; the driver sees a
+row for each node and pass, never ranges, groups or documents.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -22,6 +23,8 @@ from ..tables import written
 BITS = 10
 #: Bits of a group's place on a dimension, and of the hash that orders groups of one place.
 VALUE_BITS, TIE_BITS = 30, 30
+#: Nodes whose table is broadcast: under 16 MB.
+BROADCAST_NODES = 300_000
 #: Rows of a bucket in which slots are counted.
 BUCKET_ROWS = 4_000
 
@@ -87,13 +90,19 @@ def slotted(rows: DataFrame, key: str) -> DataFrame:
     return out.select(F.col("id").alias(key), "size", "text_crc32", "group", "shard", (F.col("before") + F.col("own") - 1).cast("long").alias("slot"))
 
 
+def _known(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, broadcast where it is under 16 MB."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_NODES else table
+
+
 def grow(groups: DataFrame, names: list[str], shards: int) -> DataFrame:
     """(group, shard), by a tree over (w, tie, names) that is cut level by level."""
-    nodes = [Node((0, shards))]
+    spark, nodes = groups.sparkSession, [Node((0, shards))]
     placed = groups.withColumn("node", F.lit(0))
     level = [0]
     while level := [i for i in level if nodes[i].shards[1] - nodes[i].shards[0] > 1]:
-        inside = placed.where(F.col("node").isin(level))
+        inside = placed.join(_known(spark, [(i,) for i in level], "node int"), "node", "left_semi")
         spans = inside.groupBy("node").agg(F.sum("w").alias("w"), *[f(d).alias(f"{f.__name__}_{d}") for d in names for f in (F.min, F.max)]).collect()
         need: dict[int, float] = {}
         for r in spans:
@@ -102,57 +111,54 @@ def grow(groups: DataFrame, names: list[str], shards: int) -> DataFrame:
             node.low, node.high = r[f"min_{names[node.dim]}"], r[f"max_{names[node.dim]}"]
             a, b = node.shards
             need[r["node"]] = r["w"] * ((b - a) // 2) / (b - a)
-        key = _by_node({i: place(nodes[i], names) for i in need}, F.lit(None).cast("long"))
-        keyed = written(placed.withColumn("key", key))
+        boxes = _known(spark, [(i, nodes[i].dim, nodes[i].low, nodes[i].high) for i in need], "node int, dim int, low double, high double")
+        keyed = written(placed.join(boxes, "node", "left").withColumn("key", place(names)).drop("dim", "low", "high"))
         _cut(keyed.where("key IS NOT NULL").select("node", "w", "key"), nodes, need)
-        level, sides = [], {}
+        level, sides = [], []
         for i in need:
             a, b = nodes[i].shards
             half = a + (b - a) // 2
-            sides[i] = F.when(F.col("key") < nodes[i].cut, F.lit(len(nodes))).otherwise(F.lit(len(nodes) + 1))
+            sides.append((i, nodes[i].cut, len(nodes), len(nodes) + 1))
             level += [len(nodes), len(nodes) + 1]
             nodes += [Node((a, half)), Node((half, b))]
-        placed = keyed.withColumn("node", _by_node(sides, F.col("node"))).drop("key")
-    return placed.select("group", _by_node({i: F.lit(n.shards[0]) for i, n in enumerate(nodes)}, F.lit(0)).alias("shard"))
-
+        cuts = _known(spark, sides, "node int, cut long, below int, above int")
+        side = F.when(F.col("cut").isNull(), F.col("node")).when(F.col("key") < F.col("cut"), F.col("below")).otherwise(F.col("above"))
+        placed = keyed.join(cuts, "node", "left").withColumn("node", side).drop("key", "cut", "below", "above")
+    leaves = _known(spark, [(i, n.shards[0]) for i, n in enumerate(nodes)], "node int, shard int")
+    return placed.join(leaves, "node").select("group", "shard")
 
-def _by_node(values: dict[int, Column], otherwise: Column) -> Column:
-    out = None
-    for i, v in values.items():
-        out = F.when(F.col("node") == i, v) if out is None else out.when(F.col("node") == i, v)
-    return otherwise if out is None else out.otherwise(otherwise)
 
-
-def place(node: Node, names: list[str]) -> Column:
-    """A group's place on the node's dimension: a whole number, different for different groups but for chance."""
-    width = node.high - node.low
-    value = F.col(names[node.dim])
-    scaled = F.floor((value - node.low) / width * ((1 << VALUE_BITS) - 1)) if width > 0 else F.lit(0)
+def place(names: list[str]) -> Column:
+    """A group's place on its node's dimension (dim, low, high; null without one): a whole number, different for different groups but for chance."""
+    value, width = F.get(F.array(*[F.col(n) for n in names]), F.col("dim")), F.col("high") - F.col("low")
+    scaled = F.when(width > 0, F.floor((value - F.col("low")) / width * ((1 << VALUE_BITS) - 1))).when(width.isNotNull(), F.lit(0))
     return scaled.cast("long") * (1 << TIE_BITS) + F.col("tie")
 
 
 def _cut(keyed: DataFrame, nodes: list[Node], need: dict[int, float]) -> None:
     """Set each node's cut: below it lies the weight nearest to `need`."""
-    total = VALUE_BITS + TIE_BITS
+    total, width = VALUE_BITS + TIE_BITS, 1 << BITS
     ranges = {i: (0, total, 0.0) for i in need}  # start, bits left, weight below
     while ranges:
-        start = _by_node({i: F.lit(low) for i, (low, _, _) in ranges.items()}, F.lit(None).cast("long"))
-        step = _by_node({i: F.lit(float(1 << max(0, bits - BITS))) for i, (_, bits, _) in ranges.items()}, F.lit(1.0))
-        width = 1 << BITS
-        bin_ = F.floor((F.col("key") - start) / step).cast("long")
-        sums = keyed.select("node", "w", bin_.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < width)).groupBy("node", "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+        rows = [(i, low, float(1 << max(0, bits - BITS)), below, need[i]) for i, (low, bits, below) in ranges.items()]
+        known = _known(keyed.sparkSession, rows, "node int, start long, step double, below double, need double")
+        bin_ = F.floor((F.col("key") - F.col("start")) / F.col("step")).cast("long")
+        sums = keyed.join(known, "node").select("node", "w", "below", "need", bin_.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < width))
+        sums = sums.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.first("below").alias("below"), F.first("need").alias("need"))
+        # a node's bins are `width` at most
+        so_far = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
+        first = sums.withColumn("sum", so_far).where(F.col("sum") >= F.col("need")).groupBy("node").agg(F.min(F.struct("bin", "w", "n", "sum")).alias("hit"))
+        hits = {r["node"]: r["hit"] for r in first.collect()}
         following = {}
-        for i, (low, bits, below) in ranges.items():
+        for i, (low, bits, _) in ranges.items():
             step = 1 << max(0, bits - BITS)
-            for r in sorted((r for r in sums if r["node"] == i), key=lambda r: r["bin"]):
-                if below + r["w"] >= need[i]:
-                    first = low + r["bin"] * step
-                    if r["n"] == 1 or step == 1:  # one group holds the cut: it goes where it fits better
-                        nodes[i].cut = first + step if need[i] - below > below + r["w"] - need[i] else first
-                    else:
-                        following[i] = (first, max(0, bits - BITS), below)
-                    break
-                below += r["w"]
-            else:
+            if i not in hits:
                 nodes[i].cut = low + width * step
+                continue
+            r = hits[i]
+            at, under = low + r["bin"] * step, r["sum"] - r["w"]
+            if r["n"] == 1 or step == 1:  # one group holds the cut: it goes where it fits better
+                nodes[i].cut = at + step if need[i] - under > r["sum"] - need[i] else at
+            else:
+                following[i] = (at, max(0, bits - BITS), under)
         ranges = following

@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     new = ("n_words", "n_removed", "kept_text", "block")
     kept = [c for c in docs.columns if c not in new]
     source = docs.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string")), F.lit(blocks)).cast("int").alias("block"),  # a key may stand on many texts
         *[F.col(f"`{c}`") for c in kept],
         F.col(f"`{text}`").cast("string").alias("__text"),
     )
