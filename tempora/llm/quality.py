@@ -35,7 +35,7 @@ from .statistics import FIELDS, describe
 #: Share of a group's documents from which centre and scatter come.
 SUBSET = 0.75
 #: Concentration steps at most, and how much a determinant's logarithm must fall for another.
-STEPS, FALL = 20, 1e-4
+STEPS, FALL = 20, 1e-3
 #: Digits after the point to which logarithms of distances are told apart where the nearest documents are chosen: it bounds what is counted.
 DIGITS = 3
 #: Documents of the language (of a language: of all) that count as a group's own.
@@ -108,12 +108,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     group = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")).alias(g) for c, g in ((lang, "__lang"), (source, "__source"))]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept], *group, F.col(f"`{text}`").cast("string").alias("__of"))
     stats = map_texts(plain, "__of", describe, FIELDS, keep=[*kept, "__lang", "__source"])
-    stats = written(stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("*", *transformed()))
+    stats = stats.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).select("*", *transformed())
+    if text not in kept:  # else the texts would be written with them
+        stats = written(stats)
 
-    sound = stats.where("NOT base_failed")
+    sound = written(stats.where("NOT base_failed").select("__lang", "__source", *X))
     levels = F.array(F.struct(F.lit("").alias("l"), F.lit("").alias("s")), F.struct(F.col("__lang").alias("l"), F.lit("").alias("s")), F.struct(F.col("__lang").alias("l"), F.col("__source").alias("s")))
     own = sound.select(F.explode(levels).alias("__at"), *X).select(F.concat_ws("\u0001", "__at.l", "__at.s").alias("__group"), *X)
-    fitted = fit(written(own)).select("__group", "n", "centre", "scatter")
+    fitted = fit(own).select("__group", "n", "centre", "scatter")
     groups = sound.select("__lang", "__source").distinct()
     of = lambda name, at: fitted.select(F.col("__group").alias(f"__{name}"), F.struct("n", "centre", "scatter").alias(name)).join(at, f"__{name}")
     named = groups.select("__lang", "__source", F.lit("\u0001").alias("__every"), F.concat_ws("\u0001", "__lang", F.lit("")).alias("__language"), F.concat_ws("\u0001", "__lang", "__source").alias("__own"))
@@ -201,8 +203,11 @@ def _started(frames):
 
 
 def _stepped(frames):
+    """Estimates from sums over the nearest documents, and how much the determinants fell."""
     for frame in frames:
-        yield _rows(frame, lambda r: (_scatter(r[f"n{k}"], r[f"sums{k}"], r[f"products{k}"]) for k in range(STARTS)))
+        out = _rows(frame, lambda r: (_scatter(r[f"n{k}"], r[f"sums{k}"], r[f"products{k}"]) for k in range(STARTS)))
+        falls = [frame[f"before_det{k}"].to_numpy() - out[f"det{k}"].to_numpy() for k in range(STARTS)]
+        yield out.assign(fall=np.max(falls, axis=0) if len(out) else [])
 
 
 def fit(vectors: DataFrame) -> DataFrame:
@@ -210,10 +215,12 @@ def fit(vectors: DataFrame) -> DataFrame:
     rounded = vectors.select("__group", *X, *[F.round(F.col(x), DIGITS + 1).alias(f"{x}r") for x in X])
     nth = lambda x, share: F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {x})")  # noqa: E731  counted by value, of which rounding leaves few
     medians = written(rounded.groupBy("__group").agg(F.array(*[nth(f"{x}r", 0.5) for x in X]).alias("centre")))
-    off = vectors.join(_sized(medians), "__group").select("__group", "centre", *[(F.col(x) - F.col("centre")[i]).alias(x) for i, x in enumerate(X)])
+    few = medians.count() <= BROADCAST_GROUPS
+    sized = lambda estimates: F.broadcast(estimates) if few else estimates
+    off = vectors.join(sized(medians), "__group").select("__group", "centre", *[(F.col(x) - F.col("centre")[i]).alias(x) for i, x in enumerate(X)])
     off = off.select("*", *[F.round(F.abs(x), DIGITS + 1).alias(f"{x}r") for x in X])
     spreads = written(off.groupBy("__group").agg(F.first("centre").alias("centre"), F.array(*[F.greatest(1.4826 * nth(f"{x}r", 0.5), F.lit(f)) for x, f in zip(X, FLOOR, strict=True)]).alias("spread")))
-    z = vectors.join(_sized(spreads), "__group").select("__group", "centre", "spread", *[((F.col(x) - F.col("centre")[i]) / F.col("spread")[i]).alias(x) for i, x in enumerate(X)])
+    z = vectors.join(sized(spreads), "__group").select("__group", "centre", "spread", *[((F.col(x) - F.col("centre")[i]) / F.col("spread")[i]).alias(x) for i, x in enumerate(X)])
     z = z.withColumn("norm", F.greatest(sum((F.col(x) * F.col(x) for x in X[1:]), F.col(X[0]) * F.col(X[0])), F.lit(1e-12)))
     product = lambda f: F.array(*[F.sum(f(X[i]) * f(X[j])) for i, j in _PAIRS])
     start = z.groupBy("__group").agg(
@@ -222,24 +229,24 @@ def fit(vectors: DataFrame) -> DataFrame:
     now = written(start.mapInPandas(_started, _ESTIMATES))
     for _ in range(STEPS):
         d = [distance(F.col(f"centre{k}"), F.col(f"inverse{k}")) for k in range(STARTS)]
-        measured = vectors.join(_sized(now), "__group").select("__group", "n", *X, *[F.round(F.log1p(F.greatest(x, F.lit(0.0))), DIGITS).alias(f"d{k}") for k, x in enumerate(d)])
-        limits = written(measured.groupBy("__group").agg(*[nth(f"d{k}", SUBSET).alias(f"q{k}") for k in range(STARTS)]))
-        near = measured.join(_sized(limits), "__group")
+        dets = [f"det{k}" for k in range(STARTS)]
+        measured = vectors.join(sized(now), "__group").select("__group", "n", *dets, *X, *[F.round(F.log1p(F.greatest(x, F.lit(0.0))), DIGITS).alias(f"d{k}") for k, x in enumerate(d)])
+        limits = measured.groupBy("__group").agg(*[nth(f"d{k}", SUBSET).alias(f"q{k}") for k in range(STARTS)])
+        near = measured.join(sized(limits), "__group")
         sums = []
         for k in range(STARTS):
             inside = lambda x, k=k: F.sum(F.when(F.col(f"d{k}") <= F.col(f"q{k}"), x))
             sums += [inside(F.lit(1)).alias(f"n{k}"), F.array(*[inside(F.col(x)) for x in X]).alias(f"sums{k}"), F.array(*[inside(F.col(X[i]) * F.col(X[j])) for i, j in _PAIRS]).alias(f"products{k}")]
-        after = written(near.groupBy("__group").agg(F.first("n").alias("n"), *sums).mapInPandas(_stepped, _ESTIMATES))
-        fall = F.greatest(*[F.col(f"b{k}") - F.col(f"det{k}") for k in range(STARTS)])
-        most = after.join(now.select("__group", *[F.col(f"det{k}").alias(f"b{k}") for k in range(STARTS)]), "__group").agg(F.max(fall)).first()[0]
-        now = after
+        before = [F.first(c).alias(f"before_{c}") for c in dets]
+        after = written(near.groupBy("__group").agg(F.first("n").alias("n"), *before, *sums).mapInPandas(_stepped, f"{_ESTIMATES}, fall double"))
+        most, now = after.agg(F.max("fall")).first()[0], after.drop("fall")
         if most is None or most < FALL:
             break
     best = F.array_min(F.array(*[F.struct(F.col(f"det{k}").alias("det"), F.lit(k).alias("k"), F.col(f"centre{k}").alias("centre"), F.col(f"scatter{k}").alias("scatter"), F.col(f"inverse{k}").alias("inverse")) for k in range(STARTS)]))
     wide = widening(SUBSET)
     chosen = written(now.select("__group", "n", best.alias("b")).mapInPandas(lambda frames: _widened(frames, wide), "__group string, n bigint, centre array<double>, scatter array<double>, inverse array<double>"))
     # once more, from the documents that lie near by the estimates so far
-    measured = vectors.join(_sized(chosen), "__group").withColumn("d", distance(F.col("centre"), F.col("inverse"))).where(F.col("d") <= _NEAR)
+    measured = vectors.join(sized(chosen), "__group").withColumn("d", distance(F.col("centre"), F.col("inverse"))).where(F.col("d") <= _NEAR)
     sums = measured.groupBy("__group").agg(F.count(F.lit(1)).alias("m"), F.array(*[F.sum(x) for x in X]).alias("sums"), F.array(*[F.sum(F.col(X[i]) * F.col(X[j])) for i, j in _PAIRS]).alias("products"))
     both = chosen.join(sums, "__group", "left")
     return written(both.mapInPandas(_reweighted, "__group string, n bigint, centre array<double>, scatter array<double>"))
