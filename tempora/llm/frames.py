@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import math
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 
 #: Bytes of text of a block of documents: what one group of rows holds in a worker.
 BLOCK_BYTES = 7_000_000
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 16_000_000
 _TEXT = "__text"
 
 
@@ -57,6 +60,13 @@ def map_texts(
     return source.mapInArrow(releasing(run), schema)
 
 
+def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, a written table, to be broadcast where its values have `most` bytes as text at most."""
+    size = functools.reduce(Column.__add__, (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in df.columns))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def n_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
     """Into how many blocks of documents to deal `df`, from the bytes of its texts: one scan of that column."""
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..tables import written
+from ..tables import drop_written, written
 from . import words as W
-from .frames import map_texts, releasing
+from .frames import if_small, map_texts, releasing
 
 #: Symbols of a signature that are indexed, of 32 bits, and those of 8 bits that only measure.
 K, FINE = 48, 464
@@ -40,8 +40,6 @@ MEMBERS = 2_048
 MISS = 1e-6
 #: Times that classes are held against their buckets' leaders.
 ROUNDS = 3
-#: Rows of a table of two 64-bit columns that may be broadcast: 16 MB.
-BROADCAST_ROWS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(77))
 _A = _RNG.integers(0, 1 << 64, K + FINE, dtype=np.uint64) | np.uint64(1)
 
@@ -308,10 +306,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         nearest = open_.groupBy(F.col("class").alias("b")).agg(F.max(F.struct("n", "lead"))["lead"].alias("a")).select("a", "b")
         found = written(_confirmed(_within(nearest, classes, similarity), sets, num, den))
         links = found if links is None else links.union(found)
-        known = written(connected_components(links, "a", "b"))
+        before, known = known, written(connected_components(links, "a", "b"))
+        drop_written(*([before] if before is not None else []))
+    drop_written(led)
 
     # what is still apart
-    more = _links(written(_apart(members, classes, known, similarity)), sets, num, den)
+    near = written(_apart(members, classes, known, similarity))
+    drop_written(members)
+    more = written(_links(near, sets, num, den))
+    drop_written(near, sets)
     components = connected_components(links.union(more), "a", "b")
     of_class = classes.select("class", "id").join(components.select(F.col("node").alias("class"), "component"), "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     smallest = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -319,7 +322,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     out = described.select("id", "n_shingles", "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias(key), "n_shingles", "class", "component", component.alias("component_id"))
-    return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
+    result = written(out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id"))))
+    drop_written(described, classes, known)
+    return result
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -336,7 +341,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     judged = written(found.join(best, "component").select(F.col("k").alias("__k"), F.col("class").alias("__c"), (order.eqNullSafe(F.col("best"))).alias("stays"), "n"))
     placed = map_texts(docs, text, _digest_of(size), {"__class": "bigint"})
     same = lambda t: (F.col(f"`{key}`").eqNullSafe(t["__k"])) & (F.col("__class") == t["__c"])
-    gone, often = judged.where("NOT stays").select("__k", "__c"), judged.where("stays AND n > 1").select("__k", "__c")
+    gone, often = (if_small(written(judged.where(x).select("__k", "__c"))) for x in ("NOT stays", "stays AND n > 1"))
+    drop_written(found, judged)
     left = placed.join(gone, same(gone), "left_anti")
     single = left.join(often, same(often), "left_anti").select(*docs.columns)
     rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
@@ -351,7 +357,7 @@ def _digest_of(size: int):
 def _sets_of(base: DataFrame, classes: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(class, hashes): the full set of each class of a shared bucket, as sorted 64-bit hashes of its shingles."""
     wanted = written(classes.join(members.select("class").distinct(), "class", "left_semi").select(F.col("class").alias("wanted"), "id"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = if_small(wanted)
     fields = {"class": "bigint", "hashes": "binary"}
     # an id may stand on rows of several classes
     named = map_texts(base.join(wanted, "id").select("wanted", "text"), "text", _set_of(size), fields, keep=["wanted"]).where("class = wanted").select("class", "hashes")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time (a longer text is handled alone).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -38,7 +38,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         out = np.full(max(n, 1 << 16), base, dtype=_U)
         out[0] = 1
-        _powers[base] = have = np.cumprod(out, dtype=_U)
+        have = np.cumprod(out, dtype=_U)
+        if n <= 2 * CHUNK_BYTES:  # those of a longer text aren't kept
+            _powers[base] = have
     return have[:n]
 
 

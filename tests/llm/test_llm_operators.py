@@ -323,6 +323,33 @@ def test_license_keywords_stand_in_every_form():
             assert re.search(x["regex"], f" {t} ") and x["keyword"] in f" {t} ", (t, x)
 
 
+def test_license_gate_lets_every_form_through():
+    for x in licenses.rules():
+        if x["base"] and x["label"] == "cc-by":
+            continue  # has a gate of its own
+        for t in expanded(re._parser.parse(x["regex"])):
+            assert re.search(licenses.STEMS, t), t
+
+
+LICENSE_TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that",
+    "bsd-3-clause": "Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+    "apache": "you may not use this file except in compliance with the License.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "mpl": "// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR Mozilla Public",
+    "all-rights-reserved": "Copyright (c) 2019 Some Company Inc. All rights reserved.",
+}
+
+
+def test_license_texts_are_known(spark):
+    rows = list(LICENSE_TEXTS.items())
+    got = {r.label: r.labels for r in licenses.scan(spark.createDataFrame(rows, "label string, text string").withColumn("detections", F.lit(1))).collect()}
+    assert all(k in got[k] for k in LICENSE_TEXTS), got
+
+
 def test_license_scan_of_joined_names(spark):
     names = [t for label, _, name in licenses.FAMILIES if label == "gpl" or label.startswith("cc-by") for t in expanded(re._parser.parse(name))]
     texts = [f"{a} {n}{b}" for n in names for a, b in (("Licensed under the", ""), ("x", " licence 3 or later"))] + ["Licensed under the GPLv3", "licensed under the Creative Commons Attribution-Share Alike"]
