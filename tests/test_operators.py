@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,8 @@ def test_order_edges_replications(spark):
     assert r[0].summary == "rmse=1.000000 bias=2.000000 coverage=0.500000" and r[1].error_code == "InvalidInput"
 
 
+#: Our own: the digest of the default configuration with seed 2026.
+GOLDEN_DIGEST = "ae2bb6a2486e3158e01f81715eca50aea56e8492a3372269a70fac14c47a1884"
 EDGE = "seq int, edge_id string, kind string, source string, target string"
 
 
@@ -140,6 +143,88 @@ def test_dag_refuses_the_closing_edge(spark):
     assert flipped[3] is None and "TransitionCycle" in flipped.values()
 
 
+def brute_insert(rows):
+    """Edges one after the other: ids that are stored, then cycles of stored transitions."""
+    stored, after, out = set(), {}, {}
+    for seq, id_, kind, a, b in sorted(rows):
+        def reaches(x, y):
+            return x == y or any(reaches(z, y) for z in after.get(x, ()))
+
+        step = kind in relations.TRANSITIONS
+        out[seq] = "DuplicateRelationEdge" if id_ in stored else "TransitionCycle" if step and reaches(b, a) else None
+        if out[seq] is None:
+            stored.add(id_)
+            if step:
+                after.setdefault(a, []).append(b)
+    return out
+
+
+def test_a_refused_edge_leaves_its_id_free(spark):
+    rows = [(1, "w", "causes", "a", "b"), (2, "X", "causes", "b", "a"), (3, "X", "causes", "p", "q"), (4, "X", "causes", "q", "r")]
+    assert codes(relations.insert_edges(spark.createDataFrame(rows, EDGE)), "seq") == {1: None, 2: "TransitionCycle", 3: None, 4: "DuplicateRelationEdge"}
+    rng = random.Random(11)
+    for size in (30, 60):
+        rows = [(k, f"e{rng.randrange(size // 2)}", rng.choice(["causes", "enables", "summarizes"]), f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for k in range(size)]
+        assert codes(relations.insert_edges(spark.createDataFrame(rows, EDGE)), "seq") == brute_insert(rows)
+
+
+def test_a_batch_of_revisions_is_chained(spark):
+    one = spark.createDataFrame([version("a", 1, T(1)), version("b", 1, T(1)), version("c", 1, T(1), T(2))], VERSION)
+    batch = spark.createDataFrame([version("a", 3, T(5)), version("a", 2, T(3)), version("b", 2, T(4)), version("c", 2, T(6)), version("z", 1, T(2))], VERSION)
+    got = sorted((r.document_record_id, r.revision_number, r.system_from, r.system_to) for r in bitemporal.revise(one, batch).collect())
+    assert got == [("a", 1, T(1), T(3)), ("a", 2, T(3), T(5)), ("a", 3, T(5), None), ("b", 1, T(1), T(4)), ("b", 2, T(4), None), ("c", 1, T(1), T(2))]
+
+
+def test_the_first_of_a_repeated_id_is_stored(spark):
+    new = spark.createDataFrame([(i, *version("x", 1, T(2), digest=d)) for i, d in enumerate(("short", "a" * 64, "b" * 64))], f"seq int, {VERSION}")
+    assert codes(bitemporal.insert_error(new.limit(0), new, seq="seq"), "seq") == {0: "InvalidContentDigest", 1: None, 2: "DuplicateDocumentRecord"}
+    assert bitemporal.insert(new.drop("seq").limit(0), new.drop("seq")).count() == 1
+    docs = spark.createDataFrame([(0, "d", T(6)), (1, "d", T(1, 1, 2025)), (2, "d", T(1, 1, 2025))], "seq int, document_id string, available_time timestamp_ntz")
+    assert codes(splits.snapshot(docs, F.lit(T(12, 1, 2025)).cast("timestamp_ntz"), seq="seq"), "seq") == {0: "UnavailableAtCutoff", 1: None, 2: "DuplicateDocument"}
+    m = spark.createDataFrame([(i, "m", "g", "author") for i in range(3)], "seq int, member_id string, group_id string, role string")
+    assert codes(membership.network_error(m, "seq"), "seq") == {0: None, 1: "DuplicateMembership", 2: "DuplicateMembership"}
+    i = spark.createDataFrame([(0, "i", ["lost"]), (1, "i", ["known"]), (2, "i", ["known"])], "seq int, instance_id string, supporting_mentions array<string>")
+    mentions = spark.createDataFrame([("known",)], "mention_id string")
+    assert codes(events.registry_error(i, mentions, seq="seq"), "seq") == {0: "UnknownEventInstance", 1: None, 2: "DuplicateEventInstance"}
+    audit = spark.createDataFrame([(0, "e"), (1, "e")], "seq int, audit_event_id string")
+    assert codes(bitemporal.append_audit(audit.limit(0), audit, seq="seq"), "seq") == {0: None, 1: "ImmutableAuditViolation"}
+
+
+def test_a_hold_of_a_tenant_sees_its_deletions(spark):
+    done = spark.createDataFrame([("t", "d", "completed", T(5)), ("t", "e", "requested", T(9)), ("u", "f", "completed", T(1))], "tenant_record_id string, document_record_id string, status string, system_time timestamp_ntz")
+    rows = [("1", "t", None, "tenant", T(4), None), ("2", "t", None, "tenant", T(6), None), ("3", "t", "e", "document", T(4), None), ("4", "t", "d", "document", T(5), None), ("5", "u", None, "tenant", T(4), None), ("6", "v", None, "tenant", T(4), T(5))]
+    holds = spark.createDataFrame(rows, "id string, tenant_record_id string, document_record_id string, scope string, system_time timestamp_ntz, system_to timestamp_ntz")
+    assert codes(governance.hold_insert_error(holds, done), "id") == {"1": "AlreadyDeleted", "2": None, "3": None, "4": "AlreadyDeleted", "5": None, "6": "HoldNotOpen"}
+
+
+def test_order_accuracy_counts_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(u, i, float(rng.randint(0, k)), float(rng.randint(0, k))) for u, k, n in (("a", 3, 25), ("b", 1000, 40), ("c", 0, 6), ("d", 5, 1), ("e", 9, 3)) for i in range(n)]
+    rows[-1] = ("e", 2, math.nan, 1.0)
+    got = {r.u: (r.accuracy, r.error_code) for r in metrics.temporal_order_accuracy(spark.createDataFrame(rows, "u string, i int, truth double, recovered double"), "u").collect()}
+    sign = lambda x: (x > 0) - (x < 0)
+    for u in "abc":
+        own = [r for r in rows if r[0] == u]
+        pairs = [(x, y) for k, x in enumerate(own) for y in own[k + 1 :]]
+        assert got[u] == (pytest.approx(sum(sign(x[2] - y[2]) == sign(x[3] - y[3]) for x, y in pairs) / len(pairs)), None)
+    assert got["d"] == got["e"] == (None, "InvalidInput")
+
+
+def test_schema_contract(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    want = StructType([StructField("id", LongType(), False), StructField("name", StringType(), True), StructField("gone", StringType(), True)])
+    df = spark.createDataFrame([(1, 2, "x")], "id bigint, name int, more string")
+    assert bitemporal.schema_error(df, want) == [("gone", "MissingColumn"), ("id", "UnexpectedNull"), ("more", "UnknownColumn"), ("name", "TypeMismatch")]
+    assert bitemporal.schema_error(spark.createDataFrame([], want), want) == []
+
+
+def test_partial_assignment_does_not_leak(spark):
+    groups = spark.createDataFrame([("a", "g"), ("b", "g"), ("c", "h"), ("d", "h")], "document_id string, group string")
+    part = spark.createDataFrame([("a", "train"), ("c", "train"), ("d", "test")], "document_id string, partition string")
+    assert [r.group for r in splits.group_leakage(groups, part).collect()] == ["h"]
+
+
 def test_edge_errors(spark):
     rows = [("causes", "a", "a", 1, 2, 3, 4), ("causes", "a", "b", 3, 4, 1, 2), ("causes", "a", "b", 2, 3, 1, 2), ("causes", "a", "b", 1, 3, 2, 4), ("causes", "a", "b", 1, 1, 2, 4), ("revises", "a", "a", 3, 4, 1, 2), ("nope", "a", "b", 1, 2, 3, 4)]
     df = spark.createDataFrame(rows, "k string, s string, t string, sf int, st int, tf int, tt int")
@@ -207,6 +292,22 @@ def test_simulation(spark):
         simulation.generate(simulation.Config(1, event_count=100))
 
 
+def test_generator_is_pinned():
+    """Our own golden values: what a seed gives must not change from one version to the next."""
+    assert simulation.generate(simulation.Config(2026)).digest == GOLDEN_DIGEST
+    r = simulation.SplitMix64(2026)
+    assert [r.next() for _ in range(2)] == [splitmix(2026, k) for k in (1, 2)]
+
+
+def splitmix(seed, k):
+    """The k-th number of the published generator, from its definition."""
+    mask = (1 << 64) - 1
+    z = (seed + k * 0x9E3779B97F4A7C15) & mask
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+    return z ^ (z >> 31)
+
+
 def test_routing(spark):
     rows = [("narrative_synthesis", 0.7, 0.7, 0.9, 10_000, True), ("narrative_synthesis", 0.7, 0.7, 0.9, 30_000, True), ("span_classification", 0.1, 0.1, 0.9, 3_000, True), ("blinded_model_review", 0.1, 0.1, 0.9, 9_000, True), ("schema_conversion", 0.1, 0.1, 0.1, 9_000, True), ("x", 0.1, 0.1, 0.9, 9_000, True), ("schema_conversion", 0.1, 0.1, 0.9, 2_000_000, True)]
     df = spark.createDataFrame(rows, "task string, risk double, ambiguity double, evidence double, budget bigint, gate_passed boolean").withColumn("access_list", F.array(F.lit("a")))
