@@ -32,7 +32,7 @@ BROADCAST_FILES = 1_000_000
 #: Ids that a reader decodes at a time.
 READ = 200_000
 #: Words handed to the tokenizer at a time.
-BATCH = 4_000
+BATCH = 250
 
 
 @functools.lru_cache(maxsize=2)
