@@ -100,6 +100,12 @@ ORACLE_SQL: dict[str, str] = {
     "span_check": "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'EmptySourceSpan' END AS good, CASE length(text) WHEN 0 THEN 'InvalidSourceSpanOrder' WHEN 1 THEN 'EmptySourceSpan' ELSE 'CharacterRangeMismatch' END AS bad, sha256(text) AS span_sha256 FROM documents",
     "relation_counts": f"WITH {_EDGES} SELECT count(*) AS edges, count(*) FILTER (kind IN ({_STEP_LIST})) AS transitions FROM edges",
     "ordered_dag": f"WITH {_EDGES} SELECT seq, kind, CASE WHEN seq % 2 = 1 AND kind IN ({_STEP_LIST}) THEN 'TransitionCycle' ELSE 'ok' END AS outcome FROM edges",
+    "graphml_export": """WITH e AS (SELECT event_id, lag(event_id) OVER w AS before, lag(event_id, 3) OVER w AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+      edges AS (SELECT event_id * 2 AS seq, before AS s, event_id AS t FROM e WHERE before IS NOT NULL UNION ALL SELECT event_id * 2 + 1, event_id, third FROM e WHERE third IS NOT NULL AND event_id % 11 = 0),
+      numbered AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS k FROM edges)
+      SELECT 0 AS part, '' AS "at", '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '<graph id="events" edgedefault="directed">' AS line
+      UNION ALL SELECT 3, '', '</graph>' || chr(10) || '</graphml>' UNION ALL SELECT 1, x::VARCHAR, '  <node id="' || x || '"/>' FROM (SELECT s AS x FROM edges UNION SELECT t FROM edges)
+      UNION ALL SELECT 2, lpad(k::VARCHAR, 20, '0'), '  <edge id="e' || k || '" source="' || s || '" target="' || t || '"/>' FROM numbered""",
     "promote_events": """SELECT user_id::VARCHAR || '/' || ts::DATE::VARCHAR AS instance_id, count(*) AS n, round(avg(value / 1000), 9) AS confidence, CASE WHEN min(ts) >= max(ts) THEN 'EmptyInterval' ELSE 'ok' END AS outcome FROM events GROUP BY user_id, ts::DATE""",
     "mention_errors": "SELECT CASE WHEN event_id % 9 = 0 THEN 'InvalidWirePayload' WHEN value / 100 < 0 OR value / 100 > 1 THEN 'InvalidConfidence' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1",
     "export_decisions": """SELECT purpose, with_text, CASE WHEN with_text AND purpose = 'operational_monitoring' THEN 'source_text_denied_for_purpose' WHEN with_text AND purpose = 'partner_disclosure' THEN 'partner_source_text_requires_elevated_grant' ELSE 'purpose_bound_export_allowed' END AS decision, count(*) AS n
