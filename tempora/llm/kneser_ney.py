@@ -505,7 +505,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     as one more word.  Null or empty texts are an end alone.  A null key is
     held out as '' would be, a null `held_out` is not.  Repeated rows are
     learnt from as often, and scored each; an empty table gives none.  hot: as
-    HOT, which changes no score.  Other columns are left to the caller.
+    HOT, which changes no score.  `docs` is read three times and must give the
+    same rows in the same partitions each time, as a stored table does.  Other
+    columns are left to the caller.
     """
     if order < 2:
         raise ValueError("the order must be 2 at least")

@@ -2,8 +2,9 @@
 
 Two kinds of word: ``[^\\x20\\x09-\\x0D]+`` (SPACED) and runs of ASCII letters,
 digits and non-ASCII characters (ALNUM).  A word's hash is a polynomial over
-random 64-bit values of its bytes, so equal words have equal hashes everywhere
-and two different ones agree by a chance of about 2**-64.
+random 64-bit values of its bytes, so equal words have equal hashes everywhere;
+two different ones agree by a chance of about 2**-64 unless they are built to
+(a polynomial modulo 2**64 has such pairs among words of a thousand bytes).
 """
 
 from __future__ import annotations
