@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.allen import ALL, BIT, CONVERSE, RELATIONS, composition
 
@@ -110,28 +111,53 @@ class Network:
 
 
 _CELLS = "network {kind}, i int, j int, mask int, observed boolean, support array<int>, error_code string"
+_NAMES = ("network", "i", "j", "mask", "observed", "support", "error_code")
 
 
-def _closed(frame: pd.DataFrame, max_variables: int, max_steps: int) -> pd.DataFrame:
-    name = frame["network"].iloc[0]
+def _closed(name, rows: list[tuple[int, int, int, int]], max_variables: int, max_steps: int) -> list[tuple]:
+    """The cells of one network from its assertions (step, i, j, mask)."""
     net, error = Network(max_variables, max_steps), None
     try:
-        for _ in range(int(max(frame["i"].max(), frame["j"].max())) + 1):
+        for _ in range(max(max(i, j) for _, i, j, _ in rows) + 1):
             net.add_variable()
-        for row in frame.sort_values("step").itertuples(index=False):
-            net.assert_relation(int(row.i), int(row.j), int(row.mask))
+        for _, i, j, mask in sorted(rows, key=lambda r: r[0]):
+            net.assert_relation(i, j, mask)
         net.close()
     except Contradiction:
         error = "Contradiction"
     except BudgetExceeded:
         error = "BudgetExceeded"
     n = len(net.masks)
-    rows = [(name, i, j, net.masks[i][j], net.observed[i][j], sorted(net.support[i][j]), error) for i in range(n) for j in range(n)]
-    return pd.DataFrame(rows, columns=["network", "i", "j", "mask", "observed", "support", "error_code"])
+    return [(name, i, j, net.masks[i][j], net.observed[i][j], sorted(net.support[i][j]), error) for i in range(n) for j in range(n)]
 
 
 def close_networks(assertions: DataFrame, max_variables: int = 256, max_steps: int = 1_000_000) -> DataFrame:
-    """Cells (network, i, j, mask, observed, support, error_code) of networks given as (network, step, i, j, mask) rows."""
-    kind = assertions.schema["network"].dataType.simpleString()
-    rows = assertions.select("network", "step", "i", "j", "mask")
-    return rows.groupBy("network").applyInPandas(lambda f: _closed(f, max_variables, max_steps), _CELLS.replace("{kind}", kind))
+    """Cells (network, i, j, mask, observed, support, error_code) of networks given as (network, step, i, j, mask) rows.
+
+    Networks stand one after the other in sorted partitions, so a task holds
+    one network at a time and starts no group for each of many small ones.
+    """
+    rows = assertions.select("network", *[F.col(c).cast("int") for c in ("step", "i", "j", "mask")])
+
+    def run(batches):
+        schema, name, own = None, None, []
+        for batch in batches:
+            schema = batch.schema.field("network").type
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and row[0] != name:
+                    out += _closed(name, own, max_variables, max_steps)
+                    own = []
+                name = row[0]
+                own.append(row[1:])
+            yield _cells(out, schema)
+        if own:
+            yield _cells(_closed(name, own, max_variables, max_steps), schema)
+
+    ordered = rows.repartition("network").sortWithinPartitions("network", "step")
+    return ordered.mapInArrow(run, _CELLS.replace("{kind}", rows.schema["network"].dataType.simpleString()))
+
+
+def _cells(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.string())
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(_NAMES))
