@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .dictionary import CODED, LONG, Dictionary, assembled, with_codes
@@ -34,6 +34,8 @@ from .frames import releasing
 MAX_FOLD_BYTES = LONG
 #: The least rank of a pair that no merge joins.
 NONE = 1 << 20
+#: Characters of a plan's text, of which the driver keeps some: with the literal rank map it would have 19 million.
+PLAN_TEXT = 100_000
 #: Documents decoded at a time in a worker.
 ROWS = 500
 
@@ -170,8 +172,16 @@ def heap_merge(word: bytes, path: str) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _short_plans(spark: SparkSession) -> None:
+    """Plans' texts are cut off in this session, unless they are already: the rank map would stand in them many times over."""
+    now = spark.conf.get("spark.sql.maxPlanStringLength").removesuffix("b")
+    if now.isdigit() and int(now) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+
+
 def _folded(docs: DataFrame, path: str, text: str, keep: list[str] | None, *replaced: str):
     """`docs` with words' numbers and the ids of new words; a function from its batches to those of `kept` and ids; kept."""
+    _short_plans(docs.sparkSession)
     coded = with_codes(docs, text, keep, *replaced)
     folded = coded.withColumn("__new_ids", fold_words(F.col("__new"), path)).drop("__new")
     kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
