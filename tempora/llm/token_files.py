@@ -45,6 +45,28 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(maxsize=2)
+def _matches_tokenizer(path: str):
+    """The tokenizer for words that are matches of its pattern as they are: the pattern needn't look for matches in them again."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out, whole = Tokenizer.from_file(path), _tokenizer(path)
+    if type(whole.pre_tokenizer) is pre_tokenizers.ByteLevel and whole.normalizer is None:
+        out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=whole.pre_tokenizer.add_prefix_space, use_regex=False)
+    return out
+
+
+def _ids(words: list[str], path: str) -> list[list[int]]:
+    """The library's ids of each word; of words with other than ASCII characters, of which it may know more kinds than this Python, by its own pattern."""
+    tell = [w.isascii() for w in words]
+    lists = []
+    for tokenizer, own in ((_matches_tokenizer(path), True), (_tokenizer(path), False)):
+        some = [w for w, t in zip(words, tell, strict=True) if t is own]
+        lists.append(iter([x.ids for at in range(0, len(some), BATCH) for x in tokenizer.encode_batch_fast(some[at : at + BATCH], add_special_tokens=False)]))
+    plain, other = lists
+    return [next(plain) if t else next(other) for t in tell]
+
+
 def _added_tokens(path: str) -> list[str]:
     """The texts of the file's added tokens, which the library takes out of a text before its pattern sees it."""
     tokens = _tokenizer(path).get_added_tokens_decoder().values()
@@ -55,11 +77,11 @@ def _added_tokens(path: str) -> list[str]:
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, text: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
     """Rows, a few at a time, and their ids."""
-    known, tokenizer = Dictionary(), _tokenizer(path)
+    known = Dictionary()
     for part, codes, counts, new, anew in coded_batches(batches, text, _added_tokens(path)):
         if anew:
             known = Dictionary()
-        ids = [x.ids for at in range(0, len(new), BATCH) for x in tokenizer.encode_batch_fast(new[at : at + BATCH], add_special_tokens=False)]
+        ids = _ids(new, path)
         known.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
         for at, lists in assembled(codes, counts, known, end):
             yield part.slice(at, len(lists)), lists
@@ -179,7 +201,8 @@ def _documents(row: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     offset = row["base"][0].as_py() + row["before"][0].as_py()
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     ids, at, first, done = [], 0, 0, 0  # decoded ids from place `first` of the segment on; documents done
-    for a, b in zip(blocks, blocks[1:], strict=False):
+    some = [*blocks[: -1 : max(1, READ // BLOCK)], blocks[-1]]  # blocks are decoded some together
+    for a, b in zip(some, some[1:], strict=False):
         ids.append(simple8b.decode(words[a:b]).astype(np.int32))
         at += len(ids[-1])
         stop = int(np.searchsorted(ends, at, side="right"))
