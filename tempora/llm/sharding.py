@@ -11,6 +11,7 @@ row for each node and pass, never ranges, groups or documents.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -91,8 +92,11 @@ def slotted(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table of the driver's, broadcast where it is under 16 MB."""
-    table = spark.createDataFrame(rows, schema)
+    """A small table of the driver's, as a literal; broadcast where it is under 16 MB."""
+    fields = [f.split() for f in schema.split(", ")]
+    listed = F.lit(json.dumps([dict(zip((n for n, _ in fields), r, strict=True)) for r in rows]))
+    kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">>"
+    table = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(listed, kind)).alias("row")).select("row.*")
     return F.broadcast(table) if len(rows) <= BROADCAST_NODES else table
 
 
@@ -121,7 +125,7 @@ def grow(groups: DataFrame, names: list[str], shards: int) -> DataFrame:
             sides.append((i, nodes[i].cut, len(nodes), len(nodes) + 1))
             level += [len(nodes), len(nodes) + 1]
             nodes += [Node((a, half)), Node((half, b))]
-        cuts = _known(spark, sides, "node int, cut long, below int, above int")
+        cuts = _known(spark, sides, "node int, cut bigint, below int, above int")
         side = F.when(F.col("cut").isNull(), F.col("node")).when(F.col("key") < F.col("cut"), F.col("below")).otherwise(F.col("above"))
         placed = keyed.join(cuts, "node", "left").withColumn("node", side).drop("key", "cut", "below", "above")
     leaves = _known(spark, [(i, n.shards[0]) for i, n in enumerate(nodes)], "node int, shard int")
@@ -141,7 +145,7 @@ def _cut(keyed: DataFrame, nodes: list[Node], need: dict[int, float]) -> None:
     ranges = {i: (0, total, 0.0) for i in need}  # start, bits left, weight below
     while ranges:
         rows = [(i, low, float(1 << max(0, bits - BITS)), below, need[i]) for i, (low, bits, below) in ranges.items()]
-        known = _known(keyed.sparkSession, rows, "node int, start long, step double, below double, need double")
+        known = _known(keyed.sparkSession, rows, "node int, start bigint, step double, below double, need double")
         bin_ = F.floor((F.col("key") - F.col("start")) / F.col("step")).cast("long")
         sums = keyed.join(known, "node").select("node", "w", "below", "need", bin_.alias("bin")).where((F.col("bin") >= 0) & (F.col("bin") < width))
         sums = sums.groupBy("node", "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.first("below").alias("below"), F.first("need").alias("need"))
