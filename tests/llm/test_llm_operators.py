@@ -328,7 +328,7 @@ def test_license_gate_lets_every_form_through():
         if x["base"] and x["label"] == "cc-by":
             continue  # has a gate of its own
         for t in expanded(re._parser.parse(x["regex"])):
-            assert re.search(licenses.STEMS, t), t
+            assert any(stem in t for stem in licenses.STEMS), t
 
 
 LICENSE_TEXTS = {
