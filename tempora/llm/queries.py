@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, kneser_ney, licenses, near_duplicates, quality, sharding, substrings, token_files
+from . import bpe, chat, decontaminate, fill_in_middle, kneser_ney, licenses, near_duplicates, prefix_trie, quality, sentence_pieces, sharding, substrings, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,3 +205,75 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_kneser_ney"] = op2_kneser_ney
+
+
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
+    return fill_in_middle.restore(rows).select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output"), sha("restored"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt_turns(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES |= {"op11_sentence_pieces": op11_sentence_pieces, "op12_fill_in_middle": op12_fill_in_middle, "op13_prefix_trie": op13_prefix_trie}
+
+_SQL12 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), cut AS MATERIALIZED (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, list_transform(range(0, 4), lambda i: ('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT) AS h FROM texts
+), placed AS (
+  SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b FROM cut
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1 : a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 : n], ''), '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+# the CRC-32 of a conversation's digits, by bits: SQL has no function for it
+_SQL13 = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  SELECT DISTINCT c, c::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS x FROM turns
+  UNION ALL
+  SELECT c, s, i + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END
+  FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(x, ascii(s[i // 8 + 1])::BIGINT) ELSE x END AS y FROM bits WHERE i < 8 * length(s))
+), heads AS (
+  SELECT c, xor(x, 4294967295::BIGINT) % 6 AS h FROM bits WHERE i = 8 * length(s)
+), taken AS (
+  SELECT c, h, (SELECT least(h, count(*)) FROM turns b WHERE b.c = heads.c - heads.c % 100) AS m FROM heads
+), rebuilt AS MATERIALIZED (
+  SELECT t.c, b.k AS d, b.role, b.text FROM taken t JOIN turns b ON b.c = t.c - t.c % 100 AND b.k <= t.h
+  UNION ALL SELECT t.c, o.k - t.h + t.m, o.role, o.text FROM taken t JOIN turns o ON o.c = t.c AND o.k > t.h
+), whole AS (
+  SELECT t.c, coalesce(list(sha256(length(role) || ':' || role || text) ORDER BY d) FILTER (d IS NOT NULL), []) AS keys, coalesce(list(length(text) ORDER BY d) FILTER (d IS NOT NULL), []) AS sizes
+  FROM taken t LEFT JOIN rebuilt r ON t.c = r.c GROUP BY t.c
+), members AS MATERIALIZED (
+  SELECT c, d, len(keys) AS l, coalesce(sizes[d], 0) AS size, min(c) OVER (PARTITION BY d, array_to_string(keys[1 : d], ',')) AS node
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM whole)
+), nodes AS MATERIALIZED (
+  SELECT node, d, count(*) AS n, any_value(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (l = d), '') AS ends FROM members GROUP BY node, d
+), linked AS MATERIALIZED (
+  SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN members p ON p.c = n.node AND p.d = n.d - 1
+), kids AS MATERIALIZED (
+  SELECT parent AS node, d - 1 AS d, count(*) AS k FROM linked WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT m.node, m.d, sum((x.n - 1) * x.size) AS saved, count(*) FILTER (k.k IS NULL) AS leaves
+  FROM members m JOIN nodes x ON x.node = m.c AND x.d >= m.d LEFT JOIN kids k ON k.node = x.node AND k.d = x.d GROUP BY m.node, m.d
+)
+SELECT n.node AS conv_id, n.d::BIGINT AS depth, n.parent AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0)::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM linked n JOIN below b ON n.node = b.node AND n.d = b.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
+"""
+ORACLE_SQL |= {"op12_fill_in_middle": _SQL12, "op13_prefix_trie": _SQL13}
