@@ -70,21 +70,29 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
 
     The pair (a, b) is in cell ``start[a] + b``, which holds a << 20 | merged;
     another's cell, or a free one, differs above the lower 20 bits.
-    Large rows are laid first, each at the first of a fixed series of random
-    places where all its cells are free.
+    Large rows are laid first, each where all its cells are free: at the first
+    such place of a fixed series of random ones, rows of one cell at the first
+    free one.  So nearly every cell is used, and the literal stays small.
     """
     rows: dict[int, list[int]] = {}
     for key in pairs:
         rows.setdefault(key >> 20, []).append(key & 0xFFFFF)
     n = 1 + max(max(rows), max(map(max, rows.values())))
-    room = 3 * len(pairs) + 16
+    room = len(pairs) + len(pairs) // 8 + 16
     taken, start = np.zeros(n + room, bool), [0] * n
-    cells = np.full(n + room, 0xFFFFF << 20, np.int64)
+    cells = np.full(n + room, n << 20, np.int64)
     places = np.random.Generator(np.random.PCG64(5))
+    free = None
     for left in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         own = np.array(rows[left])
-        while taken[own + (at := int(places.integers(room)))].any():
-            pass
+        if len(own) > 1:
+            some = places.integers(room, size=64)
+            while not (fits := ~taken[some[:, None] + own].any(axis=1)).any():
+                some = places.integers(room, size=64)
+            at = int(some[fits.argmax()])
+        else:
+            free = iter(np.flatnonzero(~taken).tolist()) if free is None else free
+            at = next(free) - int(own[0])
         start[left], taken[own + at] = at, True
         cells[own + at] = [left << 20 | pairs[left << 20 | int(b)] for b in own]
     return start, cells.tolist()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .frames import releasing
-from .pieces import split
+from .pieces import Kinds, split, tiktoken_kinds
 
 #: Distinct words, and their characters, that a task remembers before it starts its dictionary anew.
 MAX_WORDS, MAX_CHARACTERS = 600_000, 30_000_000
@@ -48,7 +48,7 @@ class Coder:
         return number[coded.indices.to_numpy(zero_copy_only=False)], new, anew
 
 
-def coded_batches(batches: Iterable[pa.RecordBatch], text: str, added: Sequence[str] = ()) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], bool]]:
+def coded_batches(batches: Iterable[pa.RecordBatch], text: str, kinds: Kinds, added: Sequence[str] = ()) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], bool]]:
     """Of a few rows at a time: the rows, the numbers of their words, how many words each has, the words first met here, and whether the numbers begin anew.
 
     A number is a word's place in the list of all new words up to and with
@@ -57,13 +57,13 @@ def coded_batches(batches: Iterable[pa.RecordBatch], text: str, added: Sequence[
     coder = Coder()
     for batch in batches:
         for at, texts in W.pieces(batch[text], TEXT_BYTES):
-            words, counts = split(texts, added)
+            words, counts = split(texts, kinds, added)
             codes, new, anew = coder.code(words)
             yield batch.slice(at, len(texts)), codes, counts, new, anew
 
 
 def with_codes(docs: DataFrame, text: str, keep: list[str] | None, *replaced: str) -> DataFrame:
-    """The columns `keep` (None: all, but `replaced`), the text's words as __codes (32-bit numbers), and on some rows the words first met there.
+    """The columns `keep` (None: all, but `replaced`), the text's words, as tiktoken cuts them, as __codes (32-bit numbers), and on some rows the words first met there.
 
     A row's numbers are places in the list of all __new words of its task up to
     and with its own, since the last row with __anew.  A null text has no words.
@@ -72,7 +72,7 @@ def with_codes(docs: DataFrame, text: str, keep: list[str] | None, *replaced: st
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches):
-        for part, codes, counts, new, anew in coded_batches(batches, "__text"):
+        for part, codes, counts, new, anew in coded_batches(batches, "__text", tiktoken_kinds()):
             n = part.num_rows
             ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(codes)])

@@ -3,14 +3,15 @@
 The pattern: ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 Its matches cover a text without gaps, so their starts tell all: where the kind
 of character changes, one space earlier where a space stands before, at the
-last of several white-space characters, and around a contraction.
+last of several white-space characters, and around a contraction.  What is a
+letter, a number or white space is asked of the library itself, since each
+knows another Unicode.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +20,81 @@ import pyarrow.compute as pc
 from . import words as W
 
 LETTER, NUMBER, SPACE, OTHER, EDGE = range(5)
-#: Unicode White_Space (fixed values).
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What makes a match of its own after an apostrophe (fixed values).
 CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 
 
-#: The kind of each code point; UNSEEN until a text has it.
-_KINDS = np.full(0x110000, 0xFF, np.uint8)
+#: The kind of a code point that no text has had yet.
 UNSEEN = 0xFF
+_PROBES = {LETTER: r"\p{L}", NUMBER: r"\p{N}", SPACE: r"\s"}
 
 
-def _kinds(codes: np.ndarray) -> np.ndarray:
-    """The kinds of code points, by the Unicode tables of this Python."""
-    out = _KINDS[codes]
-    if (out == UNSEEN).any():
-        of = {"L": LETTER, "N": NUMBER}
-        for c in np.unique(codes[out == UNSEEN]).tolist():
-            _KINDS[c] = SPACE if c in WHITE else of.get(unicodedata.category(chr(c))[0], OTHER)
-        out = _KINDS[codes]
-    return out
+class Kinds:
+    """The kinds of code points, by a library's own classes: asked once a worker for each code point that comes up."""
+
+    def __init__(self, found: Callable[[str, str], str]):
+        """found: (pattern, text) to the characters of the text that match."""
+        self.found = found
+        self.known = np.full(0x110000, UNSEEN, np.uint8)
+        self.known[0xD800:0xE000] = OTHER  # in no text
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = self.known[codes]
+        if (out == UNSEEN).any():
+            new = np.unique(codes[out == UNSEEN]).tolist()
+            text = "".join(map(chr, new))
+            self.known[new] = OTHER
+            for kind, pattern in _PROBES.items():
+                own = [ord(c) for c in self.found(pattern, text)]
+                self.known[own] = kind
+            out = self.known[codes]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def tiktoken_kinds() -> Kinds:
+    import tiktoken
+
+    probes = {p: tiktoken.Encoding("probe", pat_str=p, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}) for p in _PROBES.values()}
+    return Kinds(lambda pattern, text: bytes(probes[pattern].encode_ordinary(text)).decode())
+
+
+@functools.lru_cache(maxsize=1)
+def tokenizers_kinds() -> Kinds:
+    from tokenizers import Regex, pre_tokenizers
+
+    probes = {p: pre_tokenizers.Split(Regex(p), "isolated") for p in _PROBES.values()}
+
+    def found(pattern: str, text: str) -> str:
+        return "".join(c for c in text if _splits(probes[pattern], c))
+
+    return Kinds(found)
+
+
+def _splits(probe, c: str) -> bool:
+    """Whether a probe cuts the character off between two that it doesn't match."""
+    return len(probe.pre_tokenize_str(f"\0{c}\0")) == 3
 
 
-def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _characters(data: np.ndarray, kinds: Kinds) -> tuple[np.ndarray, np.ndarray]:
     """Where each character of UTF-8 bytes starts, and its kind."""
     if not len(data) or data.max() < 0x80:
-        return np.arange(len(data)), _kinds(data)
+        return np.arange(len(data)), kinds.of(data)
     at = np.flatnonzero((data & 0xC0) != 0x80)
     lead = data[at]
-    out = _kinds(lead & 0x7F)
+    out = kinds.of(lead & 0x7F)
     for low, high, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0x100, 3)):
         own = np.flatnonzero((lead >= low) & (lead < high))
         code = lead[own].astype(np.int64) & (0x3F >> more)
         for k in range(1, more + 1):
             code = code << 6 | data[np.minimum(at[own] + k, len(data) - 1)] & 0x3F
-        out[own] = _kinds(np.minimum(code, 0x10FFFF))
+        out[own] = kinds.of(np.minimum(code, 0x10FFFF))
     return at, out
 
 
-def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def starts(data: np.ndarray, offsets: np.ndarray, kinds: Kinds) -> np.ndarray:
     """Where the matches start in texts' bytes, of which text i has those from offsets[i] up to offsets[i + 1]."""
-    at, kind = _characters(data)
+    at, kind = _characters(data, kinds)
     n = len(at)
     if not n:
         return np.zeros(0, np.int64)
@@ -90,7 +125,7 @@ def starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
-def split(texts: pa.Array, added: Sequence[str] = ()) -> tuple[pa.Array, np.ndarray]:
+def split(texts: pa.Array, kinds: Kinds, added: Sequence[str] = ()) -> tuple[pa.Array, np.ndarray]:
     """All matches in the texts (null: none), one after the other, and how many each text has.
 
     added: tokens that are matches of their own wherever they stand; the pattern sees what lies between them.
@@ -100,12 +135,12 @@ def split(texts: pa.Array, added: Sequence[str] = ()) -> tuple[pa.Array, np.ndar
         own = pa.array([s for row in cut for s in row], pa.string())
         data, offsets = W.texts_bytes(own)
         whole = pc.is_in(own, pa.array(list(added))).to_numpy(zero_copy_only=False)
-        begin = starts(data, offsets)
+        begin = starts(data, offsets, kinds)
         inner = whole[np.searchsorted(offsets, begin, side="right") - 1] & ~np.isin(begin, offsets)
         begin, offsets = begin[~inner], offsets[np.cumsum([0, *map(len, cut)])]
     else:
         data, offsets = W.texts_bytes(texts)
-        begin = starts(data, offsets)
+        begin = starts(data, offsets, kinds)
     ends = np.append(begin, len(data)).astype(np.int32)
     pieces = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
     return pieces, np.diff(np.searchsorted(begin, offsets))

@@ -24,6 +24,7 @@ from ..tables import shared_dir
 from . import simple8b
 from .dictionary import Dictionary, assembled, coded_batches
 from .frames import releasing
+from .pieces import tokenizers_kinds
 
 #: Ids of a block, and ids after which a segment is closed.
 BLOCK, SEGMENT = 8_192, 1_000_000
@@ -57,14 +58,9 @@ def _matches_tokenizer(path: str):
 
 
 def _ids(words: list[str], path: str) -> list[list[int]]:
-    """The library's ids of each word; of words with other than ASCII characters, of which it may know more kinds than this Python, by its own pattern."""
-    tell = [w.isascii() for w in words]
-    lists = []
-    for tokenizer, own in ((_matches_tokenizer(path), True), (_tokenizer(path), False)):
-        some = [w for w, t in zip(words, tell, strict=True) if t is own]
-        lists.append(iter([x.ids for at in range(0, len(some), BATCH) for x in tokenizer.encode_batch_fast(some[at : at + BATCH], add_special_tokens=False)]))
-    plain, other = lists
-    return [next(plain) if t else next(other) for t in tell]
+    """The library's ids of each word."""
+    library = _matches_tokenizer(path)
+    return [x.ids for at in range(0, len(words), BATCH) for x in library.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
 
 
 def _added_tokens(path: str) -> list[str]:
@@ -78,7 +74,7 @@ def _added_tokens(path: str) -> list[str]:
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, text: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
     """Rows, a few at a time, and their ids."""
     known = Dictionary()
-    for part, codes, counts, new, anew in coded_batches(batches, text, _added_tokens(path)):
+    for part, codes, counts, new, anew in coded_batches(batches, text, tokenizers_kinds(), _added_tokens(path)):
         if anew:
             known = Dictionary()
         ids = _ids(new, path)

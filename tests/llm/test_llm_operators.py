@@ -592,17 +592,40 @@ def test_pieces_are_the_matches_of_the_pattern():
     import public_tokenizers
     import regex
 
-    pattern, rng = regex.compile(public_tokenizers.PATTERN), random.Random(3)
+    pattern, rng, kinds = regex.compile(public_tokenizers.PATTERN), random.Random(3), pieces.tiktoken_kinds()
     letters = list("ab'stmdrevl  \n\t\u3000\xa01²٠!(é日ñ\"😀\u0301\x1c")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(20_000)] + [None, "", "'", " 's", "don't I'll 'reed ''s 's's", *TEXTS]
-    own, counts = pieces.split(pa.array(texts, pa.string()))
+    own, counts = pieces.split(pa.array(texts, pa.string()), kinds)
     flat = iter(own.to_pylist())
     for t, n in zip(texts, counts.tolist(), strict=True):
         assert list(itertools.islice(flat, n)) == pattern.findall(t or ""), t
-    own, counts = pieces.split(pa.array(["a <x> b<x>", "<x>", "none", None]), ["<x>", "<x> b"])
+    own, counts = pieces.split(pa.array(["a <x> b<x>", "<x>", "none", None]), kinds, ["<x>", "<x> b"])
     assert (own.to_pylist(), counts.tolist()) == (["a", " ", "<x> b", "<x>", "<x>", "none"], [4, 1, 1, 0])
 
 
+def test_pieces_of_every_code_point_are_the_libraries():
+    """Each code point beside a contraction, a digit, a letter and blanks: cut as tokenizers cuts, and with tiktoken's ids."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    single = {}
+    for at in range(0, len(points), 4000):
+        text = "\n".join(f"a{c}'s1{c} {c}x {c}'ll{c}{c}" for c in map(chr, points[at : at + 4000]))
+        texts = pa.array([text])
+        own = pieces.split(texts, pieces.tokenizers_kinds())[0].to_pylist()
+        assert [len(p) for p in own] == [b - a for _, (a, b) in cut.pre_tokenize_str(text)], hex(points[at])
+        ids = []
+        for p in pieces.split(texts, pieces.tiktoken_kinds())[0].to_pylist():
+            if p not in single or len(p) > 6:
+                single[p] = lib._encode_single_piece(p)
+            ids += single[p]
+        assert ids == lib.encode_ordinary(text), hex(points[at])
+
+
 def test_language_model_without_keys(spark):
     rows = [(None, "a b a b"), (None, None), (3, "a b c"), (3, "a b c"), (4, "zzz")]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("score", F.lit("clash"))
