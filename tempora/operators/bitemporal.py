@@ -8,13 +8,13 @@ pre-aggregated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.guards import blank, code, first_code, is_sha256
 from ..functions.intervals import half_open
-from .sequence import stored_before
+from .sequence import neighbours, stored_before
 
 
 def is_eligible(available: Column, cutoff: Column) -> Column:
@@ -34,30 +34,42 @@ def insert(versions: DataFrame, new: DataFrame, id: str = "document_record_id",
     return versions.unionByName(insert_error(versions, new, id, seq=seq).where("error_code IS NULL").drop("error_code").select(*versions.columns))
 
 
-def revise(versions: DataFrame, new: DataFrame, id: str = "document_record_id", start: str = "system_from", end: str = "system_to") -> DataFrame:
-    """Close every open row of the ids in `new` and append the new rows, one after the other in the order of `start`: a new row that is open is closed by the next of its id.
+def _revisions(versions: DataFrame, new: DataFrame, id: str, start: str, end: str, digest: str | None, seq: str | None) -> DataFrame:
+    """`new` with the code that refuses each row."""
+    order = F.col(seq or start)
+    sound = is_sha256(F.col(digest), False) if digest else F.lit(True)
+    open_ids = versions.where(F.col(end).isNull()).select(F.col(id).alias("__open")).distinct()
+    until = new.where(sound & F.col(end).isNotNull()).groupBy(F.col(id).alias("__id")).agg(F.min(order).alias("__until"))
+    out = new.join(open_ids, new[id] == F.col("__open"), "left").join(until, new[id] == F.col("__id"), "left")
+    gone = F.col("__open").isNull() | (order > F.col("__until"))
+    return out.withColumn("error_code", first_code(code(~sound, "InvalidContentDigest"), code(gone, "HistoricalVersionNotFound"))).drop("__open", "__id", "__until")
 
-    Ids without an open row are HistoricalVersionNotFound and left out (revise_error tells them).
+
+def revise(versions: DataFrame, new: DataFrame, id: str = "document_record_id", start: str = "system_from", end: str = "system_to", digest: str | None = "content_digest", seq: str | None = None) -> DataFrame:
+    """Append the rows of `new` one after the other, each closing what is open of its id at its own `start`.
+
+    Their order is `seq`, or `start` where no column says what came first. A row
+    that is closed itself leaves nothing open, so what follows it is refused, as
+    are rows of ids without an open row and malformed digests (`digest` None:
+    the table has none); revise_error tells them.
     """
-    open_ids = versions.where(F.col(end).isNull()).select(id).distinct()
-    own = new.join(open_ids, id, "left_semi").select(*versions.columns)
-    first = own.groupBy(F.col(id).alias("__id")).agg(F.min(start).alias("__at"))
+    order = seq or start
+    own = _revisions(versions, new, id, start, end, digest, seq).where("error_code IS NULL").drop("error_code")
+    first = own.groupBy(F.col(id).alias("__id")).agg(F.min_by(start, order).alias("__at"))
     closed = versions.join(first, versions[id] == F.col("__id"), "left").withColumn(end, F.coalesce(end, "__at")).drop("__id", "__at")
-    following = F.lead(start).over(Window.partitionBy(id).orderBy(start))
-    return closed.unionByName(own.withColumn(end, F.coalesce(F.col(end), following)))
+    chained = neighbours(own, [id], [order], start, "__following").withColumn(end, F.coalesce(end, "__following"))
+    return closed.unionByName(chained.select(*versions.columns))
 
 
-def revise_error(versions: DataFrame, new: DataFrame, id: str = "document_record_id", end: str = "system_to") -> DataFrame:
-    open_ids = versions.where(F.col(end).isNull()).select(id).distinct()
-    return new.join(open_ids, id, "left_anti").withColumn("error_code", F.lit("HistoricalVersionNotFound"))
+def revise_error(versions: DataFrame, new: DataFrame, id: str = "document_record_id", start: str = "system_from", end: str = "system_to", digest: str | None = "content_digest", seq: str | None = None) -> DataFrame:
+    """The rows that revise() refuses, with their code: a malformed digest first, then no row of the id that is open by then."""
+    return _revisions(versions, new, id, start, end, digest, seq).where("error_code IS NOT NULL")
 
 
 def replay(changes: DataFrame, id: str, start: str, revision: str | None = None, end: str = "system_to") -> DataFrame:
     """Versions from a log of changes: each is closed by the next of its id (in the order of `start`, then `revision`)."""
     order = [start] + ([revision] if revision else [])
-    w = Window.partitionBy(id).orderBy(*order)
-    out = changes.withColumn(end, F.lead(start).over(w))
-    return out if revision else out.withColumn("revision", F.row_number().over(w).cast("long"))
+    return neighbours(changes, [id], order, start, end, None if revision else "revision")
 
 
 def _latest(rows: DataFrame, id: str, by: str) -> DataFrame:
@@ -102,13 +114,19 @@ def mention_error(mention: str = "event_mention_id", instance: str = "event_inst
     return first_code(code(F.col(mention) == F.col(instance), "MentionIsInstance"), code(c.isNull() | F.isnan(c) | (c <= 0) | (c > 1), "InvalidConfidence"))
 
 
-def artifact_error(new: DataFrame, stored: DataFrame, id: str = "source_artifact_id") -> DataFrame:
-    """Idempotent insert: an equal row that exists is fine, one that differs is a conflict."""
-    rest = [c for c in new.columns if c != id]
+def artifact_error(new: DataFrame, stored: DataFrame, id: str = "source_artifact_id", seq: str | None = None) -> DataFrame:
+    """Idempotent insert of a batch: of an id the stored row holds, or else the first of the batch; one equal to it is sound but not new, one that differs an ArtifactConflict.
+
+    The first is told by `seq`; without it by a digest of the row, and equal rows then all are the first. A null id meets no other.
+    """
+    rest = [c for c in new.columns if c not in (id, seq)]
+    row, order = F.struct(*rest), F.col(seq) if seq else F.xxhash64(*new.columns)
     old = stored.select(F.col(id).alias("__id"), F.struct(*rest).alias("__old"))
-    out = new.join(old, new[id] == F.col("__id"), "left")
-    same = F.struct(*rest).eqNullSafe(F.col("__old"))
-    return out.withColumn("error_code", code(F.col("__id").isNotNull() & ~same, "ArtifactConflict")).withColumn("is_new", F.col("__id").isNull()).drop("__id", "__old")
+    first = new.groupBy(F.col(id).alias("__own")).agg(F.min_by(row, order).alias("__first"), F.min(order).alias("__least"))
+    out = new.join(old, new[id] == F.col("__id"), "left").join(first, new[id] == F.col("__own"), "left")
+    held = F.when(F.col("__id").isNotNull(), F.col("__old")).otherwise(F.coalesce("__first", row))
+    is_new = F.col("__id").isNull() & F.coalesce(order == F.col("__least"), F.lit(True))
+    return out.withColumn("error_code", code(~row.eqNullSafe(held), "ArtifactConflict")).withColumn("is_new", is_new).drop("__id", "__old", "__own", "__first", "__least")
 
 
 def manifest_error(input_digest: str = "input_digest", output_digest: str = "output_digest", commit: str = "code_commit") -> Column:

@@ -6,10 +6,13 @@ or reader applies, not a boundary that holds against one who doesn't.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.guards import code, first_code, is_sha256, one_of
+from .sequence import neighbours
 
 #: Vocabularies.
 DELETION_KINDS = ("expiry", "revocation", "identity")
@@ -91,10 +94,13 @@ _SERIES = ["tenant_record_id", "record_class", "purpose"]
 
 
 def policy_succession(policies: DataFrame) -> DataFrame:
-    """Policies with system_to as their successors close them, and PolicyConflict where two start at once."""
-    w = Window.partitionBy(*_SERIES).orderBy("system_from")
-    clash = F.count(F.lit(1)).over(Window.partitionBy(*_SERIES, "system_from")) > 1
-    return policies.withColumn("system_to", F.lead("system_from").over(w)).withColumn("error_code", code(clash, "PolicyConflict"))
+    """Policies with system_to as their successors close them, and PolicyConflict where two of a series start at once."""
+    start = [*_SERIES, "system_from"]
+    twice = policies.groupBy(*[F.col(c).alias(f"__{c}") for c in start]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    chained = neighbours(policies, _SERIES, ["system_from"], "system_from", "system_to")
+    same = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in start))
+    out = chained.join(twice, same, "left").withColumn("error_code", code(F.col("__n").isNotNull(), "PolicyConflict"))
+    return out.drop("__n", *[f"__{c}" for c in start])
 
 
 def hold_insert_error(holds: DataFrame, deletions: DataFrame, id: str = "document_record_id", at: str = "system_time") -> DataFrame:

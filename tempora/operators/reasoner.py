@@ -1,8 +1,10 @@
-"""Path consistency over interval networks: many small networks at once, each in one task.
+"""Path consistency over interval networks.
 
-A network's cells are masks of possible relations. `revisions`, `steps` and
-supports depend on the order of the loops, so each network is closed by the
-same triple loop; only networks run beside each other.
+A network's cells are masks of possible relations. What they narrow to doesn't
+depend on an order: closed_masks() joins cells until none changes, for networks
+of any size. `revisions`, `steps` and supports do depend on the order of the
+loops, so close_networks() closes each network by the same triple loop; only
+networks run beside each other.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.allen import ALL, BIT, CONVERSE, RELATIONS, composition
+from ..functions.allen import ALL, BIT, CONVERSE, RELATIONS, compose, composition, converse_mask
+from ..tables import drop_written, written
 
 
 class Contradiction(ValueError):
@@ -161,3 +164,45 @@ def close_networks(assertions: DataFrame, max_variables: int = 256, max_steps: i
 def _cells(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     kinds = (kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.string())
     return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(_NAMES))
+
+
+def closed_masks(assertions: DataFrame) -> DataFrame:
+    """(network, i, j, mask, error_code): the path-consistent closure of networks given as (network, i, j, mask) rows, without limits.
+
+    Only cells that tell something have a row: a pair without one may be in any
+    relation, as composing with all relations gives all. Each round composes the
+    cells that the last one changed with those beside them, so a chain of n
+    links takes about log n rounds. Cells are joined by (network, variable) and
+    met by bit_and before they are shuffled.
+
+    Of a network with a Contradiction the rows are its pairs as asserted, mask 0
+    where the assertions themselves contradict; the network takes no more part.
+    Rows with a null are left out; a variable's relation to itself can only be
+    `equals`, and contradicts where it can't.
+    """
+    rows = assertions.select("network", *[F.col(c).cast("int").alias(c) for c in ("i", "j", "mask")]).dropna()
+    own = F.when(F.col("i") == F.col("j"), F.col("mask").bitwiseAND(F.lit(BIT["equals"]))).otherwise(F.col("mask"))
+    asserted = written(_both_ways(rows.withColumn("mask", own).where(f"mask < {ALL}")).groupBy("network", "i", "j").agg(F.bit_and("mask").alias("mask")))
+    wrong = written(asserted.where("mask = 0").select("network").distinct())
+    cells = written(asserted.where("i <> j").join(wrong, "network", "left_anti").withColumn("changed", F.lit(True)))
+    while not cells.where("changed").isEmpty():
+        changed = cells.where("changed").select(F.col("network").alias("of"), F.col("i").alias("start"), F.col("j").alias("over"), F.col("mask").alias("first"))
+        beside = cells.select(F.col("network"), F.col("i").alias("middle"), F.col("j").alias("end"), F.col("mask").alias("second"))
+        paths = changed.join(beside, (F.col("of") == F.col("network")) & (F.col("over") == F.col("middle")) & (F.col("start") != F.col("end")))
+        met = compose(paths.select("network", F.col("start").alias("i"), F.col("end").alias("j"), "first", "second"), "first", "second", "mask")
+        found = _both_ways(met.where(f"mask < {ALL}")).groupBy("network", "i", "j").agg(F.bit_and("mask").alias("found"))
+        before, after = F.coalesce("mask", F.lit(ALL)), F.coalesce("mask", F.lit(ALL)).bitwiseAND(F.coalesce("found", F.lit(ALL)))
+        joined = cells.drop("changed").join(found, ["network", "i", "j"], "full").select("network", "i", "j", after.alias("mask"), (after != before).alias("changed"))
+        met_cells = written(joined)
+        more = written(wrong.union(met_cells.where("mask = 0").select("network")).distinct())
+        following = written(met_cells.join(more, "network", "left_anti"))
+        drop_written(cells, met_cells, wrong)
+        cells, wrong = following, more
+    refused = asserted.where("i <> j OR mask = 0").join(wrong, "network", "left_semi").select("network", "i", "j", "mask", F.lit("Contradiction").alias("error_code"))
+    return cells.select("network", "i", "j", "mask", F.lit(None).cast("string").alias("error_code")).union(refused)
+
+
+def _both_ways(cells: DataFrame) -> DataFrame:
+    """Each cell, and its converse for the pair the other way round."""
+    turned = cells.select("network", F.col("j").alias("i"), F.col("i").alias("j"), converse_mask(F.col("mask")).alias("mask"))
+    return cells.select("network", "i", "j", "mask").union(turned)

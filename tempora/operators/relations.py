@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,31 +45,60 @@ def stored_error() -> Column:
     )
 
 
-_RESULT = "seq long, edge_id string, kind string, source string, target string, error_code string"
-
-
-def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Transitions of one component in their order: one whose id is stored, or that would close a cycle of those stored, is refused."""
-    after: dict[str, set[str]] = {}
-    stored: set[str] = set()
-    codes = []
-    for e in frame.sort_values("seq").itertuples(index=False):
-        if e.edge_id in stored:
-            codes.append((e.seq, "DuplicateRelationEdge"))
-            continue
-        seen, todo, cycle = {e.target}, [e.target], e.source == e.target
-        while todo and not cycle:
-            for x in after.get(todo.pop(), ()):
-                cycle |= x == e.source
-                if x not in seen:
+class Forward:
+    """An acyclic graph that keeps a topological order of its nodes: an edge along the order costs nothing, another a search between its two ranks."""
+
+    def __init__(self) -> None:
+        self.rank: dict[str, int] = {}
+        self.after: dict[str, set[str]] = {}
+        self.before: dict[str, set[str]] = {}
+
+    def add(self, source: str, target: str) -> bool:
+        """Whether the edge was added: not where it closes a cycle."""
+        for x in (source, target):
+            if x not in self.rank:
+                self.rank[x], self.after[x], self.before[x] = len(self.rank), set(), set()
+        low, high = self.rank[target], self.rank[source]
+        if source == target:
+            return False
+        if low < high:
+            ahead = self._reach(target, self.after, lambda r: r <= high)
+            if source in ahead:
+                return False
+            behind = self._reach(source, self.before, lambda r: r >= low)
+            nodes = sorted(behind, key=self.rank.__getitem__) + sorted(ahead, key=self.rank.__getitem__)
+            for x, r in zip(nodes, sorted(self.rank[x] for x in nodes), strict=True):
+                self.rank[x] = r
+        self.after[source].add(target)
+        self.before[target].add(source)
+        return True
+
+    def _reach(self, node: str, links: dict[str, set[str]], within: Callable[[int], bool]) -> set[str]:
+        seen, todo = {node}, [node]
+        while todo:
+            for x in links[todo.pop()]:
+                if x not in seen and within(self.rank[x]):
                     seen.add(x)
                     todo.append(x)
-        if not cycle:
-            after.setdefault(e.source, set()).add(e.target)
-            stored.add(e.edge_id)
-        codes.append((e.seq, "TransitionCycle" if cycle else None))
-    known = dict(codes)
-    return frame.assign(error_code=frame["seq"].map(known).astype(object).where(frame["seq"].map(known).notna(), None))[["seq", "edge_id", "kind", "source", "target", "error_code"]]
+        return seen
+
+
+def _folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, edge_id, error_code) of transitions (component, seq, edge_id, source, target) sorted by component and seq: one whose id is stored, or that would close a cycle of those stored, is refused."""
+    component, graph, stored = None, Forward(), set()
+    for batch in batches:
+        codes: list[str | None] = []
+        for part, edge, source, target in zip(*(batch[c].to_pylist() for c in ("component", "edge_id", "source", "target")), strict=True):
+            if part != component:
+                component, graph, stored = part, Forward(), set()
+            if edge in stored:
+                codes.append("DuplicateRelationEdge")
+            elif graph.add(source, target):
+                stored.add(edge)
+                codes.append(None)
+            else:
+                codes.append("TransitionCycle")
+        yield pa.record_batch([batch["seq"], batch["edge_id"], pa.array(codes, pa.string())], names=["seq", "edge_id", "error_code"])
 
 
 def insert_edges(edges: DataFrame) -> DataFrame:
@@ -77,7 +108,8 @@ def insert_edges(edges: DataFrame) -> DataFrame:
     that closes a cycle of stored ones TransitionCycle; neither is stored, so a
     refused edge's id is free for the next. What is refused depends on the
     order, so the transitions that may lie on a cycle are folded in it, by weak
-    components (joined where an id repeats). All others, found by taking off
+    components (joined where an id repeats) that lie one after the other in
+    sorted partitions. All others, found by taking off
     sources and sinks, close no cycle: only ids matter there. Two rounds of
     that are made: more would only make what is folded smaller.
     """
@@ -92,7 +124,9 @@ def insert_edges(edges: DataFrame) -> DataFrame:
     ids = open_.join(again, "edge_id", "left_semi").select("source", F.concat(F.lit("\u0000"), F.col("edge_id").cast("string")).alias("target"))
     parts = connected_components(open_.select("source", "target").union(ids), "source", "target")
     placed = open_.join(parts, F.col("source") == parts["node"]).select("component", *open_.columns)
-    folded = written(placed.groupBy("component").applyInPandas(lambda f: _fold(f.drop(columns="component")), _RESULT))
+    ordered = placed.select("component", "seq", "edge_id", "source", "target").repartition("component").sortWithinPartitions("component", "seq")
+    kind = {c: every.schema[c].dataType.simpleString() for c in ("seq", "edge_id")}
+    folded = written(ordered.mapInArrow(_folded, f"seq {kind['seq']}, edge_id {kind['edge_id']}, error_code string"))
     taken = folded.where("error_code IS NULL").groupBy("edge_id").agg(F.min("seq").alias("taken"))
     out = marked.join(taken, "edge_id", "left").join(folded.select("seq", F.lit(True).alias("folded"), F.col("error_code").alias("found")), "seq", "left")
     twice = code((F.col("seq") > F.col("stored")) | F.coalesce(F.col("seq") > F.col("taken"), F.lit(False)), "DuplicateRelationEdge")

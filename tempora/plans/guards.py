@@ -16,7 +16,7 @@ from ..functions.allen import CONVERSE, RELATIONS
 from ..operators import bitemporal, contracts, events, evidence, governance, membership, metrics, reasoner, relations
 from ..sources.tables import table
 from .oracle import _CLASS, _MID, _ORDERS, _PAIRS, _VERSIONS
-from .queries import _at_middle, _orders, _pairs, _r, versions
+from .queries import _at_middle, _chains, _orders, _pairs, _r, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,10 +72,43 @@ def version_revise(spark: SparkSession, d: str) -> DataFrame:
     numbered = e.withColumn("n", at)
     later = numbered.where("n > 1").drop("n")
     unknown = later.withColumn("user_id", -F.col("user_id") - 1)
-    out = bitemporal.revise(numbered.where("n = 1").drop("n"), later.union(unknown), "user_id")
+    out = bitemporal.revise(numbered.where("n = 1").drop("n"), later.union(unknown), "user_id", digest=None)
     return out.select("user_id", "event_id", F.date_format("system_to", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("closed"))
 
 
+_LOG = """log AS (SELECT user_id AS id, event_id AS seq, ts, event_id % 13 = 0 AS bad, event_id % 11 = 0 AS ends FROM events),
+  firsts AS (SELECT id, min(seq) AS f FROM log GROUP BY id),
+  batch AS (SELECT log.*, f, id % 5 = 0 AS closed FROM log JOIN firsts USING (id) WHERE seq > f),
+  judged AS (SELECT *, CASE WHEN bad THEN 'InvalidContentDigest' WHEN closed OR seq > (min(CASE WHEN ends AND NOT bad THEN seq END) OVER (PARTITION BY id)) THEN 'HistoricalVersionNotFound' END AS code FROM batch)"""
+
+
+def _revision_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A user's first event as its version, closed for every fifth user; the others as revisions in the order of their ids, which isn't that of their times: every thirteenth has a malformed digest, every eleventh is closed."""
+    at, k = F.col("ts"), F.col("event_id")
+    e = table(spark, d, "events").select("user_id", k.alias("seq"), at.alias("system_from"), F.when(k % 11 == 0, at).alias("system_to"), F.when(k % 13 == 0, F.lit("short")).otherwise(_digest(k)).alias("content_digest"))
+    marked = e.join(e.groupBy(F.col("user_id").alias("u")).agg(F.min("seq").alias("f")), F.col("user_id") == F.col("u"))
+    there = marked.where("seq = f").withColumn("system_to", F.when(F.col("user_id") % 5 == 0, F.col("system_from")))
+    return there.select(*e.columns), marked.where("seq > f").select(*e.columns)
+
+
+@_query(
+    "revisions_in_order",
+    f"""WITH {_LOG}, kept AS (SELECT id, seq, ts, CASE WHEN ends THEN ts END AS own FROM judged WHERE code IS NULL
+        UNION ALL SELECT id, seq, ts, CASE WHEN id % 5 = 0 THEN ts END FROM log JOIN firsts USING (id) WHERE seq = f)
+      SELECT id, seq, strftime(coalesce(own, lead(ts) OVER (PARTITION BY id ORDER BY seq)), '%Y-%m-%d %H:%M:%S.%f') AS closed FROM kept""",
+)
+def revisions_in_order(spark: SparkSession, d: str) -> DataFrame:
+    there, batch = _revision_log(spark, d)
+    out = bitemporal.revise(there, batch, "user_id", seq="seq")
+    return out.select(F.col("user_id").alias("id"), "seq", F.date_format("system_to", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("closed"))
+
+
+@_query("revisions_refused", f"WITH {_LOG} SELECT code AS error_code, count(*) AS n, sum(seq)::BIGINT AS seqs FROM judged WHERE code IS NOT NULL GROUP BY 1")
+def revisions_refused(spark: SparkSession, d: str) -> DataFrame:
+    there, batch = _revision_log(spark, d)
+    return bitemporal.revise_error(there, batch, "user_id", seq="seq").groupBy("error_code").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
 @_query(
     "revision_errors",
     """SELECT user_id AS id, 'HistoricalVersionNotFound' AS error_code, count(*) AS n FROM events WHERE user_id % 4 = 1 GROUP BY 1""",
@@ -83,8 +116,8 @@ def version_revise(spark: SparkSession, d: str) -> DataFrame:
 def revision_errors(spark: SparkSession, d: str) -> DataFrame:
     """Of every fourth user no version is open."""
     v = versions(spark, d).withColumn("system_to", F.when(F.col("user_id") % 4 == 1, F.col("system_from")).otherwise(F.col("system_to")))
-    e = table(spark, d, "events").select("user_id", "event_id")
-    return bitemporal.revise_error(v, e, "user_id").groupBy(F.col("user_id").alias("id"), "error_code").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").alias("system_from"), F.lit(None).cast("timestamp_ntz").alias("system_to"))
+    return bitemporal.revise_error(v, e, "user_id", digest=None).groupBy(F.col("user_id").alias("id"), "error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
@@ -131,6 +164,21 @@ def artifact_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.coalesce("error_code", F.lit("ok")).alias("outcome"), "is_new").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    "artifact_batch",
+    """WITH b AS (SELECT event_id AS seq, event_id // 4 AS id, CASE WHEN event_id % 4 = 2 THEN 'other' ELSE 'own' END AS digest FROM events),
+      s AS (SELECT *, id % 3 = 0 AS there, CASE WHEN id % 3 = 0 THEN 'other' ELSE first_value(digest) OVER (PARTITION BY id ORDER BY seq) END AS held, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM b)
+      SELECT CASE WHEN digest <> held THEN 'ArtifactConflict' ELSE 'ok' END AS outcome, NOT there AND k = 1 AS is_new, count(*) AS n, sum(seq)::BIGINT AS seqs FROM s GROUP BY 1, 2""",
+)
+def artifact_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Four events insert each artifact, the third with another digest; every third artifact is stored, with that digest."""
+    k = F.col("event_id")
+    e = table(spark, d, "events").select(k.alias("seq"), F.floor(k / 4).alias("source_artifact_id"), F.when(k % 4 == 2, F.lit("other")).otherwise(F.lit("own")).alias("content_digest"))
+    stored = e.where(_every(3, "source_artifact_id")).select("source_artifact_id", F.lit("other").alias("content_digest")).distinct()
+    out = bitemporal.artifact_error(e, stored, seq="seq")
+    return out.groupBy(F.coalesce("error_code", F.lit("ok")).alias("outcome"), "is_new").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
 _COMMITS = "CASE WHEN doc_id % 11 = 0 THEN 'HEAD' ELSE substring(sha256(doc_id::VARCHAR), 1, 40) END"
 
 
@@ -369,6 +417,21 @@ def reasoner_triples(spark: SparkSession, d: str) -> DataFrame:
     return reasoner.close_networks(rows).where("i = 0 AND j = 2").groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(
+    "closure_of_chains",
+    f"""WITH RECURSIVE {_ORDERS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY k) AS n FROM ords WHERE s < e), {_TABLE},
+      links AS (SELECT a.customer, a.n AS i, {_CLASS} AS r FROM numbered a JOIN numbered b ON a.customer = b.customer AND b.n = a.n + 1),
+      steps AS (SELECT m, r, bit_or(mask)::INT AS mask FROM (SELECT range::INT AS m FROM range(1, 8192)) JOIN cells ON (m >> (list_position({_NAMES}, l)::INT - 1)) & 1 = 1 GROUP BY m, r),
+      walk AS (SELECT customer, i, i + 1 AS j, (1 << (list_position({_NAMES}, r)::INT - 1))::INT AS mask FROM links
+        UNION ALL SELECT w.customer, w.i, w.j + 1, s.mask FROM walk w JOIN links l ON l.customer = w.customer AND l.i = w.j JOIN steps s ON s.m = w.mask AND s.r = l.r)
+      SELECT customer AS network, i - 1 AS i, j - 1 AS j, mask FROM walk WHERE mask < 8191""",
+)
+def closure_of_chains(spark: SparkSession, d: str) -> DataFrame:
+    """A network for each customer, of each order's relation to the next: in a chain, what is known of two orders is what the links between them compose to."""
+    cells = reasoner.closed_masks(_chains(spark, d))
+    return cells.where("i < j").select("network", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "mask")
+
+
 _KIND16 = "[" + ", ".join(f"'{k}'" for k in relations.KINDS) + "]"
 _STEP = ", ".join(f"'{k}'" for k in relations.TRANSITIONS)
 
@@ -417,6 +480,20 @@ def edge_insert_repeats(spark: SparkSession, d: str) -> DataFrame:
     return relations.insert_edges(e).groupBy(F.coalesce("error_code", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
 
 
+@_query(
+    "policy_conflicts",
+    """WITH p AS (SELECT user_id, event_type, ts::DATE AS day FROM events),
+      c AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type, day) > 1 AS clash, lead(day) OVER (PARTITION BY user_id, event_type ORDER BY day) AS following FROM p)
+      SELECT event_type AS record_class, CASE WHEN clash THEN 'PolicyConflict' ELSE 'ok' END AS outcome, count(*) AS n, count(following) AS closed FROM c GROUP BY 1, 2""",
+)
+def policy_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events of a type are policies from their day on; those of one day conflict."""
+    start = F.col("ts").cast("date").cast("timestamp_ntz").alias("system_from")
+    e = table(spark, d, "events").select(F.col("user_id").alias("tenant_record_id"), F.col("event_type").alias("record_class"), F.lit("p").alias("purpose"), start)
+    out = governance.policy_succession(e)
+    return out.groupBy("record_class", F.coalesce("error_code", F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.count("system_to").alias("closed"))
+
+
 @_query("edges_by_evidence", "SELECT CASE WHEN event_id % 3 = 0 THEN 'inferred' ELSE 'observed' END AS evidence_status, count(*) AS n FROM events GROUP BY 1")
 def edges_by_evidence(spark: SparkSession, d: str) -> DataFrame:
     return relations.by_evidence(table(spark, d, "events").select(F.when(_every(3), F.lit("inferred")).otherwise(F.lit("observed")).alias("evidence_status")))

@@ -34,12 +34,6 @@ _PARTS = """pairs AS (
 _RANKS = "(SELECT s, e FROM range(6) a(s), range(6) b(e) WHERE s < e)"
 
 
-def _composed() -> str:
-    ab, ac = _CLASS, _CLASS.replace("b.", "c.")
-    bc = _CLASS.replace("b.", "c.").replace("a.", "b.")
-    return f'SELECT l AS "left", r AS "right", bit_or((1 << (list_position({_NAMES}, t)::INT - 1))::INT)::INT AS mask FROM (SELECT {ab} AS l, {bc} AS r, {ac} AS t FROM {_RANKS} a, {_RANKS} b, {_RANKS} c) GROUP BY l, r'
-
-
 _EDGES = f"""e AS (
   SELECT user_id, event_id, lag(event_id) OVER w AS before, lag(event_id, 3) OVER w AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
 ), edges AS (
@@ -61,7 +55,6 @@ ORACLE_SQL: dict[str, str] = {
     "allen_sets": f"""WITH {_PAIRS}, s AS (SELECT a_customer, list_sort(list_distinct(list(list_position({_NAMES}, r)))) AS ps FROM pairs WHERE r IS NOT NULL GROUP BY a_customer)
       SELECT a_customer, list_sum(list_transform(ps, lambda p: 1 << (p::INT - 1)))::INT AS mask, len(ps)::INT AS size,
         list_sum(list_transform(ps, lambda p: 1 << (list_position({_NAMES}, {_CONVERSES}[p])::INT - 1)))::INT AS converse, array_to_string(list_transform(ps, lambda p: {_NAMES}[p]), ',') AS names FROM s""",
-    "allen_composition": _composed(),
     "forward_order_violations": f"WITH {_PAIRS} SELECT CASE WHEN r IS NULL THEN 'UncertainRelation' WHEN r IN ('after', 'met_by') THEN 'ReverseTransition' ELSE 'forward' END AS outcome, count(*) AS n FROM pairs GROUP BY 1",
     "interval_contains": f"WITH {_ORDERS} SELECT count(*) FILTER (s <= {_AT} AND {_AT} <= e) AS closed, count(*) FILTER (s < {_AT} AND {_AT} < e) AS open, count(*) AS n FROM ords WHERE s < e",
     "interval_errors": f"WITH {_ORDERS} SELECT CASE WHEN s > e THEN 'InvalidIntervalOrder' WHEN s = e THEN 'EmptyInterval' ELSE 'ok' END AS outcome, count(*) AS n FROM ords GROUP BY 1",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import allen, clocks, intervals, wire
 from ..functions.guards import code
-from ..operators import bitemporal, contracts, events, evidence, governance, membership, metrics, reasoner, relations, simulation, splits
+from ..operators import bitemporal, contracts, events, evidence, governance, membership, metrics, reasoner, relations, splits
 from ..sources.tables import table
 
 CUTOFF = "2024-01-15 00:00:00"
@@ -102,10 +102,6 @@ def allen_sets(spark: SparkSession, d: str) -> DataFrame:
     return s.select("a_customer", "mask", allen.size(F.col("mask")).alias("size"), allen.converse_mask(F.col("mask")).alias("converse"), F.array_join(allen.members(F.col("mask")), ",").alias("names"))
 
 
-def allen_composition(spark: SparkSession, d: str) -> DataFrame:
-    return allen.composition_table(spark)
-
-
 def forward_order(spark: SparkSession, d: str) -> DataFrame:
     e = relations.forward_order_error(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     return _pairs(spark, d).select(F.coalesce(e, F.lit("forward")).alias("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -355,23 +351,19 @@ def mention_errors(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(F.coalesce(events.mention_error(), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def reasoner_closure(spark: SparkSession, d: str) -> DataFrame:
-    """A network for each customer: the relation of each of its orders to the next; networks over the reasoner's limits say BudgetExceeded."""
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    """Assertions of a network for each customer: the relation of each of its orders to the next."""
     w = Window.partitionBy("customer").orderBy("order")
     o = _orders(spark, d).where("start < end").withColumn("n", F.row_number().over(w))
     a, b = (o.select(*[F.col(c).alias(f"{p}_{c}") for c in ("customer", "n", "start", "end")]) for p in ("a", "b"))
     p = a.join(b, (F.col("a_customer") == F.col("b_customer")) & (F.col("a_n") + 1 == F.col("b_n")))
     mask = allen.singleton(allen.classify(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
-    rows = p.select(F.col("a_customer").alias("network"), F.col("a_n").alias("step"), (F.col("a_n") - 1).alias("i"), (F.col("b_n") - 1).alias("j"), mask.alias("mask"))
-    return reasoner.close_networks(rows)
+    return p.select(F.col("a_customer").alias("network"), F.col("a_n").alias("step"), (F.col("a_n") - 1).alias("i"), (F.col("b_n") - 1).alias("j"), mask.alias("mask"))
 
 
-def simulated_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return simulation.generate(simulation.Config(seed=2026)).frames(spark)["manifest"]
-
-
-def simulated_documents(spark: SparkSession, d: str) -> DataFrame:
-    return simulation.generate(simulation.Config(seed=2026, event_count=20, documents_per_event=3)).frames(spark)["documents"]
+def reasoner_closure(spark: SparkSession, d: str) -> DataFrame:
+    """The chain of each customer's orders, closed with counters and supports; networks over the reasoner's limits say BudgetExceeded."""
+    return reasoner.close_networks(_chains(spark, d))
 
 
 def graphml(spark: SparkSession, d: str) -> DataFrame:
@@ -419,7 +411,6 @@ QUERIES: dict[str, Query] = {
     "rolling_origin": rolling_origin,
     "allen_pairs": allen_pairs,
     "allen_sets": allen_sets,
-    "allen_composition": allen_composition,
     "forward_order_violations": forward_order,
     "interval_contains": interval_contains,
     "interval_errors": interval_errors,
@@ -455,8 +446,6 @@ QUERIES: dict[str, Query] = {
     "promote_events": promote_events,
     "mention_errors": mention_errors,
     "reasoner_closure": reasoner_closure,
-    "simulated_manifest": simulated_manifest,
-    "simulated_documents": simulated_documents,
     "graphml_export": graphml,
     "export_decisions": export_decisions,
     "orchestration_routing": routing,

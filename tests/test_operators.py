@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.operators import bitemporal, contracts, events, evidence, governance, membership, metrics, relations, simulation, splits
+from tempora.operators import bitemporal, contracts, events, evidence, governance, membership, metrics, relations, sequence, simulation, splits
 from tempora.operators.components import connected_components
 
 T = lambda m, d=1, y=2026: dt.datetime(y, m, d)
@@ -175,6 +175,72 @@ def test_a_batch_of_revisions_is_chained(spark):
     assert got == [("a", 1, T(1), T(3)), ("a", 2, T(3), T(5)), ("a", 3, T(5), None), ("b", 1, T(1), T(4)), ("b", 2, T(4), None), ("c", 1, T(1), T(2))]
 
 
+def test_revisions_come_one_after_the_other(spark):
+    """Random batches against a loop that holds one open row at a time."""
+    rng = random.Random(5)
+    for trial in range(3):
+        old = [version(i, 0, T(1), T(2) if i == "d" else None) for i in "abcd"]
+        new = []
+        for k in range(60):
+            at = dt.datetime(2026, 2, 1) + dt.timedelta(hours=rng.randrange(500))
+            new.append((k, *version(rng.choice("aaabcde"), k + 1, at, at if rng.random() < 0.08 else None, "short" if rng.random() < 0.1 else "b" * 64)))
+        rows, refused = [list(r) for r in old], {}
+        for k, *r in new:
+            there = [x for x in rows if x[0] == r[0] and x[6] is None]
+            if r[1] == "short" or not there:
+                refused[k] = "InvalidContentDigest" if r[1] == "short" else "HistoricalVersionNotFound"
+                continue
+            for x in there:
+                x[6] = r[5]
+            rows.append(r)
+        one, batch = spark.createDataFrame(old, VERSION), spark.createDataFrame(new, f"seq int, {VERSION}").repartition(5)
+        got = bitemporal.revise(one, batch, seq="seq").collect()
+        assert sorted((r[0], r[7], r[5], str(r[6])) for r in got) == sorted((r[0], r[7], r[5], str(r[6])) for r in rows)
+        assert codes(bitemporal.revise_error(one, batch, seq="seq"), "seq") == refused
+    shut = spark.createDataFrame([(0, *version("a", 1, T(2), T(3))), (1, *version("a", 2, T(4)))], f"seq int, {VERSION}")
+    one = spark.createDataFrame([version("a", 0, T(1))], VERSION)
+    assert codes(bitemporal.revise_error(one, shut, seq="seq"), "seq") == {1: "HistoricalVersionNotFound"}
+    assert bitemporal.revise(one, shut.limit(0), seq="seq").count() == 1
+
+
+def test_neighbours_are_those_of_a_window(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([None, *range(9000)]), rng.randrange(99)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, id string, at int, v int").repartition(7)
+    got = {r.k: (r.following, r.place) for r in sequence.neighbours(df, ["id"], ["at", "k"], "v", "following", "place").collect()}
+    want = {}
+    for id_ in ("hot", "a", "b", None):
+        own = sorted((r for r in rows if r[1] == id_), key=lambda r: (-1 if r[2] is None else r[2], r[0]))
+        want |= {r[0]: (own[i + 1][3] if i + 1 < len(own) else None, i + 1) for i, r in enumerate(own)}
+    assert got == want
+    assert sequence.neighbours(df.limit(0), ["id"], ["at"], "v", "following").collect() == []
+
+
+def test_artifacts_of_a_batch(spark):
+    kind = "seq int, source_artifact_id string, digest string"
+    new = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "a", "x"), (3, "b", "x"), (4, "b", None), (5, "c", None), (6, "c", None), (7, None, "x")], kind)
+    stored = spark.createDataFrame([("b", None)], "source_artifact_id string, digest string")
+    got = {r.seq: (r.error_code, r.is_new) for r in bitemporal.artifact_error(new, stored, seq="seq").collect()}
+    bad = "ArtifactConflict"
+    assert got == {0: (None, True), 1: (bad, False), 2: (None, False), 3: (bad, False), 4: (None, False), 5: (None, True), 6: (None, False), 7: (None, True)}
+
+
+def test_an_order_is_kept_while_edges_come():
+    """10,000 edges over 800 nodes against a search from every edge's target."""
+    rng, graph, after = random.Random(3), relations.Forward(), {}
+    for _ in range(10_000):
+        a, b = rng.randrange(800), rng.randrange(800)
+        seen, todo = {b}, [b]
+        while todo and a not in seen:
+            new = after.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        assert graph.add(a, b) == (a not in seen)
+        if a not in seen:
+            after.setdefault(a, set()).add(b)
+    assert all(graph.rank[a] < graph.rank[b] for a, own in after.items() for b in own)
+
+
 def test_the_first_of_a_repeated_id_is_stored(spark):
     new = spark.createDataFrame([(i, *version("x", 1, T(2), digest=d)) for i, d in enumerate(("short", "a" * 64, "b" * 64))], f"seq int, {VERSION}")
     assert codes(bitemporal.insert_error(new.limit(0), new, seq="seq"), "seq") == {0: "InvalidContentDigest", 1: None, 2: "DuplicateDocumentRecord"}

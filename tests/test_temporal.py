@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import allen, clocks, intervals, wire
 from tempora.functions.guards import InvalidRows, assert_valid, code, with_code
-from tempora.operators.reasoner import Contradiction, Network, close_networks
+from tempora.operators.reasoner import Contradiction, Network, close_networks, closed_masks
 from tempora.plans import queries
 
 
@@ -144,6 +144,35 @@ def test_networks_beside_each_other(spark):
     assert {r.error_code for r in got if r.network == "b"} == {"Contradiction"} and {r.error_code for r in got if r.network == "a"} == {None}
 
 
+def test_masks_close_as_the_loop_closes_them(spark):
+    """Random networks, consistent or not, and one whose assertions contradict, against the triple loop."""
+    rng, rows, want, wrong = random.Random(2), [], {}, set()
+    for name in range(40):
+        n, net = rng.randint(2, 7), Network()
+        spans = [sorted(rng.sample(range(12), 2)) for _ in range(n)]
+        own = []
+        for _ in range(rng.randint(1, 2 * n)):
+            i, j = rng.sample(range(n), 2)
+            true = allen.BIT[allen.relation_of(*spans[i], *spans[j])] if name % 4 else 0
+            own.append((i, j, true | rng.getrandbits(13) & rng.getrandbits(13) or 1))
+        rows += [(str(name), *r) for r in own]
+        try:
+            for _ in range(n):
+                net.add_variable()
+            for r in own:
+                net.assert_relation(*r)
+            net.close()
+            want |= {(str(name), i, j): net.masks[i][j] for i in range(n) for j in range(n) if i != j and net.masks[i][j] != allen.ALL}
+        except Contradiction:
+            wrong.add(str(name))
+    rows += [("self", 0, 0, allen.BIT["before"]), ("null", 0, None, 1), ("all", 0, 1, allen.ALL)]
+    got = closed_masks(spark.createDataFrame(rows, "network string, i int, j int, mask int")).collect()
+    assert 3 < len(wrong) < 37
+    assert {(r.network, r.i, r.j): r.mask for r in got if r.error_code is None} == want
+    assert {r.network for r in got if r.error_code == "Contradiction"} == wrong | {"self"}
+    assert closed_masks(spark.createDataFrame([], "network string, i int, j int, mask int")).collect() == []
+
+
 NAMED = [("before", (0, 1), (2, 3)), ("meets", (0, 1), (1, 2)), ("overlaps", (0, 2), (1, 3)), ("starts", (0, 1), (0, 2)), ("during", (1, 2), (0, 3)), ("finishes", (1, 2), (0, 2))]
 NAMED += [(allen.CONVERSE[n], y, x) for n, x, y in NAMED] + [("equals", (0, 1), (0, 1))]
 
