@@ -5,7 +5,8 @@ words it has met (a bounded dictionary, started anew when full), so a word is
 folded once a task and not once an occurrence; the fold is a Spark
 ``aggregate`` over the word's bytes, which looks pairs up in a literal rank map.
 No step shuffles, so cost is linear in the text and a lost executor costs only
-its own splits.
+its own splits.  The ids are written to the shared folder as they are made: the
+one plan that holds the literal map is gone before anything reads them.
 
 Spark's own map lookup walks the map from its start, so the literal map is held
 as arrays, the rows of its table of pairs laid over each other: three array
@@ -23,9 +24,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .dictionary import CODED, LONG, Dictionary, assembled, with_codes
 from .frames import releasing
 
@@ -34,8 +36,8 @@ from .frames import releasing
 MAX_FOLD_BYTES = LONG
 #: The least rank of a pair that no merge joins.
 NONE = 1 << 20
-#: Characters of a plan's text, of which the driver keeps some: with the literal rank map it would have 19 million.
-PLAN_TEXT = 100_000
+#: How often 64 places are drawn for a row of the rank map before it goes behind all others.
+TRIES = 200
 #: Documents decoded at a time in a worker.
 ROWS = 500
 
@@ -71,14 +73,14 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     The pair (a, b) is in cell ``start[a] + b``, which holds a << 20 | merged;
     another's cell, or a free one, differs above the lower 20 bits.
     Large rows are laid first, each where all its cells are free: at the first
-    such place of a fixed series of random ones, rows of one cell at the first
-    free one.  So nearly every cell is used, and the literal stays small.
+    such place of a fixed series of random ones, or, if many of them are taken,
+    behind all others; rows of one cell at the first free one.
     """
     rows: dict[int, list[int]] = {}
     for key in pairs:
         rows.setdefault(key >> 20, []).append(key & 0xFFFFF)
     n = 1 + max(max(rows), max(map(max, rows.values())))
-    room = len(pairs) + len(pairs) // 8 + 16
+    room = 2 * len(pairs) + 16
     taken, start = np.zeros(n + room, bool), [0] * n
     cells = np.full(n + room, n << 20, np.int64)
     places = np.random.Generator(np.random.PCG64(5))
@@ -86,10 +88,16 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     for left in sorted(rows, key=lambda a: (-len(rows[a]), a)):
         own = np.array(rows[left])
         if len(own) > 1:
-            some = places.integers(room, size=64)
-            while not (fits := ~taken[some[:, None] + own].any(axis=1)).any():
+            at = room + n
+            for _ in range(TRIES):
                 some = places.integers(room, size=64)
-            at = int(some[fits.argmax()])
+                fits = ~taken[some[:, None] + own].any(axis=1)
+                if fits.any():
+                    at = int(some[fits.argmax()])
+                    break
+            else:
+                taken, cells = np.append(taken, np.zeros(n, bool)), np.append(cells, np.full(n, n << 20))
+                room += n
         else:
             free = iter(np.flatnonzero(~taken).tolist()) if free is None else free
             at = next(free) - int(own[0])
@@ -180,16 +188,8 @@ def heap_merge(word: bytes, path: str) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _short_plans(spark: SparkSession) -> None:
-    """Plans' texts are cut off in this session, unless they are already: the rank map would stand in them many times over."""
-    now = spark.conf.get("spark.sql.maxPlanStringLength").removesuffix("b")
-    if now.isdigit() and int(now) > PLAN_TEXT:
-        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-
-
 def _folded(docs: DataFrame, path: str, text: str, keep: list[str] | None, *replaced: str):
     """`docs` with words' numbers and the ids of new words; a function from its batches to those of `kept` and ids; kept."""
-    _short_plans(docs.sparkSession)
     coded = with_codes(docs, text, keep, *replaced)
     folded = coded.withColumn("__new_ids", fold_words(F.col("__new"), path)).drop("__new")
     kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
@@ -227,14 +227,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
     text.  Repeated rows are encoded each; a column named ids is replaced.
     """
     folded, run, kept = _folded(docs, path, text, keep, "ids")
-    return folded.mapInArrow(releasing(run), ", ".join([*_fields(folded, kept), "ids array<int>"]))
+    return written(folded.mapInArrow(releasing(run), ", ".join([*_fields(folded, kept), "ids array<int>"])))
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """As encode(), and `decoded`, the bytes that decode() gives for the ids, in the worker that has put them together."""
     folded, run, kept = _folded(docs, path, text, keep, "ids", "decoded")
     both = lambda batches: decoded_batches(run(batches), path, [*kept, "ids"])
-    return folded.mapInArrow(releasing(both), ", ".join([*_fields(folded, kept), "ids array<int>, decoded binary"]))
+    return written(folded.mapInArrow(releasing(both), ", ".join([*_fields(folded, kept), "ids array<int>, decoded binary"])))
 
 
 def decoded_batches(batches: Iterable[pa.RecordBatch], path: str, kept: list[str], ids: str = "ids", to: str = "decoded") -> Iterator[pa.RecordBatch]:
@@ -282,4 +282,4 @@ def digests(docs: DataFrame, path: str, key: str, text: str = "text") -> DataFra
             sha = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in (texts, part["decoded"])]
             yield pa.record_batch([part[key], pa.array(np.diff(offsets)), *map(pa.array, sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return folded.mapInArrow(releasing(digest), ", ".join([*_fields(folded, kept), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"]))
+    return written(folded.mapInArrow(releasing(digest), ", ".join([*_fields(folded, kept), "n_tokens bigint, ids_sha256 string, decoded_sha256 string"])))
