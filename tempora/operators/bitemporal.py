@@ -14,7 +14,9 @@ from pyspark.sql.types import StructType
 
 from ..functions.guards import blank, code, first_code, is_sha256
 from ..functions.intervals import half_open
+from ..tables import written
 from .sequence import neighbours, stored_before
+from .sweeps import running, stabbed
 
 
 def is_eligible(available: Column, cutoff: Column) -> Column:
@@ -89,6 +91,53 @@ def as_valid_at(versions: DataFrame, valid: Column, known: Column, id: str = "do
     return _latest(versions.where(held), id, revision)
 
 
+def _held_at(versions: DataFrame, probes: DataFrame, id: str, known: str) -> DataFrame:
+    """`probes` with each version (as __version) of their id that the system held at `known`; a probe that met none has no row.
+
+    Versions and probes are swept in one order of time: a probe that lies in
+    one window only, the one that began last, has its answer from the sweep.
+    Windows that overlap leave others open, which a stabbing join answers.
+    """
+    window = [F.col("system_from").alias("__from"), F.col("system_to").alias("__to")]
+    held = versions.where(F.col("system_to").isNull() | (F.col("system_from") < F.col("system_to"))).select(id, *window, F.struct(*versions.columns).alias("__version"))
+    none = F.lit(None).cast(held.schema["__version"].dataType)
+    no_probe = F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("p")).schema["p"].dataType)
+    # at one instant: ends, starts, probes
+    starts = held.select(id, F.col("__from").alias("__t"), F.lit(1).alias("__kind"), F.lit(1).alias("__step"), "__to", "__version", no_probe.alias("__probe"))
+    ends = held.where("__to IS NOT NULL").select(id, F.col("__to").alias("__t"), F.lit(0).alias("__kind"), F.lit(-1).alias("__step"), F.lit(None).cast(held.schema["__to"].dataType).alias("__to"), none.alias("__version"), no_probe.alias("__probe"))
+    asked = probes.where(F.col(id).isNotNull() & F.col(known).isNotNull()).select(
+        id, F.col(known).alias("__t"), F.lit(2).alias("__kind"), F.lit(0).alias("__step"), F.lit(None).cast(held.schema["__to"].dataType).alias("__to"), none.alias("__version"), F.struct(*probes.columns).alias("__probe")
+    )
+    line = starts.unionByName(ends).unionByName(asked).withColumn("__id", F.monotonically_increasing_id())
+    began = F.when(F.col("__kind") == 1, F.struct("__to", "__version"))
+    swept = written(running(line, [id], ["__t", "__kind", "__id"], {"__depth": ("sum", F.col("__step").cast("long")), "__last": ("last", began)}).where("__kind = 2 AND __depth > 0").select("__probe", "__t", "__depth", "__last"))
+    to = F.col("__last")["__to"]
+    sure = (F.col("__depth") == 1) & (to.isNull() | (F.col("__t") < to))
+    told = swept.where(sure).select("__probe.*", F.col("__last")["__version"].alias("__version"))
+    open_ = swept.where(~sure).select("__probe.*")
+    return told.unionByName(stabbed(held, open_, id, "__from", "__to", known, closed=False).select(*probes.columns, "__version"))
+
+
+def _best(held: DataFrame, probes: list[str], id: str, revision: str) -> DataFrame:
+    best = held.groupBy(*probes).agg(F.max_by("__version", F.col("__version")[revision]).alias("__version"))
+    names = [c for c in held.schema["__version"].dataType.names if c not in probes]
+    return best.select(*probes, *[F.col("__version")[c].alias(c) for c in names])
+
+
+def as_known_at_each(versions: DataFrame, probes: DataFrame, id: str = "document_record_id", known: str = "known", revision: str = "revision_number") -> DataFrame:
+    """as_known_at for each probe (id, known): its row with the highest revision among those held then. Repeated probes are answered once; one that met none, or has a null, has no row."""
+    asked = probes.select(id, known).distinct()
+    return _best(_held_at(versions, asked, id, known), asked.columns, id, revision)
+
+
+def as_valid_at_each(versions: DataFrame, probes: DataFrame, id: str = "document_record_id", known: str = "known", valid: str = "valid", revision: str = "revision_number") -> DataFrame:
+    """as_valid_at for each probe (id, known, valid), likewise: among the rows held at `known` those valid at `valid`."""
+    asked = probes.select(id, known, valid).distinct()
+    held = _held_at(versions, asked, id, known)
+    v = F.col("__version")
+    return _best(held.where(half_open(v["valid_from"], v["valid_to"], F.col(valid))), asked.columns, id, revision)
+
+
 def eligible_at_cutoff(versions: DataFrame, cutoff: Column, id: str = "document_record_id", available: str = "available_time", order: str = "system_from") -> DataFrame:
     """Open rows that the cutoff admits, one an id: the one that was inserted last (by `order`)."""
     return _latest(versions.where(F.col("system_to").isNull() & is_eligible(F.col(available), cutoff)), id, order)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import code, finite, first_code
 from .sequence import ranked
+from .sweeps import running
 
 
 def paired(truth: DataFrame, recovered: DataFrame, key: str = "k") -> DataFrame:
@@ -108,20 +109,21 @@ def temporal_order_accuracy(rows: DataFrame, by: str, position: str = "i") -> Da
     No pairs are made: two ranks by truth differ first in one bit from the top,
     so a row goes once to each bit of its rank, and among the rows that share
     the bits above, those with a 0 and a smaller recovered value are counted
-    before those with a 1: n log n rows for n. InvalidInput for fewer than two
+    before those with a 1: n log n rows for n, in ranges of any key. InvalidInput for fewer than two
     rows or a value that isn't finite. `position` is not looked at.
     """
     t, r = F.col("truth").cast("double"), F.col("recovered").cast("double")
     own = rows.select(by, t.alias("t"), r.alias("r"))
     size = own.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~finite(F.col("t")) | ~finite(F.col("r"))).alias("bad"))
-    place = own.select(by, "r", (F.dense_rank().over(Window.partitionBy(by).orderBy("t")) - 1).cast("long").alias("rank"))
-    top = place.withColumn("top", F.max("rank").over(Window.partitionBy(by))).where("top > 0")
-    bits = top.select(by, "r", "rank", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("top").cast("double"))).cast("int"))).alias("bit"))
+    met = own.groupBy(by, "t", "r").agg(F.count(F.lit(1)).alias("c"))
+    levels = running(own.select(by, "t").distinct(), [by], ["t"], {"k": ("sum", F.lit(1).cast("long"))}, {"k": "levels"})
+    top = met.join(levels, [by, "t"]).select(by, "r", "c", (F.col("k") - 1).alias("rank"), (F.col("levels") - 1).alias("top")).where("top > 0")
+    bits = top.select(by, "r", "c", "rank", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("top").cast("double"))).cast("int"))).alias("bit"))
     one = F.expr("shiftright(rank, bit) & 1") == 1
-    cells = bits.groupBy(by, "bit", F.expr("shiftright(rank, bit + 1)").alias("above"), "r").agg(F.count_if(~one).alias("zeros"), F.count_if(one).alias("ones"))
-    before = F.sum("zeros").over(Window.partitionBy(by, "bit", "above").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
-    ordered = cells.select(by, (F.coalesce(before, F.lit(0)) * F.col("ones")).alias("pairs"))
-    ties = own.groupBy(by, "t", "r").agg(F.count(F.lit(1)).alias("c")).select(by, (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("pairs"))
+    cells = bits.groupBy(by, "bit", F.expr("shiftright(rank, bit + 1)").alias("above"), "r").agg(F.sum(F.when(one, F.lit(0)).otherwise(F.col("c"))).alias("zeros"), F.sum(F.when(one, F.col("c")).otherwise(F.lit(0))).alias("ones"))
+    below = running(cells, [by, "bit", "above"], ["r"], {"before": ("sum", F.col("zeros"))})
+    ordered = below.select(by, ((F.col("before") - F.col("zeros")) * F.col("ones")).alias("pairs"))
+    ties = met.select(by, (F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("pairs"))
     agreed = ordered.union(ties).groupBy(by).agg(F.sum("pairs").alias("agreed"))
     error = code((F.col("n") < 2) | (F.col("bad") > 0), "InvalidInput")
     share = F.col("agreed") / (F.col("n").cast("double") * (F.col("n") - 1) / 2)
@@ -136,11 +138,12 @@ def summarize_replications(samples: DataFrame, low: float, high: float, by: str
     x, zero = F.col(value).cast("double"), F.lit(0).cast("double")
     s = samples.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), zero).alias("sd"), F.count_if(~finite(x)).alias("bad"))
     if by:
-        own = F.row_number().over(Window.partitionBy(by).orderBy(x))
-        places = samples.select(by, x.alias("x"), own.alias("rank"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("size"))
+        held = samples.select(by, x.alias("x")).groupBy(by, "x").agg(F.count(F.lit(1)).alias("c"))
+        places = running(held, [by], ["x"], {"rank": ("sum", F.col("c"))}, {"rank": "size"})
     else:  # ranks over the whole table, which no task holds
         places = ranked(samples.select(x.alias("x")), "x").select("x", (F.col("k") + 1).alias("rank")).crossJoin(s.select(F.col("n").alias("size")))  # one row
-    pick = lambda p: F.max(F.when(F.col("rank") == F.greatest(F.ceil(F.lit(p) * F.col("size")), F.lit(1)), F.col("x")))
+    # the least value whose rows reach the rank
+    pick = lambda p: F.min(F.when(F.col("rank") >= F.greatest(F.ceil(F.lit(p) * F.col("size")), F.lit(1)), F.col("x")))
     q = places.groupBy(*group).agg(pick(low).alias("low"), pick(high).alias("high"))
     both = s.join(q, by) if by else s.join(q, F.lit(True))  # one row each
     error = code((F.col("n") == 0) | (F.col("bad") > 0), "InvalidInput")

@@ -46,6 +46,12 @@ ORACLE_SQL: dict[str, str] = {
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY revision DESC) AS rn FROM versions WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to)) WHERE rn = 1""",
     "bitemporal_as_valid_at": f"""WITH {_VERSIONS} SELECT user_id, event_id, revision FROM versions
       WHERE system_from <= {_MID} AND (system_to IS NULL OR {_MID} < system_to) AND {_MID} < system_from + INTERVAL 1 DAY""",
+    "bitemporal_as_known_at_each": f"""WITH {_VERSIONS}, p AS (SELECT DISTINCT user_id, ts + INTERVAL 36 HOURS AS known FROM events)
+      SELECT p.user_id, p.known::DATE AS known, v.event_id, v.revision FROM p ASOF JOIN versions v ON p.user_id = v.user_id AND p.known >= v.system_from WHERE v.system_to IS NULL OR p.known < v.system_to""",
+    "bitemporal_as_valid_at_each": f"""WITH {_VERSIONS}, w AS (SELECT * REPLACE (CASE WHEN value > 50 THEN system_to + INTERVAL 2 DAYS ELSE system_to END AS system_to) FROM versions),
+      p AS (SELECT DISTINCT user_id, ts + INTERVAL 36 HOURS AS known, ts + INTERVAL 30 HOURS AS valid FROM events)
+      SELECT p.user_id, p.known::DATE AS known, arg_max(event_id, revision) AS event_id, max(revision) AS revision FROM p JOIN w ON p.user_id = w.user_id AND system_from <= known AND (system_to IS NULL OR known < system_to)
+        AND system_from <= valid AND valid < system_from + INTERVAL 1 DAY GROUP BY p.user_id, p.known, p.valid""",
     "bitemporal_eligible_at_cutoff": f"WITH {_VERSIONS} SELECT user_id, event_id FROM versions WHERE system_to IS NULL AND system_from <= (SELECT make_timestamp(epoch_us(max(ts)) - (epoch_us(max(ts)) - epoch_us(min(ts))) // 50) FROM events)",
     "bitemporal_replay": "SELECT user_id, count(*) AS n, count(*) AS last, 1::BIGINT AS open FROM events GROUP BY user_id",
     "cutoff_snapshot": f"""SELECT CASE WHEN late THEN 'UnavailableAtCutoff' WHEN k > 1 THEN 'DuplicateDocument' ELSE 'eligible' END AS outcome, count(*) AS n, sum(event_id)::BIGINT AS ids
@@ -63,6 +69,10 @@ ORACLE_SQL: dict[str, str] = {
     "membership_active": f"WITH {_MEMBERS} SELECT member_id, count(DISTINCT group_id) AS multiplicity FROM m WHERE {_AT} BETWEEN valid_from AND valid_to GROUP BY member_id",
     "membership_weight_by_role": f"WITH {_MEMBERS} SELECT member_id, role, round(sum(weight), 2) AS weight FROM m WHERE {_AT} BETWEEN valid_from AND valid_to GROUP BY ALL",
     "membership_active_for": f"WITH {_MEMBERS}, t AS (SELECT DISTINCT member_id, valid_from AS at FROM m) SELECT m.member_id, count(*) AS n FROM m JOIN t ON m.member_id = t.member_id AND t.at BETWEEN valid_from AND valid_to GROUP BY 1",
+    "membership_multiplicity_each": f"""WITH {_MEMBERS}, t AS (SELECT DISTINCT member_id, valid_from + INTERVAL 21 DAYS AS at FROM m)
+      SELECT t.member_id, t.at::DATE AS at, count(DISTINCT group_id) AS multiplicity FROM t LEFT JOIN m ON m.member_id = t.member_id AND t.at BETWEEN valid_from AND valid_to GROUP BY t.member_id, t.at""",
+    "membership_weight_each": f"""WITH {_MEMBERS}, t AS (SELECT DISTINCT member_id, valid_from + INTERVAL 21 DAYS AS at FROM m)
+      SELECT t.member_id, role, t.at::DATE AS at, round(sum(weight), 2) AS weight FROM t JOIN m ON m.member_id = t.member_id AND t.at BETWEEN valid_from AND valid_to GROUP BY t.member_id, role, t.at""",
     "membership_errors": f"WITH {_MEMBERS} SELECT CASE WHEN c > 1 THEN 'DuplicateMembership' ELSE 'ok' END AS outcome, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY member_id, group_id, role ORDER BY valid_from, valid_to, weight) AS c FROM m) GROUP BY 1",
     "kish_ess": "SELECT o_custkey AS customer, round(sum(o_totalprice) * sum(o_totalprice) / sum(o_totalprice * o_totalprice), 6) AS ess, round(count(*) / (sum(o_totalprice) * sum(o_totalprice) / sum(o_totalprice * o_totalprice)), 6) AS design_effect FROM orders GROUP BY 1",
     "group_normalized_kish": "SELECT round(power(sum(w), 2) / sum(w * w), 3) AS ess FROM (SELECT o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey) AS w FROM orders)",

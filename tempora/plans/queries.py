@@ -55,6 +55,24 @@ def as_valid_at(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.as_valid_at(v, at, at, "user_id", "revision").select("user_id", "event_id", "revision")
 
 
+def _probes(spark: SparkSession, d: str) -> DataFrame:
+    """Each event asks about its user: as known 36 hours later, valid 30 hours later."""
+    return table(spark, d, "events").select("user_id", (F.col("ts") + F.expr("INTERVAL 36 HOURS")).alias("known"), (F.col("ts") + F.expr("INTERVAL 30 HOURS")).alias("valid"))
+
+
+def as_known_at_each(spark: SparkSession, d: str) -> DataFrame:
+    v = bitemporal.as_known_at_each(versions(spark, d), _probes(spark, d), "user_id", revision="revision")
+    return v.select("user_id", F.col("known").cast("date").alias("known"), "event_id", "revision")
+
+
+def as_valid_at_each(spark: SparkSession, d: str) -> DataFrame:
+    """Versions are valid for a day from their event on, and events that weigh more than 50 stay open for two: windows of the system time that overlap."""
+    late = F.when(F.col("value") > 50, F.col("system_to") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("system_to"))
+    v = versions(spark, d).withColumns({"system_to": late, "valid_from": F.col("system_from"), "valid_to": F.col("system_from") + F.expr("INTERVAL 1 DAY")})
+    v = bitemporal.as_valid_at_each(v, _probes(spark, d), "user_id", revision="revision")
+    return v.select("user_id", F.col("known").cast("date").alias("known"), "event_id", "revision")
+
+
 def eligible(spark: SparkSession, d: str) -> DataFrame:
     """The cutoff lies before the last fiftieth of the events' time, which some users' open rows are in."""
     late = table(spark, d, "events").agg((F.max("ts") - (F.max("ts") - F.min("ts")) / 50).alias("at")).scalar()
@@ -165,6 +183,21 @@ def membership_active_for(spark: SparkSession, d: str) -> DataFrame:
     return membership.active_for(m, moments).groupBy("member_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _moments(spark: SparkSession, d: str) -> DataFrame:
+    """A member's moments: three weeks after each of their orders begins."""
+    return _memberships(spark, d).select("member_id", (F.col("valid_from") + F.expr("INTERVAL 21 DAYS")).alias("at")).distinct()
+
+
+def membership_multiplicity_each(spark: SparkSession, d: str) -> DataFrame:
+    m = membership.multiplicity_at(_memberships(spark, d), _moments(spark, d))
+    return m.select("member_id", F.col("at").cast("date").alias("at"), "multiplicity")
+
+
+def membership_weight_each(spark: SparkSession, d: str) -> DataFrame:
+    w = membership.weight_by_role_at(_memberships(spark, d), _moments(spark, d))
+    return w.select("member_id", "role", F.col("at").cast("date").alias("at"), _r(F.col("weight"), "weight", 2))
+
+
 def membership_errors(spark: SparkSession, d: str) -> DataFrame:
     m = membership.network_error(_memberships(spark, d).withColumn("seq", F.struct("valid_from", "valid_to", "weight")), "seq").withColumnRenamed("error_code", "network")
     return m.groupBy(F.coalesce(membership.assignment_error(), F.col("network"), F.lit("ok")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -405,6 +438,8 @@ def field_guards(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "bitemporal_as_known_at": as_known_at,
     "bitemporal_as_valid_at": as_valid_at,
+    "bitemporal_as_known_at_each": as_known_at_each,
+    "bitemporal_as_valid_at_each": as_valid_at_each,
     "bitemporal_eligible_at_cutoff": eligible,
     "bitemporal_replay": version_replay,
     "cutoff_snapshot": cutoff_snapshot,
@@ -419,6 +454,8 @@ QUERIES: dict[str, Query] = {
     "membership_active": membership_active,
     "membership_weight_by_role": membership_weight_by_role,
     "membership_active_for": membership_active_for,
+    "membership_multiplicity_each": membership_multiplicity_each,
+    "membership_weight_each": membership_weight_each,
     "membership_errors": membership_errors,
     "kish_ess": kish_ess,
     "group_normalized_kish": group_normalized_kish,
