@@ -5,8 +5,9 @@ mean word length, symbols a word, share of repeated lines, share of repeated
 windows.  Each (language, source), each language, and all documents together
 have a centre and a scatter by the minimum covariance determinant: from three
 deterministic starts, concentration steps over *all* documents re-estimate both
-from the SUBSET share that lies nearest, until no determinant falls any more;
-the start with the least determinant is taken, and its estimates are made anew
+from the SUBSET share that lies nearest, until no determinant falls any more (a
+step that lets a group's determinant rise, as documents equally near may, is
+not taken, or two subsets could follow each other without end); the start with the least determinant is taken, and its estimates are made anew
 from the documents within the REWEIGHT quantile.  As most statistics of clean
 prose are nearly constant, determinants are those of the scatter and FLOOR's.
 
@@ -25,7 +26,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -198,15 +199,20 @@ def _started(frames):
             d = np.sqrt(np.maximum(np.diag(c), 1e-12))
             yield centre, c / np.outer(d, d) * np.outer(spread, spread)
 
-    for frame in frames:
-        yield _rows(frame, estimates)
+    for frame in frames:  # no documents have these determinants: the first step is taken in any case
+        yield _rows(frame, estimates).assign(**{f"det{k}": np.inf for k in range(STARTS)})
 
 
 def _stepped(frames):
-    """Estimates from sums over the nearest documents, and how much the determinants fell."""
+    """Estimates from sums over the nearest documents where the determinant falls, those before where it doesn't; and how much the determinants fell."""
     for frame in frames:
         out = _rows(frame, lambda r: (_scatter(r[f"n{k}"], r[f"sums{k}"], r[f"products{k}"]) for k in range(STARTS)))
-        falls = [frame[f"before_det{k}"].to_numpy() - out[f"det{k}"].to_numpy() for k in range(STARTS)]
+        falls = []
+        for k in range(STARTS):
+            fall = (frame[f"det{k}"] - out[f"det{k}"]).clip(lower=0.0)
+            for name in ("centre", "scatter", "inverse", "det"):
+                out[f"{name}{k}"] = out[f"{name}{k}"].where(fall > 0, frame[f"{name}{k}"])
+            falls.append(fall.to_numpy())
         yield out.assign(fall=np.max(falls, axis=0) if len(out) else [])
 
 
@@ -229,17 +235,17 @@ def fit(vectors: DataFrame) -> DataFrame:
     now = written(start.mapInPandas(_started, _ESTIMATES))
     for _ in range(STEPS):
         d = [distance(F.col(f"centre{k}"), F.col(f"inverse{k}")) for k in range(STARTS)]
-        dets = [f"det{k}" for k in range(STARTS)]
-        measured = vectors.join(sized(now), "__group").select("__group", "n", *dets, *X, *[F.round(F.log1p(F.greatest(x, F.lit(0.0))), DIGITS).alias(f"d{k}") for k, x in enumerate(d)])
+        measured = vectors.join(sized(now.drop("n", *[f"{name}{k}" for name in ("scatter", "det") for k in range(STARTS)])), "__group").select("__group", *X, *[F.round(F.log1p(F.greatest(x, F.lit(0.0))), DIGITS).alias(f"d{k}") for k, x in enumerate(d)])
         limits = measured.groupBy("__group").agg(*[nth(f"d{k}", SUBSET).alias(f"q{k}") for k in range(STARTS)])
         near = measured.join(sized(limits), "__group")
         sums = []
         for k in range(STARTS):
             inside = lambda x, k=k: F.sum(F.when(F.col(f"d{k}") <= F.col(f"q{k}"), x))
             sums += [inside(F.lit(1)).alias(f"n{k}"), F.array(*[inside(F.col(x)) for x in X]).alias(f"sums{k}"), F.array(*[inside(F.col(X[i]) * F.col(X[j])) for i, j in _PAIRS]).alias(f"products{k}")]
-        before = [F.first(c).alias(f"before_{c}") for c in dets]
-        after = written(near.groupBy("__group").agg(F.first("n").alias("n"), *before, *sums).mapInPandas(_stepped, f"{_ESTIMATES}, fall double"))
-        most, now = after.agg(F.max("fall")).first()[0], after.drop("fall")
+        falls = Observation()
+        both = near.groupBy("__group").agg(*sums).join(sized(now), "__group")
+        after = written(both.mapInPandas(_stepped, f"{_ESTIMATES}, fall double").observe(falls, F.max("fall").alias("most")))
+        most, now = falls.get.get("most"), after.drop("fall")
         if most is None or most < FALL:
             break
     best = F.array_min(F.array(*[F.struct(F.col(f"det{k}").alias("det"), F.lit(k).alias("k"), F.col(f"centre{k}").alias("centre"), F.col(f"scatter{k}").alias("scatter"), F.col(f"inverse{k}").alias("inverse")) for k in range(STARTS)]))

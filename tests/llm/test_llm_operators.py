@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -470,6 +471,22 @@ def test_outliers_of_a_source_go(spark):
     assert {r.doc_id for r in out if not r.kept} == {1000 + i for i in range(20)}
 
 
+def test_a_step_to_a_larger_determinant_is_not_taken():
+    """Of two groups one would go back and forth between two subsets; its estimates stay and it counts as ended."""
+    rng = np.random.default_rng(4)
+    frame = {"__group": ["rises", "falls"], "n": [9, 9]}
+    for k in range(quality.STARTS):
+        data = [rng.normal(0, 0.3, (9, quality.P)) for _ in range(2)]
+        frame |= {f"n{k}": [9, 9], f"sums{k}": [list(x.sum(0)) for x in data], f"products{k}": [list((x.T @ x)[quality._U]) for x in data]}
+        frame |= {f"{name}{k}": [[1.0] * quality.P if name == "centre" else [2.0] * len(quality._PAIRS)] * 2 for name in ("centre", "scatter", "inverse")}
+        frame[f"det{k}"] = [-50.0, 50.0]
+    (out,) = quality._stepped([pd.DataFrame(frame)])
+    assert out["fall"][0] == 0 and out["fall"][1] > 0
+    for k in range(quality.STARTS):
+        assert list(out[f"centre{k}"][0]) == [1.0] * quality.P and out[f"det{k}"][0] == -50
+        assert list(out[f"centre{k}"][1]) == pytest.approx([x / 9 for x in frame[f"sums{k}"][1]]) and out[f"det{k}"][1] < 50
+
+
 def test_outliers_by_exhaustive_determinants(spark):
     """The verdicts of the subset with the least determinant among all subsets."""
     floor, p = np.diag(np.square(quality.FLOOR)), quality.P
