@@ -14,7 +14,7 @@ from . import words as W
 from .frames import releasing
 from .pieces import Kinds, split, tiktoken_kinds
 
-#: Distinct words, and their characters, that a task remembers before it starts its dictionary anew.
+#: Distinct words, and their characters, that a task or worker remembers before it starts its dictionary anew.
 MAX_WORDS, MAX_CHARACTERS = 600_000, 30_000_000
 #: Bytes of text handled at a time, and ids put together at a time.
 TEXT_BYTES, IDS = 2_000_000, 500_000
@@ -48,13 +48,13 @@ class Coder:
         return number[coded.indices.to_numpy(zero_copy_only=False)], new, anew
 
 
-def coded_batches(batches: Iterable[pa.RecordBatch], text: str, kinds: Kinds, added: Sequence[str] = ()) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], bool]]:
+def coded_batches(batches: Iterable[pa.RecordBatch], text: str, kinds: Kinds, added: Sequence[str] = (), coder: Coder | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], bool]]:
     """Of a few rows at a time: the rows, the numbers of their words, how many words each has, the words first met here, and whether the numbers begin anew.
 
     A number is a word's place in the list of all new words up to and with
-    these, since the numbers began anew.
+    these, since the numbers began anew.  coder: one that knows words already.
     """
-    coder = Coder()
+    coder = coder or Coder()
     for batch in batches:
         for at, texts in W.pieces(batch[text], TEXT_BYTES):
             words, counts = split(texts, kinds, added)

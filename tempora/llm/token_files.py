@@ -10,7 +10,6 @@ order of the key over `file` and `segment`, nulls first.
 from __future__ import annotations
 
 import functools
-import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..tables import shared_dir
 from . import simple8b
-from .dictionary import Dictionary, assembled, coded_batches
+from .dictionary import Coder, Dictionary, assembled, coded_batches
 from .frames import releasing
 from .pieces import tokenizers_kinds
 
@@ -33,7 +32,9 @@ BROADCAST_FILES = 1_000_000
 #: Ids that a reader decodes at a time.
 READ = 200_000
 #: Words handed to the tokenizer at a time.
-BATCH = 250
+BATCH = 1_000
+#: Of a tokenizer's path the words, and their ids, that this worker knows: Spark hands it one task after the other.
+_known: dict[str, tuple[Coder, Dictionary]] = {}
 
 
 @functools.lru_cache(maxsize=2)
@@ -57,10 +58,45 @@ def _matches_tokenizer(path: str):
     return out
 
 
-def _ids(words: list[str], path: str) -> list[list[int]]:
-    """The library's ids of each word."""
-    library = _matches_tokenizer(path)
-    return [x.ids for at in range(0, len(words), BATCH) for x in library.encode_batch_fast(words[at : at + BATCH], add_special_tokens=False)]
+@functools.lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray | None:
+    """How many bytes of a text each id stands for, where the ids of a word stand for its bytes and no others (else None)."""
+    from tokenizers import models, pre_tokenizers
+
+    whole = _tokenizer(path)
+    if type(whole.pre_tokenizer) is not pre_tokenizers.ByteLevel or whole.pre_tokenizer.add_prefix_space or whole.normalizer is not None or type(whole.model) is not models.BPE:
+        return None
+    vocabulary = whole.get_vocab(with_added_tokens=False)
+    if not vocabulary.keys() >= set(pre_tokenizers.ByteLevel.alphabet()):
+        return None
+    added = {i: len(t.content.encode()) for i, t in whole.get_added_tokens_decoder().items()}
+    out = np.zeros(1 + max([*vocabulary.values(), *added]), np.int64)
+    out[list(vocabulary.values())] = list(map(len, vocabulary))  # a character of these is a byte
+    out[list(added)] = list(added.values())
+    return out
+
+
+def _ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of the words, each encoded by itself, one after the other; and how many each has."""
+    library, size = _matches_tokenizer(path), _token_bytes(path)
+    ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), BATCH):
+        some = words[at : at + BATCH]
+        if size is None:
+            lists = [x.ids for x in library.encode_batch_fast(some, add_special_tokens=False)]
+            ids.append(np.array([i for x in lists for i in x], np.int32))
+            lengths.append(np.array(list(map(len, lists)), np.int64))
+            continue
+        (found,) = library.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)  # each word by itself, in one list
+        own = np.array(found.ids, np.int32)
+        word_ends = np.cumsum(pc.binary_length(pa.array(some, pa.string())).to_numpy().astype(np.int64))
+        id_ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[own])])
+        edges = np.searchsorted(id_ends, word_ends)
+        if not np.array_equal(id_ends[np.minimum(edges, len(own))], word_ends) or edges[-1] != len(own):
+            raise ValueError("ids don't stand for the bytes of their words")
+        ids.append(own)
+        lengths.append(np.diff(edges, prepend=0))
+    return np.concatenate(ids), np.concatenate(lengths)
 
 
 def _added_tokens(path: str) -> list[str]:
@@ -73,22 +109,23 @@ def _added_tokens(path: str) -> list[str]:
 
 def _encoded(batches: Iterable[pa.RecordBatch], path: str, text: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
     """Rows, a few at a time, and their ids."""
-    known = Dictionary()
-    for part, codes, counts, new, anew in coded_batches(batches, text, tokenizers_kinds(), _added_tokens(path)):
+    coder, known = _known.pop(path, None) or (Coder(), Dictionary())  # what a task that failed leaves isn't used again
+    for part, codes, counts, new, anew in coded_batches(batches, text, tokenizers_kinds(), _added_tokens(path), coder):
         if anew:
             known = Dictionary()
-        ids = _ids(new, path)
-        known.add(np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        known.add(*_ids(new, path))
         for at, lists in assembled(codes, counts, known, end):
             yield part.slice(at, len(lists)), lists
+    _known.clear()  # one tokenizer's at most
+    _known[path] = coder, known
 
 
 def tokenize(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, end: int | None = None) -> DataFrame:
     """`keep` (None: all columns) and `ids` by the tokenizers library's byte-level file at `path`, no special tokens put in, `end` after each document.
 
     The library's merges never cross its pattern's matches nor its added tokens,
-    so it is handed each distinct match and token of a task once.  Null or empty
-    texts have no ids but `end`.  A column named ids is replaced.
+    so it is handed each distinct match and token of a worker's tasks once (until
+    the worker knows MAX_WORDS and starts anew).  Null or empty texts have no ids but `end`.  A column named ids is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))

@@ -263,6 +263,26 @@ def test_token_files(spark, docs, tmp_path):
         at += len(ids)
 
 
+def test_words_of_a_worker_are_encoded_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, asked, ids = public_tokenizers.path("byte_bpe_50k.json"), [], token_files._ids
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_files, "_ids", lambda words, path: (asked.extend(words), ids(words, path))[1])
+    monkeypatch.setattr(token_files, "_known", {})
+    monkeypatch.setattr(token_files, "BATCH", 7)
+    texts = [*TEXTS, "<|endoftext|> a<|endoftext|>  é日本\u0000\n\n"]
+    for task in (texts, texts[::-1], [*texts, "unheard-of"]):
+        got = token_files._encoded([pa.record_batch({"t": pa.array(task, pa.string())})], path, "t", None)
+        assert [x for _, lists in got for x in lists.to_pylist()] == [lib.encode(t or "", add_special_tokens=False).ids for t in task]
+    assert len(asked) == len(set(asked)) and asked[-3:] == ["unheard", "-", "of"]
+    left = token_files._encoded([pa.record_batch({"t": pa.array(["new words"], pa.string())})], path, "t", None)
+    next(left)  # a task that ends early leaves nothing behind
+    left.close()
+    assert not token_files._known
+
+
 def test_token_files_take_added_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
