@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import mmap
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ def is_held_out(key: Column, folds: int = 7, fold: int = 2) -> Column:
 
 def pack(a: np.ndarray) -> bytes:
     """An array's bytes, those of one weight together, compressed."""
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T))
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
@@ -70,8 +71,8 @@ def _messages(rows: list[tuple[int, int, str, list[bytes]]]) -> pa.Table:
 
 
 def _of(table: pa.Table, kind: str) -> list[tuple[int, int, list[bytes]]]:
-    rows = zip(*(table[c].to_pylist() for c in ("block", "part", "kind", "data")), strict=True)
-    return sorted(((b, p, d) for b, p, k, d in rows if k == kind), key=lambda r: r[:2])
+    own = table.filter(pc.equal(table["kind"], kind))
+    return sorted(zip(*(own[c].to_pylist() for c in ("block", "part", "data")), strict=True), key=lambda r: r[:2])
 
 
 class MappedArrays:
@@ -105,7 +106,7 @@ def _bounds(parts: int) -> np.ndarray:
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys and their counts added up, in whole numbers."""
     every = np.concatenate([np.zeros(0, keys[0].dtype if keys else _U), *keys])
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     every, total = every[order], np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for x in counts)])[order]
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
     return every[first], np.add.reduceat(total, first) if len(first) else total
@@ -126,18 +127,21 @@ def _packed(parts: int, want: str):
         w = W.words_of(pa.chunked_array(texts), W.SPACED, True)
         stream = np.insert(w.hash, w.first[1:], END)
         length = w.counts + 1
-        own, inverse = np.unique(stream, return_inverse=True)
         out = np.concatenate([x.to_numpy(zero_copy_only=False) for x in held])
         if want == "docs":
+            at, inverse = _distinct(stream)
             every = pa.concat_arrays(ids)
             lists = {"ids": every, "held": pa.array(out), "length": pa.array(length, pa.int64())}
             cells = {k: pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), v) for k, v in lists.items()}
-            frequent = np.argsort(-np.bincount(inverse, minlength=len(own)), kind="stable").astype(np.uint32)  # small codes for frequent words
-            code = np.empty(len(own), np.uint32)
-            code[frequent] = np.arange(len(own), dtype=np.uint32)
+            frequent = np.argsort(-np.bincount(inverse, minlength=len(at)), kind="stable").astype(np.uint32)  # small codes for frequent words
+            code = np.empty(len(at), np.uint32)
+            code[frequent] = np.arange(len(at), dtype=np.uint32)
             packed = {k: pa.array([pack(v)], pa.binary()) for k, v in (("stream", code[inverse]), ("codes", frequent))}
             return pa.record_batch({"block": pa.array([number], pa.int64()), **cells, **packed})
-        counts = np.bincount(inverse[np.repeat(~out, length)], minlength=len(own)).astype(np.uint32)
+        learnt = np.sort(stream[np.repeat(~out, length)])  # values alone are sorted much faster than places
+        own = np.sort(stream)
+        own = own[_run_starts([own])]
+        counts = (np.searchsorted(learnt, own, side="right") - np.searchsorted(learnt, own)).astype(np.uint32)
         edges = np.append(np.searchsorted(own, _bounds(parts)), len(own))
         rows = [(number, p, "ask", [own[a:b].tobytes(), pack(counts[a:b])]) for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return _messages(rows).combine_chunks().to_batches()[0]
@@ -205,22 +209,36 @@ def _key(node: np.ndarray, word: np.ndarray) -> np.ndarray:
     return node.astype(_U) << _U(32) | word.astype(_U)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in ascending order; and which of them each key is."""
+    order = np.argsort(keys)
+    new = _run_starts([keys[order]])
+    ids = np.empty(len(keys), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return order[new], ids
+
+
 def _dense(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct row, in the order of the rows' words; and which of them each row is."""
     ids = columns[0]
     if len(columns) == 1:
-        ids = np.unique(ids, return_inverse=True)[1]
+        return _distinct(ids)
     for c in columns[1:]:
-        ids = np.unique(_key(ids, c), return_inverse=True)[1]
-    at = np.empty(int(ids.max()) + 1 if len(ids) else 0, np.int64)
-    at[ids] = np.arange(len(ids))
+        at, ids = _distinct(_key(ids, c))
     return at, ids
 
 
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """The order by part, which keeps that of rows of one part; 16-bit numbers are sorted by their digits."""
+    return np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+
+
 def _run_starts(context: list[np.ndarray]) -> np.ndarray:
     """Whether a row, of rows whose equal contexts stand together, is the first of its context."""
     new = np.ones(len(context[0]), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in context], axis=0)
+    new[1:] = context[0][1:] != context[0][:-1]
+    for c in context[1:]:
+        new[1:] |= c[1:] != c[:-1]
     return new
 
 
@@ -253,9 +271,10 @@ class _Block:
             context = np.concatenate([np.zeros(1, node.dtype), node[:-1]])
             context[self.first] = BEGIN
             at, inverse = _dense([context, w])
-            columns = [named[np.where(before[at] >= j, w[np.maximum(at - j, 0)], BEGIN)] for j in range(n - 1, -1, -1)]
+            inside = before[at]
+            columns = [named[np.where(inside >= j, w[np.maximum(at - j, 0)], BEGIN)] for j in range(n - 1, 0, -1)] + [named[w[at]]]
             part = owner(columns, parts)
-            ordered = np.argsort(part, kind="stable")
+            ordered = _by_part(part, parts)
             place = np.empty(len(ordered), np.int64)
             place[ordered] = np.arange(len(ordered))
             self.grams[n] = [c[ordered] for c in columns], place[inverse], np.searchsorted(part[ordered], np.arange(parts + 1))
@@ -276,18 +295,21 @@ def _ask_grams(docs: pa.Table, told: pa.Table, parts: int, order: int) -> pa.Tab
 
 
 class _Grams:
-    """A part's n-grams: a chain of sorted arrays from word to word, the last with counts; and statistics of the contexts."""
+    """A part's n-grams, distinct and in the order of their words: a chain of sorted arrays from word to word, the last with counts; and statistics of the contexts."""
 
     def __init__(self, columns: list[np.ndarray], counts: np.ndarray):
         node, self.steps = columns[0], []
         for c in columns[1:-1]:
-            keys, inverse = np.unique(_key(node, c), return_inverse=True)
+            keys = _key(node, c)
+            new = _run_starts([keys])
+            keys = keys[new]
             self.steps.append(MappedArrays(keys, node=np.arange(1, len(keys) + 1, dtype=_U)))
-            node = inverse + 1
+            node = np.cumsum(new)
         keys = _key(node, columns[-1])
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first, start = np.unique(keys >> _U(32), return_index=True)
+        if not (keys[1:] > keys[:-1]).all():
+            raise ValueError("n-grams must stand in the order of their words")
+        start = np.flatnonzero(_run_starts([keys >> _U(32)]))
+        first = keys[start] >> _U(32)
         sums = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         self.counts = MappedArrays(keys, count=counts)
         self.heads = MappedArrays(first, total=sums(counts), n1=sums(counts == 1), n2=sums(counts == 2), n3=sums(counts > 2))
@@ -300,15 +322,31 @@ class _Grams:
         return [*self.counts.get(_key(node, columns[-1]), "count"), *self.heads.get(node[_run_starts(columns[:-1])], "total", "n1", "n2", "n3")]
 
 
-def _counted(sources: list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct n-grams of all sources with their counts added up, those that were counted at all."""
+def _added(sources: list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct n-grams of all sources in the order of their words, with their counts added up; and which of them each row of the sources is."""
     columns = [np.concatenate([np.zeros(0, np.uint32), *(c[j] for c, _ in sources)]) for j in range(n)]
     at, ids = _dense(columns)
-    order = np.argsort(ids, kind="stable")
-    counts = np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for _, x in sources)])[order]
-    first = np.searchsorted(ids[order], np.arange(len(at)))
-    counts = np.add.reduceat(counts, first) if len(at) else counts[:0]
-    return [c[at[counts > 0]] for c in columns], counts[counts > 0]
+    # sums below 2**53 are whole numbers in doubles too
+    counts = np.bincount(ids, weights=np.concatenate([np.zeros(0, np.int64), *(x.astype(np.int64) for _, x in sources)]), minlength=len(at)).astype(np.int64)
+    return [c[at] for c in columns], counts, ids.astype(np.int32)
+
+
+def _counted(sources: list[tuple[list[np.ndarray], np.ndarray]], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of all sources with their counts added up, those that were counted at all."""
+    columns, counts, _ = _added(sources, n)
+    return [c[counts > 0] for c in columns], counts[counts > 0]
+
+
+def _at_places(columns: list[np.ndarray], counts: np.ndarray, ids: np.ndarray, keys: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """What _Grams.get() says of each of `keys`, whose rows, one after the other, are the n-grams `ids` of `columns`."""
+    context = np.cumsum(_run_starts(columns[:-1])) - 1
+    n = int(context[-1]) + 1 if len(context) else 0
+    heads = [np.bincount(context, weights=x, minlength=n).astype(np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
+    edges = np.cumsum([0, *(len(k[0]) for k in keys)])
+    for k, a, b in zip(keys, edges, edges[1:], strict=False):
+        own = ids[a:b]
+        of = context[own[_run_starts(k[:-1])]]
+        yield [counts[own], *(h[of] for h in heads)]
 
 
 def _unpacked(data: list[bytes], n: int) -> list[np.ndarray]:
@@ -323,7 +361,7 @@ def _ends(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.ndarr
 
 def _dealt(block: int, kind: str, to: np.ndarray, columns: list[np.ndarray], parts: int) -> list[tuple[int, int, str, list[bytes]]]:
     """A message to each part in `to` with its rows of the columns."""
-    ordered = np.argsort(to, kind="stable")
+    ordered = _by_part(to, parts)
     edges = np.searchsorted(to[ordered], np.arange(parts + 1))
     return [(block, p, kind, [pack(c[ordered[x:y]]) for c in columns]) for p, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
 
@@ -334,13 +372,18 @@ def _answer_grams(group: pa.Table, n: int, order: int, parts: int) -> pa.Table:
     asked, told = _of(group, f"ask{n}"), _of(group, f"ends{n}")
     later = group.filter(pc.is_in(group["kind"], pa.array([f"ask{k}" for k in range(3, n)], pa.string())))
     keys = [_unpacked(d, n) for _, _, d in asked]
-    sources = [(k, unpack(d[n], np.uint32)) for k, (_, _, d) in zip(keys, asked, strict=True)] if n == order else [(_unpacked(d, n), unpack(d[n], np.int64)) for _, _, d in told]
-    columns, counts = _counted(sources, n)
-    del sources
     # with two words before the beginning it is none, but the n-gram without the first keeps its count
-    none = (columns[0] == BEGIN) & (columns[1] == BEGIN)
-    model = _Grams([c[~none] for c in columns], counts[~none])
-    rows = [(b, part, f"gram{n}", [pack(x) for x in model.get(own)]) for (b, _, _), own in zip(asked, keys, strict=True)]
+    if n == order:  # what is asked for is what is counted: no need to look it up
+        columns, counts, ids = _added([(k, unpack(d[n], np.uint32)) for k, (_, _, d) in zip(keys, asked, strict=True)], n)
+        none = (columns[0] == BEGIN) & (columns[1] == BEGIN)
+        answers = _at_places(columns, np.where(none, 0, counts), ids, keys)
+        columns, counts, none = [c[counts > 0] for c in columns], counts[counts > 0], none[counts > 0]
+    else:
+        columns, counts = _counted([(_unpacked(d, n), unpack(d[n], np.int64)) for _, _, d in told], n)
+        none = (columns[0] == BEGIN) & (columns[1] == BEGIN)
+        model = _Grams([c[~none] for c in columns], counts[~none])
+        answers = map(model.get, keys)
+    rows = [(b, part, f"gram{n}", [pack(x) for x in own]) for (b, _, _), own in zip(asked, answers, strict=True)]
     rows.append((-1, part, f"grams{n}", [_histogram(counts[~none])]))
     second, ends = _ends(columns, np.where(none, counts, 1))
     if n > 3:
@@ -358,8 +401,9 @@ def _answer_twos(part: int, columns: list[np.ndarray], counts: np.ndarray, asked
     rows += _dealt(-1, "ends2", owner(own, parts), [*own, counts[hot]], parts)
     model = _arrays([c[~hot] for c in columns], counts[~hot])
     for block, k in asked:
-        at, _ = _dense(k)
-        k = [c[at] for c in k]
+        keys = np.sort(_key(*k))
+        keys = keys[_run_starts([keys])]
+        k = [(keys >> _U(32)).astype(np.uint32), keys.astype(np.uint32)]
         hot = k[0] >= _HOT
         rows.append((block, part, "gram2", [pack(x) for x in model.get(_key(*(c[~hot] for c in k)), "count")]))
         own = [c[hot] for c in k]

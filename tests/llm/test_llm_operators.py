@@ -162,6 +162,23 @@ def brute_components(texts, size, num, den):
     return [root(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
+def test_answers_without_lookups():
+    """What is told by places is what looking the n-grams up in the model tells."""
+    rng = np.random.default_rng(8)
+    keys = [[c.astype(np.uint32) for c in np.unique(rng.integers(0, 5, (n, 3)), axis=0).T] for n in (1, 40, 90, 200)]
+    sent = [rng.integers(0, 4, len(k[0])).astype(np.uint32) for k in keys]
+    columns, counts, ids = kneser_ney._added(list(zip(keys, sent, strict=True)), 3)
+    want = Counter()
+    for k, x in zip(keys, sent, strict=True):
+        for *gram, n in zip(*k, x, strict=True):
+            want[tuple(map(int, gram))] += int(n)
+    assert list(zip(*(c.tolist() for c in columns), counts.tolist(), strict=True)) == [(*g, n) for g, n in sorted(want.items())]
+    model = kneser_ney._Grams([c[counts > 0] for c in columns], counts[counts > 0])
+    for own, told in zip(keys, kneser_ney._at_places(columns, counts, ids, keys), strict=True):
+        for a, b in zip(model.get(own), told, strict=True):
+            assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
 @pytest.mark.parametrize("size, num", [(3, 85), (5, 80)])
 def test_near_duplicates_find_every_link(spark, size, num):
     rng = random.Random(size)
