@@ -3,14 +3,16 @@
 A text is split as by the tokenizer's pattern.  Each task keeps the distinct
 words it has met (a bounded dictionary, started anew when full), so a word is
 folded once a task and not once an occurrence; the fold is a Spark
-``aggregate`` over the word's bytes, which looks pairs up in a literal rank map.
+``aggregate`` over the word's bytes, which looks pairs up in a rank map.
 No step shuffles, so cost is linear in the text and a lost executor costs only
 its own splits.  The ids are written to the shared folder as they are made: the
-one plan that holds the literal map is gone before anything reads them.
+one plan that reads the map is gone before anything reads them.
 
-Spark's own map lookup walks the map from its start, so the literal map is held
-as arrays, the rows of its table of pairs laid over each other: three array
-reads find a pair.
+Spark's own map lookup walks the map from its start, so the map is held as
+arrays, the rows of its table of pairs laid over each other: three array reads
+find a pair.  A task lays them out as a table of one row, which the plan reads by
+a scalar subquery: as a literal of millions of characters, the map took the
+driver hundreds of MB, a copy for each time that the plan is rewritten or sent.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import written
@@ -52,6 +54,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 @functools.lru_cache(maxsize=4)
 def pair_map(path: str) -> dict[int, int]:
     """(left id, right id), packed as left << 20 | right, to the merged id."""
+    return _pairs(path)
+
+
+def _pairs(path: str) -> dict[int, int]:
     ranks = load_ranks(path)
     if max(ranks.values()) >= 1 << 20:
         raise ValueError("ranks of 2**20 or more aren't supported")
@@ -106,24 +112,32 @@ def displaced_rows(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     return start, cells.tolist()
 
 
-@functools.lru_cache(maxsize=4)
 def _tables(path: str) -> dict[str, list[int]]:
-    ranks, (start, cells) = load_ranks(path), displaced_rows(pair_map(path))
+    ranks, (start, cells) = load_ranks(path), displaced_rows(_pairs(path))
     return {"bytes": [ranks[bytes([b])] for b in range(256)], "start": start, "cells": cells}
 
 
-def rank_map(path: str) -> Column:
-    """The literal rank map, a struct of arrays. Its size is the vocabulary's, and constant folding makes it once."""
-    return F.struct(*[F.expr(f"cast(split('{','.join(map(str, v))}', ',') as array<bigint>)").alias(k) for k, v in _tables(path).items()])
+def rank_map(spark: SparkSession, path: str) -> DataFrame:
+    """The rank map, a written table of one row with a struct of arrays, laid out by a task. Its size is the vocabulary's."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch({k: pa.array([v], pa.list_(pa.int64())) for k, v in _tables(path).items()})
+
+    arrays = spark.range(0, 1, 1, 1).mapInArrow(releasing(run), "bytes array<bigint>, start array<bigint>, cells array<bigint>")
+    return written(arrays.select(F.struct("bytes", "start", "cells").alias("ranks")))
 
 
-def fold_words(words: Column, path: str) -> Column:
-    """The ids of each word of an array; null for words over MAX_FOLD_BYTES.
+def with_ids(df: DataFrame, words: str, ids: str, path: str) -> DataFrame:
+    """`df` with the ids of each word of an array; null for words over MAX_FOLD_BYTES.
 
-    An array of one names the rank map, so that the plan holds it once.
+    An array of one names the rank map, so that the plan reads it once; a subquery may
+    stand beside a higher-order function, not in it, and Spark then puts both in one step.
     """
-    fold = lambda ranks: F.transform(words, lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, ranks)))
-    return F.get(F.transform(F.array(rank_map(path)), fold), 0)
+    fold = lambda ranks: F.transform(F.col(words), lambda w: F.when(F.octet_length(w) <= MAX_FOLD_BYTES, fold_word(w, ranks)))
+    named = df.withColumn("__ranks", rank_map(df.sparkSession, path).scalar())
+    return named.select(*[F.col(f"`{c}`") for c in df.columns], F.get(F.transform(F.array("__ranks"), fold), 0).alias(ids))
 
 
 def fold_word(word: Column, ranks: Column) -> Column:
@@ -191,7 +205,7 @@ def heap_merge(word: bytes, path: str) -> list[int]:
 def _folded(docs: DataFrame, path: str, text: str, keep: list[str] | None, *replaced: str):
     """`docs` with words' numbers and the ids of new words; a function from its batches to those of `kept` and ids; kept."""
     coded = with_codes(docs, text, keep, *replaced)
-    folded = coded.withColumn("__new_ids", fold_words(F.col("__new"), path)).drop("__new")
+    folded = with_ids(coded, "__new", "__new_ids", path).drop("__new")
     kept = [c for c in folded.columns if c not in (*CODED, "__new_ids")]
 
     def run(batches):

@@ -828,3 +828,15 @@ def test_pipeline_decides_by_row(spark):
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == corpus_pipeline.substring_dedup(spark, empty, "").count() == corpus_pipeline.quality_rules(spark, empty, "").count() == 0
     out = corpus_pipeline.byte_bpe(spark, df, "").collect()
     assert all(r.round_trip for r in out) and sum(r.n_tokens == 0 for r in out) == 1
+
+
+def test_bpe_rank_map_is_a_table_that_the_plan_only_names(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    folded = bpe._folded(spark.createDataFrame([(1, "a text of words")], "doc_id long, text string"), path, "text", None)[0]
+    for plan in (folded._jdf.queryExecution().analyzed(), folded._jdf.queryExecution().optimizedPlan()):
+        assert len(plan.toString()) < 200_000  # as a literal the map had 4.7 million characters, and the driver held many copies
+    optimized = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in optimized and "AS __ranks" not in optimized  # folded where it is read: no row carries the map
+    assert folded.select("__new_ids").first()[0] == [bpe.heap_merge(w, path) for w in (b"a", b" text", b" of", b" words")]
