@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -402,6 +403,29 @@ def test_license_scan_of_joined_names(spark):
     assert [got[len(texts) - 2].labels, got[len(texts) - 1].labels] == [["gpl"], ["cc-by-sa"]]
 
 
+def test_license_gate_takes_whole_words(spark):
+    for x in licenses.rules():
+        for t in expanded(re._parser.parse(x["regex"])):
+            assert {*licenses.STEMS, "cc"} & set(t.split()), t
+    assert spark.range(1).select(F.size(F.array_distinct(F.transform(licenses._rule_table(), lambda g: g["keyword"]))) == F.size(licenses._rule_table())).first()[0]
+
+
+def test_license_scan_of_odd_characters(spark):
+    texts = ["Apache\u212a licen\u212ae", "\u0130 MIT\u0130license mit\x00LICENSE\x7f", "\U0001f600apache license\U0001f600 \u00e9", "\u0130\u212a I\u0307 \u03a3\u03a3. CC\u0085by cc\x1fBY", "@[`{/:"]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect():
+        w = ALNUM.findall(texts[r.doc_id].translate(LOWER))
+        places = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        assert r.n_words == len(w) and sorted((d.start, d.label) for d in r.detections if d.base) == sorted(places), texts[r.doc_id]
+
+
+def test_license_scan_of_many_places(spark):
+    text = spark.createDataFrame([("this is under the MIT license, word word. " * 2000,)], "text string")
+    began = time.monotonic()
+    r = licenses.scan(text).select("n_words", "labels", F.transform(F.filter("detections", lambda d: d["base"]), lambda d: d["start"]).alias("starts")).first()
+    assert (r.n_words, r.labels, r.starts) == (16000, ["mit"], list(range(4, 16000, 8)))
+    assert time.monotonic() - began < 15  # a search of the whole text for each place took over 30
+
+
 def test_shards(spark, docs):
     copies = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(40)).select(*docs.columns))
     got = sharding.assign(copies, shards=5).collect()
