@@ -59,10 +59,9 @@ def mask_of(*names: str) -> int:
 
 
 def singleton(relation: Column) -> Column:
-    out = None
-    for name, bit in BIT.items():
-        out = F.when(relation == name, F.lit(bit)) if out is None else out.when(relation == name, F.lit(bit))
-    return out.cast("int")  # type: ignore[union-attr]
+    """The mask of one name, NULL for none of them; names the relation once, as it may be a long expression."""
+    place = F.array_position(F.array(*[F.lit(n) for n in BIT]), relation)
+    return F.call_function("shiftleft", F.lit(1), F.nullif(place, F.lit(0)).cast("int") - 1)
 
 
 def contains_relation(mask: Column, name: str) -> Column:
@@ -92,9 +91,11 @@ def union(a: Column, b: Column) -> Column:
 
 
 def converse_mask(mask: Column) -> Column:
-    """Bit by bit: each relation of the set by its converse."""
-    terms = [F.when(mask.bitwiseAND(F.lit(BIT[n])) != 0, F.lit(BIT[CONVERSE[n]])).otherwise(F.lit(0)) for n in RELATIONS]
-    return functools.reduce(lambda a, b: a.bitwiseOR(b), terms)
+    """Each relation of the set by its converse, which is one bit up or down, or itself; the empty set for NULL."""
+    up = mask_of(*[a for a, b in itertools.pairwise(RELATIONS) if CONVERSE[a] == b])
+    down, same = up << 1, mask_of(*[n for n in RELATIONS if CONVERSE[n] == n])
+    moved = F.shiftleft(mask.bitwiseAND(F.lit(up)), 1).bitwiseOR(F.shiftright(mask.bitwiseAND(F.lit(down)), 1))
+    return F.coalesce(moved.bitwiseOR(mask.bitwiseAND(F.lit(same))), F.lit(0))
 
 
 # composition

@@ -387,11 +387,10 @@ def mention_errors(spark: SparkSession, d: str) -> DataFrame:
 def _chains(spark: SparkSession, d: str) -> DataFrame:
     """Assertions of a network for each customer: the relation of each of its orders to the next."""
     w = Window.partitionBy("customer").orderBy("order")
-    o = _orders(spark, d).where("start < end").withColumn("n", F.row_number().over(w))
-    a, b = (o.select(*[F.col(c).alias(f"{p}_{c}") for c in ("customer", "n", "start", "end")]) for p in ("a", "b"))
-    p = a.join(b, (F.col("a_customer") == F.col("b_customer")) & (F.col("a_n") + 1 == F.col("b_n")))
-    mask = allen.singleton(allen.classify(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")))
-    return p.select(F.col("a_customer").alias("network"), F.col("a_n").alias("step"), (F.col("a_n") - 1).alias("i"), (F.col("b_n") - 1).alias("j"), mask.alias("mask"))
+    o = _orders(spark, d).where("customer IS NOT NULL AND start < end")
+    o = o.select("customer", F.row_number().over(w).alias("n"), "start", "end", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("start", "end")]).where("next_start IS NOT NULL")
+    mask = allen.singleton(allen.classify(F.col("start"), F.col("end"), F.col("next_start"), F.col("next_end")))
+    return o.select(F.col("customer").alias("network"), F.col("n").alias("step"), (F.col("n") - 1).alias("i"), F.col("n").alias("j"), mask.alias("mask"))
 
 
 def reasoner_closure(spark: SparkSession, d: str) -> DataFrame:

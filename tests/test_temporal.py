@@ -2,12 +2,13 @@ import datetime
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tempora.functions import allen, clocks, intervals, wire
 from tempora.functions.guards import InvalidRows, assert_valid, code, with_code
-from tempora.operators.reasoner import Contradiction, Network, close_networks, closed_masks
+from tempora.operators.reasoner import Compositions, Contradiction, Network, close_networks, closed_masks, compose_masks, converse_of
 from tempora.plans import queries
 
 
@@ -173,6 +174,49 @@ def test_masks_close_as_the_loop_closes_them(spark):
     assert closed_masks(spark.createDataFrame([], "network string, i int, j int, mask int")).collect() == []
 
 
+def test_small_networks_are_closed_without_rounds_of_joins(spark):
+    """Chains of 20 links of any two relations: a handful of jobs, not some for each round, and no cell more or less than by the triple loop."""
+    rng, rows, want = random.Random(23), [], {}
+    for name in range(12):
+        net = Network()
+        for _ in range(21):
+            net.add_variable()
+        for k in range(20):
+            mask = allen.BIT[rng.choice(allen.RELATIONS)] | allen.BIT[rng.choice(allen.RELATIONS)]
+            rows.append((name, 10 * k - 70, 10 * k - 60, mask) if rng.random() < 0.5 else (name, 10 * k - 60, 10 * k - 70, converse_of(mask)))
+            net.assert_relation(k, k + 1, mask)
+        net.close()
+        want |= {(name, 10 * i - 70, 10 * j - 70): net.masks[i][j] for i in range(21) for j in range(21) if i != j and net.masks[i][j] != allen.ALL}
+    rng.shuffle(rows)
+    spark.sparkContext.setJobGroup("small networks", "")
+    try:
+        got = closed_masks(spark.createDataFrame(rows, "network long, i int, j int, mask int")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(want) and {(r.network, r.i, r.j): r.mask for r in got} == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("small networks")) < 12
+
+
+def test_small_and_large_networks_close_alike(spark):
+    """Networks on either side of the limit of what a task closes, one of them contradictory on each side."""
+    one = [(0, 1, allen.BIT["before"]), (1, 2, allen.BIT["overlaps"])]
+    more = [*one, (2, 3, allen.BIT["during"] | allen.BIT["meets"]), (3, 4, allen.BIT["finishes"])]
+    rows = [(name, *r) for name, own in (("a", one), ("b", more), ("c", [*one, (0, 2, allen.BIT["after"])]), ("d", [*more, (0, 2, allen.BIT["after"])])) for r in own]
+    df = spark.createDataFrame(rows, "network string, i int, j int, mask int")
+    by_limit = [sorted(map(tuple, closed_masks(df, n).collect()), key=str) for n in (0, 3, 64)]
+    assert by_limit[0] == by_limit[1] == by_limit[2]
+    assert {r[0] for r in by_limit[0] if r[4] == "Contradiction"} == {"c", "d"}
+
+
+def test_compositions_of_arrays_by_numbers_and_by_parts():
+    rng = np.random.default_rng(4)
+    for most in (1, 5, 512):  # of few numbers, most masks get none
+        composed = Compositions(most)
+        for high in (8, 8192):
+            a, b = rng.integers(0, high, (3, 5)).astype(np.int16), rng.integers(0, high, (4, 5)).astype(np.int16)
+            assert composed(a, b).tolist() == [[[compose_masks(int(x), int(y)) for x, y in zip(p, q, strict=True)] for q in b] for p in a]
+
+
 NAMED = [("before", (0, 1), (2, 3)), ("meets", (0, 1), (1, 2)), ("overlaps", (0, 2), (1, 3)), ("starts", (0, 1), (0, 2)), ("during", (1, 2), (0, 3)), ("finishes", (1, 2), (0, 2))]
 NAMED += [(allen.CONVERSE[n], y, x) for n, x, y in NAMED] + [("equals", (0, 1), (0, 1))]
 
