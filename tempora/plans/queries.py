@@ -359,9 +359,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = table(spark, d, "events").select("user_id", "event_id", F.lag("event_id").over(w).alias("before"), F.lag("event_id", 3).over(w).alias("third"))
     kind = lambda x: F.element_at(F.array(*[F.lit(k) for k in relations.KINDS]), (x % 16).cast("int") + 1)
-    forward = e.where("before IS NOT NULL").select((F.col("event_id") * 2).alias("seq"), F.col("before").alias("s"), F.col("event_id").alias("t"), kind(F.col("event_id") % 8).alias("kind"))
-    back = e.where("third IS NOT NULL AND event_id % 11 = 0").select((F.col("event_id") * 2 + 1).alias("seq"), F.col("event_id").alias("s"), F.col("third").alias("t"), kind(F.col("event_id")).alias("kind"))
-    return forward.union(back).select("seq", F.col("seq").cast("string").alias("edge_id"), "kind", F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"))
+    edge = lambda seq, source, target, k: F.struct(seq.alias("seq"), F.col(source).alias("s"), F.col(target).alias("t"), kind(k).alias("kind"))
+    forward = F.when(F.col("before").isNotNull(), edge(F.col("event_id") * 2, "before", "event_id", F.col("event_id") % 8))
+    back = F.when(F.expr("third IS NOT NULL AND event_id % 11 = 0"), edge(F.col("event_id") * 2 + 1, "event_id", "third", F.col("event_id")))
+    both = e.select(F.explode(F.array(forward, back)).alias("e")).where("e IS NOT NULL").select("e.*")  # a user's edges lie together
+    return both.select("seq", F.col("seq").cast("string").alias("edge_id"), "kind", F.col("s").cast("string").alias("source"), F.col("t").cast("string").alias("target"))
 
 
 def relation_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,62 @@ def test_a_refused_edge_leaves_its_id_free(spark):
         assert codes(relations.insert_edges(spark.createDataFrame(rows, EDGE)), "seq") == brute_insert(rows)
 
 
+def test_chains_are_folded_in_few_jobs(spark):
+    """Chains of 60 nodes with edges back, lying together or dealt out; where a chain lies together, there are no rounds of jobs to label it."""
+    rng, rows = random.Random(31), []
+    for c in range(8):
+        for k in range(60):
+            rows.append((f"{c}.{k}", f"{c}.{k + 1}"))
+            if rng.random() < 0.2:
+                rows.append((f"{c}.{k + 1}", f"{c}.{max(0, k - rng.randrange(5))}"))
+    seqs = list(range(len(rows)))
+    together = [(s, f"e{s}", "causes", a, b) for s, (a, b) in zip(seqs, rows, strict=True)]
+    rng.shuffle(seqs)
+    apart = [(s, f"e{s}", "causes", a, b) for s, (a, b) in zip(seqs, rows, strict=True)]
+    jobs = []
+    for own, df in ((together, spark.createDataFrame(together, EDGE).coalesce(1)), (apart, spark.createDataFrame(apart, EDGE).repartition(7))):
+        spark.sparkContext.setJobGroup(f"chains {len(jobs)}", "")
+        try:
+            got = codes(relations.insert_edges(df), "seq")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chains {len(jobs)}")))
+        assert got == brute_insert(own) and "TransitionCycle" in got.values()
+    assert jobs[0] < 20, jobs
+
+
+def test_a_large_component_loses_sources_and_sinks_first(spark):
+    """Random edges, ids that repeat within and beyond a component, kinds of provenance: with and without taking off the ends."""
+    rng = random.Random(12)
+    for size, nodes in ((40, 9), (80, 40)):
+        rows = [(k, f"e{rng.randrange(size)}", rng.choice(["causes", "enables", "causes", "summarizes"]), f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for k in range(size)]
+        df, want = spark.createDataFrame(rows, EDGE), brute_insert(rows)
+        assert codes(relations.insert_edges(df, 3), "seq") == want == codes(relations.insert_edges(df), "seq")
+    nulls = [(1, "a", "causes", None, "x"), (2, "b", "causes", "x", None), (3, "a", "causes", "x", "x"), (4, "c", None, "x", "x"), (None, "d", "causes", "y", "y")]
+    assert codes(relations.insert_edges(spark.createDataFrame(nulls, EDGE)), "seq") == {1: None, 2: None, 3: "DuplicateRelationEdge", 4: None, None: None}
+
+
+def test_a_component_is_folded_whole(monkeypatch):
+    """Batches and chunks of a few rows; most edges go forward, so few are looked at one by one."""
+    rng, names = random.Random(9), ["component", "seq", "edge_id", "kind", "source", "target", "again", "a", "b"]
+    for trial in range(60):
+        monkeypatch.setattr(relations, "ROWS", rng.choice([1, 4, 30, 1000]))
+        rows, want, seq = [], {}, 0
+        for c in range(rng.randint(1, 5)):
+            n, own = rng.randint(1, 12), []
+            for _ in range(rng.randint(1, 25)):
+                seq, ends = seq + 1, [rng.randrange(n), rng.randrange(n)]
+                a, b = sorted(ends) if trial % 2 and rng.random() < 0.8 else ends
+                own.append((seq, f"{c}-{rng.randrange(30)}", "causes", f"{c}.{a}", f"{c}.{b}"))
+            want |= brute_insert(own)
+            ids = [r[1] for r in own]
+            rows += [(c, *r, ids.count(r[1]) > 1, *(1000 - 50 * c - int(x.split(".")[1]) for x in r[3:])) for r in own]
+        step = rng.choice([1, 3, 50])
+        batches = [pa.record_batch([pa.array(x) for x in zip(*rows[k : k + step], strict=True)], names=names) for k in range(0, len(rows), step)]
+        got = {s: e for out in relations._folded(batches) for s, e in zip(out["seq"].to_pylist(), out["error_code"].to_pylist(), strict=True)}
+        assert got == want
+
+
 def test_a_batch_of_revisions_is_chained(spark):
     one = spark.createDataFrame([version("a", 1, T(1)), version("b", 1, T(1)), version("c", 1, T(1), T(2))], VERSION)
     batch = spark.createDataFrame([version("a", 3, T(5)), version("a", 2, T(3)), version("b", 2, T(4)), version("c", 2, T(6)), version("z", 1, T(2))], VERSION)
